@@ -41,5 +41,4 @@ def truncated(col: Column) -> Column:
 
 def parse_number(col: Column) -> Column:
     """Text to double; anything that is not a plain number becomes NULL."""
-    text = F.trim(col)
-    return F.when(text.rlike(NUMBER_TEXT), text.try_cast("double"))
+    return F.regexp_extract(F.trim(col), NUMBER_TEXT, 0).try_cast("double")

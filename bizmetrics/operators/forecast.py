@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Transformer
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
@@ -24,6 +26,10 @@ from bizmetrics.session import cut_lineage
 #: Model names in order of preference among equal scores.
 MODEL_ORDER = ("random_forest", "linear_regression", "decision_tree")
 
+#: Deep enough to single out every month of a decade; MLlib allows up to 30.
+DEPTH = 8
+BINS = 128
+
 
 @dataclass(frozen=True)
 class Training:
@@ -33,10 +39,12 @@ class Training:
 
 def _estimator(name: str, trees: int, depth: int, seed: int):
     columns = {"featuresCol": "features", "labelCol": "label", "predictionCol": "predicted"}
+    # All features at every split and fine bins, for trees that fit a short series closely.
     if name == "random_forest":
-        return RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed, **columns)
+        return RandomForestRegressor(numTrees=trees, maxDepth=depth, maxBins=BINS, seed=seed,
+                                     featureSubsetStrategy="all", **columns)
     if name == "decision_tree":
-        return DecisionTreeRegressor(maxDepth=depth, seed=seed, **columns)
+        return DecisionTreeRegressor(maxDepth=depth, maxBins=BINS, seed=seed, **columns)
     return LinearRegression(**columns)
 
 
@@ -47,7 +55,7 @@ def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def train_all(features: DataFrame, by: Sequence[str] | None = None, test_frac: float = 0.2, seed: int = 42,
               value: str = "revenue", time: str = "month", names: Sequence[str] = MODEL_ORDER,
-              trees: int = 100, depth: int = 5, columns: Sequence[str] = FEATURES) -> Training:
+              trees: int = 100, depth: int = DEPTH, columns: Sequence[str] = FEATURES) -> Training:
     """Fit each model on the earlier part of every series and predict the later part."""
     keys = [*(by or []), time]
     labelled = _vectors(
@@ -55,7 +63,11 @@ def train_all(features: DataFrame, by: Sequence[str] | None = None, test_frac: f
     # Every fit reads its input several times: store the feature rows, not the way to them.
     stored = cut_lineage(labelled.select(*keys, "part", "label", "features"))
     train, test = (stored.where(F.col("part") == part) for part in ("train", "test"))
-    models = {name: _estimator(name, trees, depth, seed).fit(train) for name in names}
+    # The fits are independent sequences of jobs: submit them side by side.
+    fit = inheritable_thread_target(stored.sparkSession)(
+        lambda name: _estimator(name, trees, depth, seed).fit(train))
+    with ThreadPool(len(names)) as pool:
+        models = dict(zip(names, pool.map(fit, names)))
     predictions = [
         models[name].transform(test).select(
             F.lit(name).alias("model"), *keys, F.col("label").alias("actual"), "predicted")
@@ -155,7 +167,7 @@ def feature_importance(training: Training, model: str = "random_forest",
 
 
 def forecast_by_index(monthly: DataFrame, value: str = "sales", time: str = "month",
-                      trees: int = 100, depth: int = 5, seed: int = 42) -> DataFrame:
+                      trees: int = 100, depth: int = DEPTH, seed: int = 42) -> DataFrame:
     """Forest on the month index alone, asked for the index after the last; whole part."""
     numbered = month_index(monthly, None, time).withColumn("label", F.col(value).cast("double"))
     stored = cut_lineage(_vectors(numbered, ["idx"]).select("idx", "label", "features"))

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from bizmetrics.functions.text import any_of
 from bizmetrics.schemas import ENTITIES
 
 MAX_AMOUNT = 999_999_999
@@ -33,9 +34,17 @@ def max_length(col: str, limit: int) -> Rule:
     return Rule(f"{col}_too_long", F.length(col) > limit)
 
 
-def fits_decimal(col: str, digits: int, places: int) -> Rule:
-    value = F.col(col)
-    return Rule(f"{col}_digits", (F.abs(value) >= F.lit(10 ** (digits - places))) | (value != F.round(value, places)))
+def fits_decimal(col: str, digits: int, places: int, held: T.DataType | None = None) -> list[Rule]:
+    """Digit limits of a decimal column. Where the type ``held`` rules a breach out,
+    nothing is checked."""
+    value, limit = F.col(col), digits - places
+    exact = isinstance(held, T.DecimalType)
+    breaches = []
+    if not (exact and held.precision - held.scale <= limit):
+        breaches.append(F.abs(value) >= F.lit(10 ** limit))
+    if not (exact and held.scale <= places):
+        breaches.append(value != F.round(value, places))
+    return [Rule(f"{col}_digits", any_of(breaches))] if breaches else []
 
 
 def one_of(col: str, allowed: list[str]) -> Rule:
@@ -49,29 +58,40 @@ FORM_RULES = {
 }
 
 
-def rules_for(entity: str, columns: list[str] | None = None) -> list[Rule]:
-    """Column rules (required, length, digits, choices) and form rules of an entity."""
+def rules_for(entity: str, schema: T.StructType | None = None) -> list[Rule]:
+    """Column rules (required, length, digits, choices) and form rules of an entity, for
+    the columns a frame of this ``schema`` has."""
     spec = ENTITIES[entity]
-    wanted = set(columns or [n for n, _, _ in spec.fields])
-    rules = [required(n) for n in spec.required if n in wanted]
-    rules += [max_length(n, k) for n, k in spec.max_length.items() if n in wanted]
-    rules += [fits_decimal(n, t.precision, t.scale) for n, t, _ in spec.fields
-              if isinstance(t, T.DecimalType) and n in wanted]
-    rules += [one_of(n, list(labels)) for n, labels in spec.choices.items() if n in wanted]
-    return rules + FORM_RULES.get(entity, list)()
+    held = {f.name: f.dataType for f in (schema or spec.schema).fields}
+    rules = [required(n) for n in spec.required if n in held]
+    rules += [max_length(n, k) for n, k in spec.max_length.items() if n in held]
+    for n, t, _ in spec.fields:
+        if isinstance(t, T.DecimalType) and n in held:
+            rules += fits_decimal(n, t.precision, t.scale, held[n])
+    rules += [one_of(n, list(labels)) for n, labels in spec.choices.items() if n in held]
+    return rules + (FORM_RULES[entity]() if entity in FORM_RULES else [])
+
+
+def any_broken(rules: list[Rule]) -> Column:
+    return any_of([r.broken for r in rules])
 
 
 def check(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """Add ``failures``: the names of the broken rules, in rule order."""
-    return df.withColumn(
-        "failures", F.array_compact(F.array(*[F.when(r.broken, F.lit(r.name)) for r in rules])))
+    names = F.array(*[F.when(r.broken, r.name).otherwise("") for r in rules])
+    return df.withColumn("failures", F.array_remove(names, ""))
 
 
 def quality(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
     """Split into valid rows and rejected rows (with their failures)."""
-    checked = check(df, rules)
-    return (checked.where(F.size("failures") == 0).drop("failures"),
-            checked.where(F.size("failures") > 0))
+    broken = any_broken(rules)
+    return df.where(~broken), check(df.where(broken), rules)
+
+
+def write_split(df: DataFrame, rules: list[Rule], path: str) -> None:
+    """Store valid and rejected rows apart, below ``path/valid=...``, reading ``df`` once."""
+    (check(df, rules).withColumn("valid", F.size("failures") == 0)
+     .write.mode("overwrite").partitionBy("valid").parquet(path))
 
 
 def failure_counts(df: DataFrame, rules: list[Rule]) -> DataFrame:

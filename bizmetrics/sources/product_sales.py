@@ -10,7 +10,6 @@ from bizmetrics.functions.text import parse_date
 #: Header in the file -> column name here.
 COLUMNS = {"Date": "sale_date", "Sales": "sales", "Profit": "profit",
            "Units Sold": "units_sold", "Product": "product", "Country": "country"}
-DATE_PATTERNS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "yyyy/MM/dd")
 
 
 def clean_product_sales(raw: DataFrame) -> DataFrame:
@@ -21,7 +20,7 @@ def clean_product_sales(raw: DataFrame) -> DataFrame:
     """
     trimmed = raw.toDF(*[c.strip() for c in raw.columns])
     text = trimmed.select([F.col(f"`{c}`").cast("string").alias(c) for c in trimmed.columns])
-    parsed = (text.withColumn("Date", parse_date(F.col("Date"), DATE_PATTERNS))
+    parsed = (text.withColumn("Date", parse_date(F.col("Date")))
                   .withColumns({c: parse_number(F.col(f"`{c}`")) for c in ("Sales", "Profit", "Units Sold")}))
     return parsed.na.drop("any").withColumnsRenamed(COLUMNS)
 

@@ -1,7 +1,7 @@
 """Projections, filters, defaults and quality rules."""
 
 from bizmetrics.operators import filters as f, quality as q
-from bizmetrics.schemas import EXPENSE_STATUS, MOVEMENT_TYPES, NO_CATEGORY, PAYMENT_METHODS
+from bizmetrics.schemas import EXPENSE_STATUS, MOVEMENT_TYPES, NO_CATEGORY, PAYMENT_METHODS, UNITS
 from registry.core import AS_OF, query
 
 
@@ -239,7 +239,7 @@ def _(t):
 # -- quality ------------------------------------------------------------------------
 
 def _expense_rules(t):
-    return q.rules_for("expense", t.expense_input.columns)
+    return q.rules_for("expense", t.expense_input.schema)
 
 
 # The broken rules of a row, in rule order, joined by commas.
@@ -294,7 +294,7 @@ def _(t):
 @query("quality_choices", "SELECT * FROM product_input WHERE unit IS NULL OR unit IN ('piece', 'kg', 'meter', 'liter', 'box')",
        "unit_price")
 def _(t):
-    return q.quality(t.product_input, [r for r in q.rules_for("product", ["unit"]) if "not_allowed" in r.name])[0]
+    return q.quality(t.product_input, [q.one_of("unit", list(UNITS))])[0]
 
 
 @query("failure_counts", """

@@ -89,7 +89,7 @@ def _(t):
            TRY_CAST(profit_text AS DOUBLE) AS profit FROM raw_product_sales""")
 def _(t):
     return t.raw_product_sales.select(
-        x.parse_date(F.col("date_text"), ("yyyy-MM-dd",)).alias("day"),
+        x.parse_date(F.col("date_text")).alias("day"),
         n.parse_number(F.col("sales_text")).alias("sales"), n.parse_number(F.col("profit_text")).alias("profit"))
 
 

@@ -6,7 +6,8 @@ from registry.core import query
 
 def _movements(t):
     """The movement table over a file stream of its given table."""
-    lines = t.spark.readStream.schema(t.lineitem.schema).parquet(f"{t.folder}/lineitem.parquet")
+    # A pattern rather than a plain path: the stream then takes a single file as well as a folder.
+    lines = t.spark.readStream.schema(t.lineitem.schema).parquet(f"{t.folder}/lineitem[.]parquet")
     return t.view("inventory_movement", lineitem=lines)
 
 
