@@ -17,10 +17,12 @@ MIN_MONTHS = 6
 MIN_FEATURE_ROWS = 4
 
 
-def train_on_series(sales: DataFrame, by: list[str] | None = None) -> Training:
-    """Training over all series with enough history, before and after feature building."""
+def train_on_series(sales: DataFrame, by: list[str] | None = None, shift: int = 1) -> Training:
+    """Training over all series with enough history, before and after feature building.
+    ``shift=0`` gives the scores of features that contain the target (see
+    ``forecast_features``)."""
     enough = enough_history(sales, by, MIN_MONTHS)
-    return train_all(enough_history(forecast_features(enough, by), by, MIN_FEATURE_ROWS), by)
+    return train_all(enough_history(forecast_features(enough, by, shift), by, MIN_FEATURE_ROWS), by)
 
 
 def forecast_report(sales: DataFrame, as_of: AsOf) -> DataFrame:
