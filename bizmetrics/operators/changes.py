@@ -30,7 +30,8 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: str, stamp: dt.datet
     broadcast by Catalyst and the table is not shuffled; a large one sort-merges.
     """
     latest = latest_changes(changes, key, order)
-    stamps = {c: F.lit(stamp).cast(base.schema[c].dataType) for c in ("created_at", "updated_at") if c in base.columns}
+    # As text, so that the wall-clock time is kept whatever the session's time zone.
+    stamps = {c: F.lit(stamp.isoformat(sep=" ")).cast(base.schema[c].dataType) for c in ("created_at", "updated_at") if c in base.columns}
     values = [c for c in base.columns if c != key and c in changes.columns and c not in stamps]
 
     batch = latest.select(key, F.col("op").alias("_op"), *[F.col(c).alias(f"_new_{c}") for c in values])

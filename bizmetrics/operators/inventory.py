@@ -78,8 +78,9 @@ def stock_on_hand(products: DataFrame, movements: DataFrame) -> DataFrame:
         (F.col("quantity") + F.coalesce("_net", F.lit(0))).alias("stock"))
 
 
-def running_stock(movements: DataFrame) -> DataFrame:
-    """Every movement with the sum of its product's movements up to and including it.
+def running_stock(movements: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """Every movement with the sum of its product's movements up to and including it; with
+    ``products``, on top of their opening quantity.
 
     A product may own a third of all movements, so no task ever holds a whole product:
     the rows are cut into slices of the order (product, time, id), summed inside their
@@ -92,10 +93,15 @@ def running_stock(movements: DataFrame) -> DataFrame:
         slices.groupBy("_slice", "product_id").agg(F.sum("_signed").alias("_sum")), "product_id", "_sum")
     inside = (Window.partitionBy("_slice", "product_id").orderBy(*order[1:])
               .rowsBetween(Window.unboundedPreceding, 0))
-    return (slices.withColumn("_within", F.sum("_signed").over(inside))
-            .join(F.broadcast(carried), ["_slice", "product_id"], "left")
-            .withColumn("running_stock", F.col("_within") + F.coalesce("_carried", F.lit(0)))
-            .drop("_slice", "_signed", "_within", "_carried"))
+    moved = (slices.withColumn("_within", F.sum("_signed").over(inside))
+             .join(F.broadcast(carried), ["_slice", "product_id"], "left")
+             .withColumn("running_stock", F.col("_within") + F.coalesce("_carried", F.lit(0)))
+             .drop("_slice", "_signed", "_within", "_carried"))
+    if products is None:
+        return moved
+    opening = products.select(F.col("id").alias("product_id"), F.col("quantity").alias("_opening"))
+    return (moved.join(opening, "product_id")
+            .withColumn("running_stock", F.col("running_stock") + F.col("_opening")).drop("_opening"))
 
 
 def carried_forward(slice_sums: DataFrame, key: str, value: str) -> DataFrame:

@@ -16,17 +16,33 @@ DEFAULTS = {
     # Row-level lookups (an expense's category, a movement's product) keep the hot
     # key's rows; the adaptive skew join splits such a partition while reading it.
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Streaming state is one row per product or day, off the JVM heap.
+    # Stored slices and feature rows go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Streaming state is one row per product or day, kept off the JVM heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
-def build_session(app: str = "bizmetrics", master: str | None = None, **conf: str) -> SparkSession:
+#: Shuffled bytes per partition to aim for; adaptive execution merges smaller ones but
+#: never splits an ordinary shuffle partition.
+PARTITION_BYTES = 256 << 20
+
+
+def partitions_for(shuffle_bytes: int, least: int = 200) -> int:
+    return max(least, -(-shuffle_bytes // PARTITION_BYTES))
+
+
+def build_session(app: str = "bizmetrics", master: str | None = None, shuffle_bytes: int | None = None,
+                  **conf: str) -> SparkSession:
+    """A session with the settings above. ``shuffle_bytes`` is the size of the largest
+    shuffle to expect (the columns it carries, not the whole table): it sets the number of
+    shuffle partitions, and so also the number of range slices and sort partitions."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **conf}.items():
+    sized = {"spark.sql.shuffle.partitions": str(partitions_for(shuffle_bytes))} if shuffle_bytes else {}
+    for key, value in {**DEFAULTS, **sized, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

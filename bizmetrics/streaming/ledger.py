@@ -1,8 +1,10 @@
 """Stock and daily movement counts kept up to date by Structured Streaming.
 
-Each micro-batch appends its changed rows as one parquet folder named by the batch id.
-Rewriting a batch after a failure overwrites the same folder, so the table is exact; the
-current state is the newest row of every key. Nothing passes through the driver.
+Each micro-batch stores its changed rows in a folder named by the batch id, so a batch
+that is run again after a failure replaces its own rows. The current state is the newest
+row of every key among the committed batches. Batches are grouped into epochs, and an
+epoch starts with a copy of the state before it: reading never goes back further than
+one epoch. Nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 from bizmetrics.operators.inventory import signed_quantity
 from bizmetrics.schemas import ENTITIES
 
+BATCHES_PER_EPOCH = 100
+
 
 def movement_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """Movements arriving as parquet files."""
@@ -29,41 +33,60 @@ def stock_changes(movements: DataFrame) -> DataFrame:
 
 def daily_counts(movements: DataFrame, lateness: str | None = None) -> DataFrame:
     """Movements per day. Without ``lateness`` every late row still counts and the state
-    is one row per day; with it, days older than that are closed and late rows dropped."""
+    is one row per day; with it (session time zone UTC), days older than that are closed
+    and their late rows dropped."""
+    count = F.count(F.lit(1)).alias("movements")
+    if not lateness:
+        return movements.groupBy(F.to_date("created_at").alias("day")).agg(count)
     timed = movements.withColumn("created_at", F.col("created_at").cast("timestamp"))
-    if lateness:
-        timed = timed.withWatermark("created_at", lateness)
-    return (timed.groupBy(F.window("created_at", "1 day"))
-            .agg(F.count(F.lit(1)).alias("movements"))
+    return (timed.withWatermark("created_at", lateness)
+            .groupBy(F.window("created_at", "1 day")).agg(count)
             .select(F.col("window.start").cast("date").alias("day"), "movements"))
 
 
-def keep_state(changes: DataFrame, folder: str) -> StreamingQuery:
+def _newest(versions: DataFrame, key: str) -> DataFrame:
+    columns = [c for c in versions.columns if c not in {key, "batch"}]
+    latest = F.max_by(F.struct(*columns), F.col("batch"))
+    return versions.groupBy(key).agg(latest.alias("_row")).select(key, "_row.*")
+
+
+def keep_state(changes: DataFrame, folder: str, key: str) -> StreamingQuery:
     """Run over everything that has arrived, then stop; call again to go on."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/state/batch={batch_id}")
+        epoch, first = divmod(batch_id, BATCHES_PER_EPOCH)
+        here = f"{folder}/state/epoch={epoch}"
+        if epoch and not first:
+            before = batch.sparkSession.read.parquet(f"{folder}/state/epoch={epoch - 1}")
+            _newest(before, key).write.mode("overwrite").parquet(f"{here}/batch={batch_id - 1}")
+        batch.write.mode("overwrite").parquet(f"{here}/batch={batch_id}")
 
     return (changes.writeStream.outputMode("update").foreachBatch(save)
             .option("checkpointLocation", f"{folder}/progress")
             .trigger(availableNow=True).start())
 
 
+def last_batch(spark: SparkSession, folder: str) -> int:
+    """The newest batch that the stream has committed: its commit log is named by batch."""
+    commits = spark.read.format("binaryFile").load(f"{folder}/progress/commits")
+    number = F.regexp_extract("path", r"/(\d+)$", 1).try_cast("int")
+    return commits.select(F.max(number)).first()[0]
+
+
 def read_state(spark: SparkSession, folder: str, key: str) -> DataFrame:
-    """The newest row of every key."""
-    versions = spark.read.parquet(f"{folder}/state")
-    columns = [c for c in versions.columns if c not in {key, "batch"}]
-    newest = F.max_by(F.struct(*columns), F.col("batch"))
-    return versions.groupBy(key).agg(newest.alias("_row")).select(key, "_row.*")
+    """The newest row of every key, up to the last committed batch."""
+    last = last_batch(spark, folder)
+    versions = spark.read.parquet(f"{folder}/state/epoch={last // BATCHES_PER_EPOCH}")
+    return _newest(versions.where(F.col("batch") <= last), key)
 
 
 def stream_stock(movements: DataFrame, folder: str) -> DataFrame:
     """Bring the stock state up to date and return it."""
-    keep_state(stock_changes(movements), folder).awaitTermination()
+    keep_state(stock_changes(movements), folder, "product_id").awaitTermination()
     return read_state(movements.sparkSession, folder, "product_id")
 
 
 def stream_daily_movements(movements: DataFrame, folder: str) -> DataFrame:
     """Bring the daily counts up to date and return them."""
-    keep_state(daily_counts(movements), folder).awaitTermination()
+    keep_state(daily_counts(movements), folder, "day").awaitTermination()
     return read_state(movements.sparkSession, folder, "day")

@@ -119,3 +119,8 @@ def _(t):
 @query("category_list", "SELECT * FROM expense_category")
 def _(t):
     return lists.category_list(t.expense_category)
+
+
+@query("active_products_by_name", "SELECT id, name FROM product WHERE is_active")
+def _(t):
+    return t.product.where("is_active").select("id", "name").orderBy(*o.sort_keys(["name", "id"]))

@@ -77,10 +77,20 @@ _both("month_index", """
       lambda df, by: ts.month_index(df, by), "revenue")
 
 
-@query("running_stock", """
+RUNNING_SQL = """
     SELECT *, CAST(SUM(CASE WHEN movement_type IN ('in', 'return') THEN quantity
                             WHEN movement_type IN ('out', 'damage') THEN -quantity ELSE 0 END)
               OVER (PARTITION BY product_id ORDER BY created_at, id, movement_type, quantity
-                    ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_stock FROM inventory_movement""")
+                    ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_stock FROM inventory_movement"""
+
+
+@query("running_stock", RUNNING_SQL)
 def _(t):
     return running_stock(t.inventory_movement)
+
+
+@query("running_stock_from_opening", f"""
+    SELECT m.* REPLACE (m.running_stock + p.quantity AS running_stock)
+    FROM ({RUNNING_SQL}) m JOIN product p ON m.product_id = p.id""")
+def _(t):
+    return running_stock(t.inventory_movement, t.product)

@@ -75,6 +75,16 @@ def test_same_seed_same_forest(synthetic, training):
     assert rows(again.predictions.select("month", "predicted").orderBy("month")) == rows(before.orderBy("month"))
 
 
+def test_linear_model_is_least_squares(synthetic, training):
+    import numpy as np
+    data = [r for r in forecast_features(synthetic).orderBy("month").collect()]
+    x = np.array([[*(r[c] for c in fc.FEATURES[:3]), 1.0] for r in data])  # the mean is their sum / 3
+    y = np.array([r.revenue for r in data])
+    weights = np.linalg.lstsq(x[:36], y[:36], rcond=None)[0]
+    predicted = [r.predicted for r in training.predictions.where("model = 'linear_regression'").orderBy("month").collect()]
+    assert predicted == pytest.approx(list(x[36:] @ weights), rel=1e-6)
+
+
 def test_next_month(spark, synthetic, training):
     row = fc.forecast_next(training.models["linear_regression"], synthetic).first()
     serving = fc.serving_row(synthetic).first()

@@ -46,10 +46,35 @@ def test_late_movements_still_count(spark, inbox, tmp_path):
         (dt.date(2001, 7, 15), 3), (dt.date(2001, 9, 1), 1)]
 
 
-def test_replayed_batch_does_not_count_twice(spark, inbox, tmp_path):
+def test_uncommitted_rows_are_not_read(spark, inbox, tmp_path):
     state = str(tmp_path / "stock")
     ledger.stream_stock(ledger.movement_stream(spark, inbox), state)
-    batch = spark.read.parquet(f"{state}/state/batch=0")
-    stored = spark.createDataFrame(batch.collect(), batch.schema)
-    stored.write.mode("overwrite").parquet(f"{state}/state/batch=0")
+    half_done = spark.createDataFrame([(1, 999, 9)], "product_id bigint, moved bigint, movements bigint")
+    half_done.write.parquet(f"{state}/state/epoch=0/batch=1")
     assert sorted(rows(ledger.read_state(spark, state, "product_id"))) == [(1, 5, 1), (2, -3, 1)]
+    # The batch is run again and replaces what was left behind.
+    arrive(spark, inbox, (3, 1, "in", 1, "2001-09-01T08:00"))
+    assert sorted(rows(ledger.stream_stock(ledger.movement_stream(spark, inbox), state))) == [(1, 6, 2), (2, -3, 1)]
+
+
+def test_epochs_carry_the_state_on(spark, inbox, tmp_path, monkeypatch):
+    monkeypatch.setattr(ledger, "BATCHES_PER_EPOCH", 2)
+    state = str(tmp_path / "stock")
+    moves = ledger.movement_stream(spark, inbox)
+    ledger.stream_stock(moves, state)
+    for n in range(4):
+        arrive(spark, inbox, (10 + n, 1, "in", 1, "2001-09-01T08:00"))
+        streamed = ledger.stream_stock(moves, state)
+    assert ledger.last_batch(spark, state) == 4
+    assert sorted(rows(streamed)) == [(1, 9, 5), (2, -3, 1)]
+
+
+def test_closed_days_are_appended(spark, inbox, tmp_path):
+    arrive(spark, inbox, (3, 1, "in", 1, "2001-07-15T20:00"), (4, 1, "in", 1, "2001-07-18T08:00"))
+    out = str(tmp_path / "closed")
+    counts = ledger.daily_counts(ledger.movement_stream(spark, inbox), lateness="1 day")
+    query = (counts.writeStream.outputMode("append").format("parquet").option("path", out)
+             .option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    # The last day is still open.
+    assert rows(spark.read.parquet(out)) == [(dt.date(2001, 7, 15), 3)]
