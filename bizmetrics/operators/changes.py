@@ -23,7 +23,8 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: str, stamp: dt.datet
     """Apply inserts, updates and deletes by key; the latest change of a key wins.
 
     ``changes`` has the table's columns plus ``op`` (``insert``, ``upsert``, ``update``,
-    ``delete``) and ``order``. An update or delete of a key the table lacks does nothing.
+    ``delete``) and ``order``. An insert of a key the table has replaces its row; an update or delete of a
+    key the table lacks does nothing.
     ``created_at`` / ``updated_at`` columns, if the table has them, get ``stamp``.
 
     The base is only ever the left side of a join against the batch, so a small batch is

@@ -93,10 +93,12 @@ def running_stock(movements: DataFrame, products: DataFrame | None = None) -> Da
         slices.groupBy("_slice", "product_id").agg(F.sum("_signed").alias("_sum")), "product_id", "_sum")
     inside = (Window.partitionBy("_slice", "product_id").orderBy(*order[1:])
               .rowsBetween(Window.unboundedPreceding, 0))
+    # Broadcast is safe: one row per slice at most (see ``carried_forward``).
     moved = (slices.withColumn("_within", F.sum("_signed").over(inside))
-             .join(F.broadcast(carried), ["_slice", "product_id"], "left")
+             .join(F.broadcast(carried), (F.col("_slice") == F.col("_into")) & F.col("product_id").eqNullSafe(F.col("_key")),
+                   "left")
              .withColumn("running_stock", F.col("_within") + F.coalesce("_carried", F.lit(0)))
-             .drop("_slice", "_signed", "_within", "_carried"))
+             .drop("_slice", "_into", "_key", "_signed", "_within", "_carried"))
     if products is None:
         return moved
     opening = products.select(F.col("id").alias("product_id"), F.col("quantity").alias("_opening"))
@@ -112,4 +114,5 @@ def carried_forward(slice_sums: DataFrame, key: str, value: str) -> DataFrame:
     """
     earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     return (slice_sums.withColumn("_carried", F.sum(value).over(earlier))
-            .where(F.col("_carried").isNotNull()).select("_slice", key, "_carried"))
+            .where(F.col("_carried").isNotNull())
+            .select(F.col("_slice").alias("_into"), F.col(key).alias("_key"), "_carried"))

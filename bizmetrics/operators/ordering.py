@@ -26,12 +26,14 @@ def sort_keys(order: list[str], backwards: bool = False) -> list[Column]:
 def range_slices(df: DataFrame, order: list[str]) -> DataFrame:
     """Cut the globally sorted rows into consecutive slices, numbered in ``_slice``.
 
-    Slices follow the whole sort key, tie-breaks included, so the rows of a hot key
-    spread over as many slices as they fill. The slices are stored, since their bounds
-    come from a sample: every later branch has to see the same cut.
+    Slices follow the whole sort key and, among equal keys, a hash of the row, so the rows
+    of a hot key (or a hot timestamp) spread over as many slices as they fill. The slices
+    are stored, since their bounds come from a sample: every later branch has to see the
+    same cut.
     """
+    ties = F.xxhash64(*df.columns)
     return cut_lineage(
-        df.repartitionByRange(*sort_keys(order)).withColumn("_slice", F.spark_partition_id()))
+        df.repartitionByRange(*sort_keys(order), ties).withColumn("_slice", F.spark_partition_id()))
 
 
 def slice_offsets(slices: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def _(t):
     FROM expense_category b LEFT JOIN (SELECT * FROM category_changes WHERE seq = 1) l ON b.id = l.id
     WHERE l.op IS NULL OR l.op <> 'delete'
     UNION ALL
-    SELECT id + 1000, CASE WHEN id % 2 = 0 THEN concat(name, ' again') ELSE name END,
+    SELECT id + 1000, CASE WHEN is_active THEN concat(name, ' again') ELSE name END,
            TIMESTAMP '2001-07-15 12:00:00', TIMESTAMP '2001-07-15 12:00:00' FROM expense_category""")
 def _(t):
     none = F.lit(None).cast("timestamp_ntz")

@@ -130,7 +130,7 @@ VIEWS: dict[str, str] = {
         SELECT id + 1000, name, parent_category_id, NOT is_active, 'insert', 2 FROM {expense_category}
         UNION ALL
         SELECT id + 1000, concat(name, ' again'), parent_category_id, is_active, 'update', 3
-        FROM {expense_category} WHERE id % 2 = 0
+        FROM {expense_category} WHERE is_active
         UNION ALL
         SELECT id + 5000, name, parent_category_id, is_active, 'update', 4 FROM {expense_category}""",
     "product_changes": """

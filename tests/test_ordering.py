@@ -87,6 +87,22 @@ def test_hot_product_is_spread_over_slices(movements, many_slices):
     assert hot >= 3 and max(per_slice) < 1000
 
 
+def test_rows_with_one_and_the_same_key_are_spread_too(spark, many_slices):
+    same_day = spark.range(9000).selectExpr("id", "date'2001-07-15' AS date")
+    sizes = [r[1] for r in rows(o.range_slices(same_day, ["-date"]).groupBy("_slice").count())]
+    assert len(sizes) > 5 and max(sizes) < 3000
+    numbered = o.global_row_number(same_day, ["-date"])
+    assert sorted(r[-1] for r in rows(numbered)) == list(range(1, 9001))
+
+
+def test_movements_without_a_product_carry_on(spark, many_slices):
+    moves = spark.range(3000).selectExpr(
+        "id", "CAST(NULL AS BIGINT) AS product_id", "'in' AS movement_type", "1 AS quantity",
+        "timestamp_ntz'2001-07-15 00:00:00' AS created_at")
+    got = sorted(rows(running_stock(moves).select("id", "running_stock")))
+    assert got == [(n, n + 1) for n in range(3000)]
+
+
 def test_per_key_top_k_is_cut_before_the_shuffle(movements):
     from bizmetrics.operators.joins import latest_movements
     latest = latest_movements(movements, 3)
