@@ -24,6 +24,11 @@ def percent_change(current: Column, base: Column) -> Column:
     return (now - before) / or_one(before) * 100
 
 
+def mean(col: Column) -> Column:
+    """Aggregate: mean as a double, from the exact sum, so the order of rows cannot matter."""
+    return F.sum(col).cast("double") / F.nullif(F.count(col), F.lit(0))
+
+
 def rounded(col: Column, digits: int = 2) -> Column:
     """Round half to even."""
     return F.bround(col, digits)

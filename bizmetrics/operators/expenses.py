@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from bizmetrics.functions import dates
 from bizmetrics.functions.dates import AsOf
-from bizmetrics.functions.numbers import or_one, or_zero
+from bizmetrics.functions.numbers import mean, or_one, or_zero
 from bizmetrics.functions.text import or_label
 from bizmetrics.operators.filters import between_dates, eq_if, in_month, in_year, search, trailing_days
 from bizmetrics.operators.joins import with_category
@@ -26,16 +26,15 @@ def expense_filter(expenses: DataFrame, category_id: int | None = None, from_dat
 def expense_summary(expenses: DataFrame, **filters: object) -> DataFrame:
     return expense_filter(expenses, **filters).agg(
         or_zero(F.sum("amount")).alias("total_expenses"),
-        or_zero(F.avg(F.col("amount").cast("double"))).alias("avg_expense"),
+        or_zero(mean(F.col("amount"))).alias("avg_expense"),
         F.count(F.lit(1)).alias("expense_count"))
 
 
 def expense_api_summary(expenses: DataFrame) -> DataFrame:
-    total, count = F.sum("amount").cast("double"), F.count(F.lit(1))
     return expenses.agg(
-        or_zero(total).alias("total_amount"),
-        or_zero(total / F.nullif(count, F.lit(0))).alias("avg_amount"),
-        count.alias("count"))
+        or_zero(F.sum("amount").cast("double")).alias("total_amount"),
+        or_zero(mean(F.col("amount"))).alias("avg_amount"),
+        F.count(F.lit(1)).alias("count"))
 
 
 def expense_month_pair(expenses: DataFrame, as_of: AsOf) -> DataFrame:

@@ -166,15 +166,23 @@ def feature_importance(training: Training, model: str = "random_forest",
     return frame.orderBy(F.desc("importance"), "feature").limit(n)
 
 
-def forecast_by_index(monthly: DataFrame, value: str = "sales", time: str = "month",
-                      trees: int = 100, depth: int = DEPTH, seed: int = 42) -> DataFrame:
-    """Forest on the month index alone, asked for the index after the last; whole part."""
-    numbered = month_index(monthly, None, time).withColumn("label", F.col(value).cast("double"))
-    stored = cut_lineage(_vectors(numbered, ["idx"]).select("idx", "label", "features"))
+def forecast_by_index(monthly: DataFrame, by: Sequence[str] | None = None, value: str = "sales",
+                      time: str = "month", trees: int = 100, depth: int = DEPTH, seed: int = 42) -> DataFrame:
+    """Forest on the month index, asked for the index after the last; whole part.
+
+    With keys, one forest serves all series; it tells them apart by their mean level.
+    """
+    keys = list(by or [])
+    columns = ["idx", "level"] if keys else ["idx"]
+    label = F.col(value).cast("double")
+    numbered = month_index(monthly, keys, time).withColumns(
+        {"label": label, "level": F.avg(label).over(Window.partitionBy(*keys))})
+    stored = cut_lineage(_vectors(numbered, columns).select(*keys, "idx", "level", "label", "features"))
     model = _estimator("random_forest", trees, depth, seed).fit(stored)
-    following = stored.agg((F.max("idx") + 1).alias("idx")).where(F.col("idx").isNotNull())
-    return model.transform(_vectors(following, ["idx"])).select(
-        F.col("idx").cast("int").alias("idx"), truncated(F.col("predicted")).alias("prediction"))
+    following = (stored.groupBy(*keys).agg((F.max("idx") + 1).alias("idx"), F.max("level").alias("level"))
+                 .where(F.col("idx").isNotNull()))
+    return model.transform(_vectors(following, columns)).select(
+        *keys, F.col("idx").cast("int").alias("idx"), truncated(F.col("predicted")).alias("prediction"))
 
 
 def forecast_by_index_line(monthly: DataFrame, by: Sequence[str] | None = None,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from bizmetrics.functions import dates
 from bizmetrics.functions.dates import AsOf
-from bizmetrics.functions.numbers import or_one, or_zero
+from bizmetrics.functions.numbers import mean, or_one, or_zero
 from bizmetrics.operators.filters import in_year, search_sales, trailing_days
 
 
@@ -27,7 +27,7 @@ def sales_summary(sales: DataFrame, year: int | str | None = None, term: str | N
     return chosen.agg(
         or_zero(F.sum("revenue")).alias("total_revenue"),
         or_zero(F.sum("transaction_count")).alias("total_transactions"),
-        or_zero(F.avg(F.col("revenue").cast("double"))).alias("avg_revenue"))
+        or_zero(mean(F.col("revenue"))).alias("avg_revenue"))
 
 
 def transaction_summary(transactions: DataFrame) -> DataFrame:
@@ -37,12 +37,10 @@ def transaction_summary(transactions: DataFrame) -> DataFrame:
 
 
 def sales_api_summary(sales: DataFrame) -> DataFrame:
-    # Summed as decimals, shown as doubles: the order of addition cannot matter.
-    total, count = F.sum("revenue").cast("double"), F.count(F.lit(1))
     return sales.agg(
-        or_zero(total).alias("total_revenue"),
-        or_zero(total / F.nullif(count, F.lit(0))).alias("avg_revenue"),
-        count.alias("count"))
+        or_zero(F.sum("revenue").cast("double")).alias("total_revenue"),
+        or_zero(mean(F.col("revenue"))).alias("avg_revenue"),
+        F.count(F.lit(1)).alias("count"))
 
 
 def _month_sum(col: str, as_of: AsOf) -> Column:
@@ -70,7 +68,7 @@ def sales_totals(sales: DataFrame) -> DataFrame:
 def revenue_stats(sales: DataFrame, by: list[str] | None = None) -> DataFrame:
     return sales.groupBy(*(by or [])).agg(
         F.sum("revenue").alias("total_revenue"),
-        F.avg(F.col("revenue").cast("double")).alias("avg_revenue"),
+        mean(F.col("revenue")).alias("avg_revenue"),
         F.max("revenue").alias("max_revenue"),
         F.min("revenue").alias("min_revenue"),
         F.count(F.lit(1)).alias("data_count"))

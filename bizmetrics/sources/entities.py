@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from bizmetrics.functions.dates import AsOf, as_date
 from bizmetrics.schemas import ENTITIES
 
+YEAR = "year"  # folder column of entities laid out by year
+
 
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Bring a frame to the entity's columns, order and types; absent columns are NULL."""
@@ -14,11 +19,29 @@ def conform(df: DataFrame, name: str) -> DataFrame:
         (F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t, _ in ENTITIES[name].fields])
 
 
-def load_entity(spark: SparkSession, directory: str, name: str) -> DataFrame:
+def load_entity(spark: SparkSession, directory: str, name: str,
+                since: AsOf | None = None, until: AsOf | None = None) -> DataFrame:
     """Scan ``directory/name.parquet`` with the declared schema: nothing is inferred,
-    columns the file lacks read as NULL."""
-    return conform(
-        spark.read.schema(ENTITIES[name].schema).parquet(f"{directory}/{name}.parquet"), name)
+    columns the file lacks read as NULL.
+
+    ``since`` and ``until`` (both inclusive days) bound the entity's time column. Where the
+    files are laid out by year they also choose the folders, so files outside the range
+    are not even opened.
+    """
+    entity = ENTITIES[name]
+    stored = spark.read.schema(entity.schema).parquet(f"{directory}/{name}.parquet")
+    if since or until:
+        time = F.col(entity.partition_by)
+        by_year = YEAR in stored.columns
+        if since:
+            first = as_date(since)
+            stored = stored.where(time >= F.lit(first))
+            stored = stored.where(F.col(YEAR) >= first.year) if by_year else stored
+        if until:
+            last = as_date(until)
+            stored = stored.where(time < F.lit(last + dt.timedelta(days=1)))
+            stored = stored.where(F.col(YEAR) <= last.year) if by_year else stored
+    return conform(stored, name)
 
 
 def store_entity(df: DataFrame, directory: str, name: str) -> str:
@@ -33,8 +56,8 @@ def store_entity(df: DataFrame, directory: str, name: str) -> str:
         rows.write.mode("overwrite").parquet(path)
         return path
     ties = [c for c in ("id", "product_id", "category_id") if c in rows.columns]
-    (rows.withColumn("year", F.year(entity.partition_by))
-         .repartitionByRange("year", entity.partition_by, *ties)
+    (rows.withColumn(YEAR, F.year(entity.partition_by))
+         .repartitionByRange(YEAR, entity.partition_by, *ties)
          .sortWithinPartitions(entity.partition_by)
-         .write.mode("overwrite").partitionBy("year").parquet(path))
+         .write.mode("overwrite").partitionBy(YEAR).parquet(path))
     return path

@@ -86,6 +86,15 @@ def stream_stock(movements: DataFrame, folder: str) -> DataFrame:
     return read_state(movements.sparkSession, folder, "product_id")
 
 
+def stream_stock_on_hand(products: DataFrame, movements: DataFrame, folder: str) -> DataFrame:
+    """Opening quantity plus what has streamed in so far, for every product."""
+    moved = stream_stock(movements, folder).select(F.col("product_id").alias("id"), "moved")
+    net = F.coalesce("moved", F.lit(0))
+    return products.join(moved, "id", "left").select(
+        "id", "product_code", F.col("quantity").alias("opening"), net.alias("moved"),
+        (F.col("quantity") + net).alias("stock"))
+
+
 def stream_daily_movements(movements: DataFrame, folder: str) -> DataFrame:
     """Bring the daily counts up to date and return them."""
     keep_state(daily_counts(movements), folder, "day").awaitTermination()

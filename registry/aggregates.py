@@ -10,18 +10,18 @@ TRAILING = "date >= DATE '2001-07-15' - 365"
 @query("sales_summary", """
     SELECT COALESCE(SUM(revenue), 0) AS total_revenue,
            CAST(COALESCE(SUM(transaction_count), 0) AS BIGINT) AS total_transactions,
-           round(COALESCE(AVG(CAST(revenue AS DOUBLE)), 0), 4) AS avg_revenue
+           COALESCE(CAST(SUM(revenue) AS DOUBLE) / COUNT(revenue), 0) AS avg_revenue
     FROM monthly_sales""", "total_revenue")
 def _(t):
-    return _round(s.sales_summary(t.monthly_sales), avg_revenue=4)
+    return s.sales_summary(t.monthly_sales)
 
 
 @query("sales_summary_filtered", """
     SELECT SUM(revenue) AS total_revenue, CAST(SUM(transaction_count) AS BIGINT) AS total_transactions,
-           round(AVG(CAST(revenue AS DOUBLE)), 4) AS avg_revenue
+           CAST(SUM(revenue) AS DOUBLE) / COUNT(revenue) AS avg_revenue
     FROM monthly_sales WHERE year(month) = 1999 AND (contains(CAST(revenue AS VARCHAR), '7') OR false)""", "total_revenue")
 def _(t):
-    return _round(s.sales_summary(t.monthly_sales, 1999, "7"), avg_revenue=4)
+    return s.sales_summary(t.monthly_sales, 1999, "7")
 
 
 @query("transaction_summary", """
@@ -32,20 +32,19 @@ def _(t):
 
 
 @query("expense_summary", """
-    SELECT SUM(amount) AS total_expenses, round(AVG(CAST(amount AS DOUBLE)), 4) AS avg_expense,
+    SELECT SUM(amount) AS total_expenses, CAST(SUM(amount) AS DOUBLE) / COUNT(amount) AS avg_expense,
            COUNT(*) AS expense_count FROM expense""", "total_expenses")
 def _(t):
-    return _round(e.expense_summary(t.expense), avg_expense=4)
+    return e.expense_summary(t.expense)
 
 
 @query("expense_summary_filtered", """
-    SELECT SUM(amount) AS total_expenses, round(AVG(CAST(amount AS DOUBLE)), 4) AS avg_expense,
+    SELECT SUM(amount) AS total_expenses, CAST(SUM(amount) AS DOUBLE) / COUNT(amount) AS avg_expense,
            COUNT(*) AS expense_count
     FROM expense WHERE category_id = 7 AND date BETWEEN DATE '1998-01-01' AND DATE '2000-12-31'
       AND (contains(lower(title), 'po-1') OR COALESCE(contains(lower(description), 'po-1'), false))""", "total_expenses")
 def _(t):
-    return _round(e.expense_summary(t.expense, category_id=7, from_date="1998-01-01", to_date="2000-12-31", term="po-1"),
-                  avg_expense=4)
+    return e.expense_summary(t.expense, category_id=7, from_date="1998-01-01", to_date="2000-12-31", term="po-1")
 
 
 @query("product_summary", """
@@ -122,19 +121,19 @@ def _(t):
     return e.expense_month_pair(t.expense, AS_OF)
 
 
-STATS = """SUM(revenue) AS total_revenue, round(AVG(CAST(revenue AS DOUBLE)), 4) AS avg_revenue,
+STATS = """SUM(revenue) AS total_revenue, CAST(SUM(revenue) AS DOUBLE) / COUNT(revenue) AS avg_revenue,
            MAX(revenue) AS max_revenue, MIN(revenue) AS min_revenue, COUNT(*) AS data_count"""
 
 
 @query("revenue_stats", f"SELECT {STATS} FROM monthly_sales", "total_revenue max_revenue min_revenue")
 def _(t):
-    return _round(s.revenue_stats(t.monthly_sales), avg_revenue=4)
+    return s.revenue_stats(t.monthly_sales)
 
 
 @query("revenue_stats_by_country", f"SELECT country, {STATS} FROM panel GROUP BY country",
        "total_revenue max_revenue min_revenue")
 def _(t):
-    return _round(s.revenue_stats(t.panel, ["country"]), avg_revenue=4)
+    return s.revenue_stats(t.panel, ["country"])
 
 
 def _top_sql(where, limit="LIMIT 5"):
@@ -297,9 +296,3 @@ def _(t):
            COUNT(*) AS transaction_count FROM sales_transaction GROUP BY 1, 2""", "revenue")
 def _(t):
     return s.rollup_monthly(t.sales_transaction, ["payment_method"])
-
-
-def _round(df, **digits):
-    """Means of doubles differ between engines in the last digits."""
-    from pyspark.sql import functions as F
-    return df.withColumns({c: F.round(c, d) for c, d in digits.items()})

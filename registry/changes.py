@@ -103,11 +103,14 @@ def _(t):
     return c.restricted_delete(t.expense_category, t.expense, f.active(t.expense_category))
 
 
-@query("stock_on_hand", """
+STOCK_SQL = """
     SELECT p.id, product_code, p.quantity AS opening, CAST(COALESCE(moved, 0) AS BIGINT) AS moved,
            CAST(p.quantity + COALESCE(moved, 0) AS BIGINT) AS stock
     FROM product p LEFT JOIN (
         SELECT product_id, SUM(CASE WHEN movement_type IN ('in', 'return') THEN quantity ELSE -quantity END) AS moved
-        FROM inventory_movement GROUP BY product_id) m ON p.id = m.product_id""")
+        FROM inventory_movement GROUP BY product_id) m ON p.id = m.product_id"""
+
+
+@query("stock_on_hand", STOCK_SQL)
 def _(t):
     return stock_on_hand(t.product, t.inventory_movement)

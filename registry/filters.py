@@ -1,7 +1,8 @@
 """Projections, filters, defaults and quality rules."""
 
 from bizmetrics.operators import filters as f, quality as q
-from bizmetrics.schemas import EXPENSE_STATUS, MOVEMENT_TYPES, NO_CATEGORY, PAYMENT_METHODS, UNITS
+from bizmetrics.schemas import (
+    EXPENSE_STATUS, INVOICE_STATUS, MOVEMENT_TYPES, NO_CATEGORY, PAYMENT_METHODS, TRANSACTION_STATUS, UNITS)
 from registry.core import AS_OF, query
 
 
@@ -72,6 +73,22 @@ def _(t):
     return f.with_label(t.sales_transaction.select("id", "payment_method"), "payment_method", PAYMENT_METHODS, "method")
 
 
+@query("with_label_invoice", f"SELECT id, status, {_case('status', INVOICE_STATUS)} AS status_label FROM sales_invoice")
+def _(t):
+    return f.with_label(t.sales_invoice.select("id", "status"), "status", INVOICE_STATUS)
+
+
+@query("with_label_transaction", f"SELECT id, status, {_case('status', TRANSACTION_STATUS)} AS status_label "
+                                 "FROM sales_transaction")
+def _(t):
+    return f.with_label(t.sales_transaction.select("id", "status"), "status", TRANSACTION_STATUS)
+
+
+@query("with_label_unit", f"SELECT id, unit, {_case('unit', UNITS)} AS unit_label FROM product_input")
+def _(t):
+    return f.with_label(t.product_input.select("id", "unit"), "unit", UNITS)
+
+
 @query("with_label_unknown_code", f"SELECT id, status, {_case('status', EXPENSE_STATUS)} AS status_label FROM expense_input")
 def _(t):
     return f.with_label(t.expense_input.select("id", "status"), "status", EXPENSE_STATUS)

@@ -151,3 +151,8 @@ def _(t):
 @query("forecast_by_index")
 def _(t):
     return fc.forecast_by_index(monthly_resample(t.product_sales))
+
+
+@query("forecast_by_index_by_country")
+def _(t):
+    return fc.forecast_by_index(t.panel, BY, "revenue")

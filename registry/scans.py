@@ -55,6 +55,14 @@ def _(t):
     return load_entity(t.spark, folder, "expense")
 
 
+@query("load_entity_range", f"""
+    SELECT * FROM ({ENTITY_SQL["expense"][0]}) x WHERE date BETWEEN DATE '1999-11-15' AND DATE '2000-02-15'""", "amount")
+def _(t):
+    folder = t.scratch
+    store_entity(t.expense, folder, "expense")
+    return load_entity(t.spark, folder, "expense", "1999-11-15", "2000-02-15")
+
+
 PRODUCT_SALES_SQL = """
     SELECT * FROM (
         SELECT CAST(try_strptime(trim(date_text), '%Y-%m-%d') AS DATE) AS sale_date,

@@ -1,6 +1,7 @@
 """Streams: movements arrive as files; the final state is compared."""
 
 from bizmetrics.streaming import ledger
+from registry.changes import STOCK_SQL
 from registry.core import query
 
 
@@ -18,6 +19,11 @@ def _(t):
     return ledger.stream_stock(_movements(t), t.scratch)
 
 
+@query("stream_stock_on_hand", STOCK_SQL)
+def _(t):
+    return ledger.stream_stock_on_hand(t.product, _movements(t), t.scratch)
+
+
 @query("stream_daily_movements", """
     SELECT CAST(created_at AS DATE) AS day, COUNT(*) AS movements FROM inventory_movement GROUP BY 1""")
 def _(t):

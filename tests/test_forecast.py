@@ -122,6 +122,11 @@ def test_index_forecasts(spark):
     forest = fc.forecast_by_index(df).first()
     assert forest.idx == 24 and 200 <= forest.prediction <= 230
 
+    low, high = df.withColumn("k", F.lit("low")), df.withColumn("k", F.lit("high")).withColumn("sales", F.col("sales") + 5000)
+    per_key = {r.k: r for r in fc.forecast_by_index(low.unionByName(high), ["k"]).collect()}
+    assert per_key["low"].idx == 24 and 150 <= per_key["low"].prediction <= 230
+    assert 5150 <= per_key["high"].prediction <= 5230
+
 
 def test_report(spark, synthetic):
     sales = synthetic.select("month", F.col("revenue").cast("decimal(25,2)").alias("revenue"))

@@ -7,7 +7,8 @@ from bizmetrics.operators.joins import with_category, with_product
 from conftest import DATA, plan_of
 from registry import REGISTRY
 
-WITH_EFFECTS = {"load_entity", "load_entity_by_year", "load_product_sales", "stream_stock", "stream_daily_movements",
+WITH_EFFECTS = {"load_entity", "load_entity_by_year", "load_entity_range", "load_product_sales", "stream_stock",
+                "stream_stock_on_hand", "stream_daily_movements", "forecast_by_index_by_country",
                 "train_all", "forecast_next", "forecast_report", "forecast_by_index", "feature_importance", "forecast_vs_actual"}
 
 

@@ -47,6 +47,18 @@ def test_years_are_folders(spark, tables, tmp_path):
     assert "year=2000" in {p.split("/")[-2] for p in spark.read.parquet(path).inputFiles()}
 
 
+def test_range_chooses_folders(spark, tables, tmp_path):
+    store_entity(tables.inventory_movement, str(tmp_path), "inventory_movement")
+    some = load_entity(spark, str(tmp_path), "inventory_movement", "1999-11-15", "2000-02-15")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    partitions = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "1999" in partitions and "2000" in partitions
+    expected = tables.inventory_movement.where("created_at >= '1999-11-15' AND created_at < '2000-02-16'")
+    assert 0 < some.count() == expected.count()
+    store_entity(tables.product, str(tmp_path), "product")
+    assert load_entity(spark, str(tmp_path), "product").count() == tables.product.count()
+
+
 def test_csv_exports_are_sorted_and_quoted(spark, tables, tmp_path):
     sinks.export_sales_csv(tables.monthly_sales, str(tmp_path / "sales"))
     back = spark.read.option("header", True).schema("month date, revenue decimal(25,2), transaction_count int").csv(
