@@ -17,9 +17,10 @@ def _(t):
 
 
 @query("sales_summary_filtered", """
-    SELECT SUM(revenue) AS total_revenue, CAST(SUM(transaction_count) AS BIGINT) AS total_transactions,
-           CAST(SUM(revenue) AS DOUBLE) / COUNT(revenue) AS avg_revenue
-    FROM monthly_sales WHERE year(month) = 1999 AND (contains(CAST(revenue AS VARCHAR), '7') OR false)""", "total_revenue")
+    SELECT COALESCE(SUM(revenue), 0) AS total_revenue,
+           CAST(COALESCE(SUM(transaction_count), 0) AS BIGINT) AS total_transactions,
+           COALESCE(CAST(SUM(revenue) AS DOUBLE) / COUNT(revenue), 0) AS avg_revenue
+    FROM monthly_sales WHERE year(month) = 1999 AND contains(CAST(revenue AS VARCHAR), '7')""", "total_revenue")
 def _(t):
     return s.sales_summary(t.monthly_sales, 1999, "7")
 
@@ -39,8 +40,8 @@ def _(t):
 
 
 @query("expense_summary_filtered", """
-    SELECT SUM(amount) AS total_expenses, CAST(SUM(amount) AS DOUBLE) / COUNT(amount) AS avg_expense,
-           COUNT(*) AS expense_count
+    SELECT COALESCE(SUM(amount), 0) AS total_expenses,
+           COALESCE(CAST(SUM(amount) AS DOUBLE) / COUNT(amount), 0) AS avg_expense, COUNT(*) AS expense_count
     FROM expense WHERE category_id = 7 AND date BETWEEN DATE '1998-01-01' AND DATE '2000-12-31'
       AND (contains(lower(title), 'po-1') OR COALESCE(contains(lower(description), 'po-1'), false))""", "total_expenses")
 def _(t):
@@ -55,7 +56,7 @@ def _(t):
 
 
 @query("product_summary_filtered", """
-    SELECT COUNT(*) AS total_products, SUM(quantity * unit_price) AS total_value,
+    SELECT COUNT(*) AS total_products, COALESCE(SUM(quantity * unit_price), 0) AS total_value,
            COUNT(*) FILTER (quantity <= reorder_level) AS low_stock_count
     FROM product WHERE category = 'PROMO' AND quantity <= reorder_level AND (contains(lower(name), 'ring')
       OR contains(lower(product_code), 'ring') OR COALESCE(contains(lower(barcode), 'ring'), false))""", "total_value")
