@@ -9,10 +9,16 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from bizmetrics.session import cut_lineage
+
 #: A column name of the operators' own, which clashes with none of the caller's.
 KEY = "__llm_row_key"
 
 
+#: A stored table may be broadcast if it holds so many values (keys, numbers, spans) at most,
+#: some tens of MB. Beyond that the same join shuffles; its rows are the same.
+BROADCAST_VALUES = 200_000
+
 _shipped: set[str] = set()
 
 
@@ -38,6 +44,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def sized(df: DataFrame, values: Column | None = None) -> DataFrame:
+    """``df`` stored, and marked for broadcasting if it is measured to be small. ``values`` says how
+    many values a row holds, where that isn't bounded."""
+    stored = cut_lineage(df)
+    held = stored.agg(F.count("*") if values is None else F.sum(values)).first()[0] or 0
+    return F.broadcast(stored) if held <= BROADCAST_VALUES else stored
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """A digest of a row's id and text, never null: rows with the same key are repeated rows.
 

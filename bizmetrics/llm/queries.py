@@ -4,18 +4,94 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bizmetrics.llm import simhash
-from bizmetrics.llm.common import table
+from bizmetrics.llm import bpe_count, cotraining, decontaminate, hnsw, lattice, license_scan, secret_scan, simhash, url_rules, warc
+from bizmetrics.llm.common import row_key, table
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+#: The listed URL rules.
+URL_RULES = [url_rules.Rule("block", "net", "/"), url_rules.Rule("allow", "example.net", "/en/"),
+             url_rules.Rule("block", "example.com", "/de/"), url_rules.Rule("allow", "org", "/fr/")]
+
+
+def meta_columns() -> list:
+    """The documents' metadata: source, language, and the length's order of magnitude."""
+    return [F.col("source"), F.col("lang"), F.floor(F.log2(F.col("n_chars") + 1))]
+
+
+def owner_columns() -> dict:
+    """Who has a document: its source is the owner, a source's language its repository."""
+    return {"owner": F.col("source"), "repository": F.concat_ws("/", "source", "lang")}
 
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, max_bits=2)
 
 
+def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return url_rules.judge(table(spark, folder, "pages"), URL_RULES)
+
+
+def op3_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.licenses(table(spark, folder, "documents"))
+
+
+def op4_hnsw(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return hnsw.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return cotraining.quality(table(spark, folder, "documents"), table(spark, folder, "labels"), meta_columns()).drop("key")
+
+
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived(table(spark, folder, "pages"))
+
+
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("key")
+
+
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe_count.token_counts(table(spark, folder, "documents"), BYTE_BPE, limit=512)
+
+
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, folder, "documents"), **owner_columns())
+
+
+def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(row_key().alias("key"), "doc_id", "text")
+    return lattice.round_trip(docs, PIECES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simhash": op1_simhash,
-}
+    f.__name__: f for f in (op1_simhash, op2_url_filters, op3_license_scans, op4_hnsw, op5_quality, op6_warc,
+                            op7_decontamination, op8_token_counts, op9_secrets, op10_pieces)}
+
+_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS size, sha256(coalesce(html, '')) AS digest FROM pages),
+             f AS (SELECT digest, min(page_id) AS first FROM p WHERE size >= 100 GROUP BY digest)
+        SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
+               CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM p LEFT JOIN f USING (digest)""",
+    "op7_decontamination": f"""
+        WITH d AS (SELECT DISTINCT doc_id, {_WORDS} AS w FROM documents),
+             b AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark),
+             i AS (SELECT item_id, least(5, len(w)) AS k, list_distinct(list_transform(range(1, len(w) - least(5, len(w)) + 2),
+                       lambda j: array_to_string(w[j : j + least(5, len(w)) - 1], ' '))) AS shingles FROM b WHERE len(w) > 0),
+             s AS (SELECT item_id, k, CAST(len(shingles) AS INTEGER) AS n, unnest(shingles) AS shingle FROM i),
+             places AS (SELECT DISTINCT doc_id, k, array_to_string(w[j : j + k - 1], ' ') AS shingle
+                        FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM d, (SELECT DISTINCT k FROM i) ks) x)
+        SELECT doc_id, item_id, n AS n_shingles, CAST(count(*) AS INTEGER) AS n_found, count(*) / n AS containment
+        FROM s JOIN places USING (k, shingle) GROUP BY doc_id, item_id, n HAVING count(*) * 10 >= n * 8""",
+}
