@@ -12,6 +12,7 @@ apart into words, and the different words of a batch are filtered together in fl
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,9 @@ from bizmetrics.llm.common import ship
 
 MARK = "▁"
 #: Words sampled at once, and different words whose lattices are filtered at once.
-BATCH, FILTERED = 400_000, 100_000
+BATCH, FILTERED = 800_000, 100_000
+#: Letters with a column of their own in the trie's table.
+DENSE = 96
 _WORD = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -37,46 +40,46 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Lattices:
-    """The filtered lattices of some different words: for each place in each word, the pieces that
-    end there and the share of the paths that come by each."""
+    """The filtered lattices of some different words (without their mark): for each place in each word, the
+    pieces that end there and the share of the paths that come by each."""
 
     def __init__(self, model: "Model", words: list[str]):
-        points = [np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) for w in words]
-        self.sizes = np.fromiter(map(len, points), np.int64, len(points))
-        letters = np.concatenate(points) if points else np.empty(0, np.int64)
-        # Node numbers: a word of n letters has n + 1 nodes.
-        self.first = np.r_[0, np.cumsum(self.sizes + 1)]
-        word = np.repeat(np.arange(len(words)), self.sizes)
-        node = np.arange(len(letters)) + word
-        end = self.first[1:][word] - 1
-        starts, stops, ids = model.edges(letters, node, end)
-        order = np.lexsort((starts, stops))
-        starts, stops, ids = starts[order], stops[order], ids[order]
-        weights = model.weights[ids]
-        depth = stops - self.first[np.searchsorted(self.first, stops, "right") - 1]
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        joined = MARK + MARK.join(words)
+        self.letters = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+        # Node numbers: a marked word of n letters has n + 1 nodes.
+        self.first = np.r_[0, np.cumsum(sizes + 1)]
+        word = np.repeat(np.arange(len(words)), sizes)
+        starts, stops, ids = model.edges(self.letters, np.arange(len(self.letters)) + word, (self.first[1:] - 1)[word])
+        order = np.argsort(stops, kind="stable")
+        self.starts, stops, self.ids = starts[order], stops[order], ids[order]
+        weights = model.weights[self.ids]
+        heads = np.nonzero(np.r_[True, stops[1:] != stops[:-1]])[0]
+        nodes, counts = stops[heads], np.diff(np.r_[heads, len(stops)])
+        self.head = np.zeros(self.first[-1], np.int64)
+        self.head[nodes] = heads
+        depth = np.arange(self.first[-1]) - np.repeat(self.first[:-1], sizes + 1)
         alpha = np.zeros(self.first[-1])
-        share = np.zeros(len(starts))
-        # Nodes of equal depth are filtered at once, in order of depth.
-        by_depth = np.argsort(depth, kind="stable")
-        cuts = np.r_[np.nonzero(np.r_[True, np.diff(depth[by_depth]) != 0])[0], len(by_depth)] if len(starts) else [0]
+        share = np.zeros(len(stops))
+        # Nodes of equal depth are filtered at once, in order of depth; every node has a piece that ends there.
+        deep = depth[nodes]
+        by_depth = np.argsort(deep.astype(np.int16) if deep.max() < 1 << 15 else deep, kind="stable")
+        cuts = np.r_[np.nonzero(np.r_[True, np.diff(deep[by_depth]) != 0])[0], len(by_depth)]
         for lo, hi in zip(cuts[:-1], cuts[1:]):
-            at = by_depth[lo:hi]
-            score = alpha[starts[at]] + weights[at]
-            group = np.nonzero(np.r_[True, np.diff(stops[at]) != 0])[0]
-            counts = np.diff(np.r_[group, len(at)])
+            here = by_depth[lo:hi]
+            n = counts[here]
+            group = np.cumsum(n) - n
+            at = np.repeat(heads[here] - group, n) + np.arange(n.sum())
+            score = alpha[self.starts[at]] + weights[at]
             top = np.maximum.reduceat(score, group)
-            scaled = np.exp(score - np.repeat(top, counts))
+            scaled = np.exp(score - np.repeat(top, n))
             total = np.add.reduceat(scaled, group)
-            alpha[stops[at[group]]] = top + np.log(total)
-            share[at] = scaled / np.repeat(total, counts)
-        # One increasing array for all nodes: node number plus the summed shares of its pieces.
+            alpha[nodes[here]] = top + np.log(total)
+            share[at] = scaled / np.repeat(total, n)
+        # The summed shares of a node's pieces, up to each; the last reaches past any draw.
         summed = np.cumsum(share)
-        group = np.nonzero(np.r_[True, np.diff(stops) != 0])[0] if len(stops) else np.empty(0, np.int64)
-        base = np.repeat(summed[group] - share[group], np.diff(np.r_[group, len(stops)])) if len(stops) else summed
-        self.upto = stops + np.minimum(summed - base, 1.0)
-        self.last = np.zeros(self.first[-1], np.int64)
-        self.last[stops] = np.arange(len(stops))
-        self.starts, self.ids = starts, ids
+        self.upto = summed - np.repeat(summed[heads] - share[heads], counts)
+        self.upto[heads + counts - 1] = 2.0
 
 
 class Model:
@@ -110,6 +113,8 @@ class Model:
         ranked = all(scores[i] <= 0 and scores[i] == int(scores[i]) for i in normal.values())
         self.weights = alpha * (-np.log(2 - scores) if ranked else scores)
         self.weights[self.byte_ids] = 0.0  # a fallback is the only way past its letter
+        self.is_byte = np.zeros(count, bool)
+        self.is_byte[self.byte_ids] = True
         self._grow(normal)
 
     def _grow(self, pieces: dict[str, int]) -> None:
@@ -127,23 +132,42 @@ class Model:
         keys = np.array([n << 21 | c for n, c in child], np.int64)
         order = np.argsort(keys)
         self.keys, self.leads, self.ends = keys[order], np.array(list(child.values()))[order], np.array(ends)
+        # The commonest letters have a dense table; the others are searched for.
+        common = Counter(c for _, c in child).most_common(DENSE)
+        self.dense = np.full((len(ends), len(common)), -1, np.int32)
+        self.column = np.full(0x110000, -1, np.int16)
+        self.column[[c for c, _ in common]] = np.arange(len(common))
+        for (n, c), to in child.items():
+            if self.column[c] >= 0:
+                self.dense[n, self.column[c]] = to
+
+    def _child(self, where: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The trie's node below each, or -1."""
+        column = self.column[letters]
+        to = self.dense[where, column]
+        rare = np.nonzero(column < 0)[0]
+        if len(rare):
+            keys = where[rare].astype(np.int64) << 21 | letters[rare]
+            found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            to[rare] = np.where(self.keys[found] == keys, self.leads[found], -1)
+        return to
 
     def edges(self, letters: np.ndarray, node: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start node, end node, piece) of every piece that stands somewhere in the words. A fallback to bytes
         has the id of its letter's first byte piece."""
         starts, stops, ids = [], [], []
-        at, where = np.arange(len(letters)), np.zeros(len(letters), np.int64)
+        at, where = np.arange(len(letters)), np.zeros(len(letters), np.int32)
         single = np.zeros(len(letters), bool)
         step = 0
         while len(at):
-            keys = where << 21 | letters[at + step]
-            found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            on = self.keys[found] == keys
-            at, where = at[on], self.leads[found[on]]
+            where = self._child(where, letters[at + step])
+            on = where >= 0
+            at, where = at[on], where[on]
             piece = self.ends[where]
             whole = piece >= 0
-            starts.append(node[at[whole]])
-            stops.append(node[at[whole]] + step + 1)
+            begun = node[at[whole]]
+            starts.append(begun)
+            stops.append(begun + step + 1)
             ids.append(piece[whole])
             if step == 0:
                 single[at[whole]] = True
@@ -154,55 +178,66 @@ class Model:
         starts.append(node[alone])
         stops.append(node[alone] + 1)
         lead = [chr(c).encode("utf-8", "surrogatepass")[0] if c != FALLBACK_MARK else MARK.encode()[0] for c in letters[alone].tolist()]
-        ids.append(self.byte_ids[np.array(lead, np.int64)] if lead else np.empty(0, np.int64))
+        ids.append(self.byte_ids[np.array(lead, np.int64)])
         return np.concatenate(starts), np.concatenate(stops), np.concatenate(ids)
 
     def sample(self, texts: list[str | None], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and piece ids of one sampled segmentation per text."""
         counts = np.zeros(len(texts), np.int64)
-        out: list[np.ndarray] = []
+        out: list[np.ndarray] = [np.empty(0, np.int32)]
         for rows, words, places in self._words(texts):
-            found: dict[str, int] = {}
-            kinds = np.fromiter((found.setdefault(w, len(found)) for w in words), np.int64, len(words))
-            distinct = list(found)
-            ids, owner = [], []
+            number = dict(zip(dict.fromkeys(words), range(len(words))))
+            kinds = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            distinct = list(number)
+            parts = []
             for lo in range(0, len(distinct), FILTERED):
+                some = distinct[lo:lo + FILTERED]
                 mine = np.nonzero((kinds >= lo) & (kinds < lo + FILTERED))[0] if len(distinct) > FILTERED else np.arange(len(kinds))
-                some = Lattices(self, distinct[lo:lo + FILTERED])
-                got, whose, step = self._walk(some, kinds[mine] - lo, seeds[rows[mine]], places[mine], distinct[lo:lo + FILTERED])
-                ids.append(got)
-                owner.append((mine[whose], step))
-            ids = np.concatenate(ids)
-            whose, step = (np.concatenate(x) for x in zip(*owner))
-            order = np.lexsort((-step, whose))
-            out.append(ids[order])
-            counts += np.bincount(rows[whose], minlength=len(texts))
-        return np.r_[0, np.cumsum(counts)], np.concatenate(out) if out else np.empty(0, np.int64)
+                ids, whose, step = self._walk(Lattices(self, some), kinds[mine] - lo, seeds[rows[mine]], places[mine])
+                parts.append((ids, mine[whose], step))
+            ids, whose, step = (np.concatenate(x) for x in zip(*parts))
+            pieces = np.bincount(whose, minlength=len(words))
+            if (step & 3).any():
+                ordered = ids[np.lexsort((-step, whose))]
+            else:
+                ordered = np.empty(len(ids), np.int32)
+                ordered[np.cumsum(pieces)[whose] - 1 - (step >> 2)] = ids
+            out.append(ordered.astype(np.int32))
+            counts += np.bincount(rows, pieces, minlength=len(texts)).astype(np.int64)
+        return np.r_[0, np.cumsum(counts)], np.concatenate(out)
 
     def _words(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
-        """Words in order, with their text's number and their place in it, at most ``BATCH`` at once."""
-        rows: list[int] = []
+        """Words in order, each without its first mark, with their text's number and their place in it, some
+        ``BATCH`` at once. A run of spaces goes with the word after it."""
         words: list[str] = []
-        places: list[int] = []
+        runs: list[tuple[int, int, int]] = []
+
+        def batch():
+            row, first, size = np.array(runs).T
+            ends = np.cumsum(size)
+            return np.repeat(row, size), words, np.arange(len(words)) + np.repeat(first - ends + size, size)
+
         for i, text in enumerate(texts):
             if not text:
                 continue
-            marked = (" " + text).replace(MARK, chr(FALLBACK_MARK)).replace(" ", MARK)
-            found = _WORD.findall(marked)
+            marked = " " + text
+            if "  " in marked or MARK in marked:
+                found = [w[1:] for w in _WORD.findall(marked.replace(MARK, chr(FALLBACK_MARK)).replace(" ", MARK))]
+            else:
+                found = text.split(" ")
             for lo in range(0, len(found), BATCH):
-                some = found[lo:lo + BATCH]
+                some = found[lo:lo + BATCH] if len(found) > BATCH else found
                 words += some
-                rows += [i] * len(some)
-                places += range(lo, lo + len(some))
+                runs.append((i, lo, len(some)))
                 if len(words) >= BATCH:
-                    yield np.array(rows), words, np.array(places)
-                    rows, words, places = [], [], []
+                    yield batch()
+                    words, runs = [], []
         if words:
-            yield np.array(rows), words, np.array(places)
+            yield batch()
 
-    def _walk(self, lattices: Lattices, kinds: np.ndarray, seeds: np.ndarray, places: np.ndarray,
-              words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Piece ids drawn from the words' ends to their starts, whose they are, and in which step."""
+    def _walk(self, lattices: Lattices, kinds: np.ndarray, seeds: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Piece ids drawn from the words' ends to their starts, whose they are, and in which step (times 4, less
+        the place of a further byte of a letter)."""
         first, at = lattices.first[kinds], lattices.first[kinds + 1] - 1
         stream = _mixed(seeds + np.uint64(0x9E3779B97F4A7C15) * (places.astype(np.uint64) + np.uint64(1)))
         on = np.arange(len(kinds))
@@ -211,32 +246,28 @@ class Model:
         while len(on):
             draw = _mixed(stream[on] + np.uint64(0xD1342543DE82EF95 * (step + 1) % (1 << 64)))
             share = (draw >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
-            edge = np.minimum(np.searchsorted(lattices.upto, at[on] + share, "right"), lattices.last[at[on]])
+            edge = lattices.head[at[on]]
+            short = np.nonzero(lattices.upto[edge] <= share)[0]
+            while len(short):
+                edge[short] += 1
+                short = short[lattices.upto[edge[short]] <= share[short]]
             piece, start = lattices.ids[edge], lattices.starts[edge]
             ids.append(piece)
             owner.append(on)
-            steps.append(np.full(len(on), step << 2))
-            back = self._is_byte[piece]
-            if back.any():  # the other bytes of a letter that fell back
-                for n in np.nonzero(back)[0].tolist():
-                    w = on[n]
-                    letter = words[kinds[w]][start[n] - first[w]]
-                    rest = (MARK if ord(letter) == FALLBACK_MARK else letter).encode("utf-8", "surrogatepass")[1:]
+            steps.append(np.full(len(on), step << 2, np.int32))
+            fell = np.nonzero(self.is_byte[piece])[0]
+            if len(fell):  # a letter that fell back has further bytes
+                letters = lattices.letters[start[fell] - kinds[on[fell]]]
+                for n, letter in zip(fell[letters > 0x7F].tolist(), letters[letters > 0x7F].tolist()):
+                    rest = (MARK if letter == FALLBACK_MARK else chr(letter)).encode("utf-8", "surrogatepass")[1:]
                     ids.append(self.byte_ids[list(rest)])
-                    owner.append(np.full(len(rest), w))
-                    steps.append((step << 2) - 1 - np.arange(len(rest)))
+                    owner.append(np.full(len(rest), on[n]))
+                    steps.append(((step << 2) - 1 - np.arange(len(rest))).astype(np.int32))
             at[on] = start
             on = on[start > first[on]]
             step += 1
         return np.concatenate(ids), np.concatenate(owner), np.concatenate(steps)
 
-    @property
-    def _is_byte(self) -> np.ndarray:
-        if not hasattr(self, "_byte_flags"):
-            self._byte_flags = np.zeros(len(self.weights), bool)
-            self._byte_flags[self.byte_ids] = True
-        return self._byte_flags
-
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(self.bytes_of[ids].tolist())[1:].decode("utf-8", "replace")
 
