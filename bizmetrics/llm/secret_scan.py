@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bizmetrics.llm.common import KEY, row_key, ship, sized
+from bizmetrics.llm.common import row_key, ship, sized, spare
 from bizmetrics.session import cut_lineage
 
 #: The base patterns. In a listed order, which breaks ties between spans.
@@ -146,9 +146,15 @@ def secrets(docs: DataFrame, owner: Column, repository: Column, least_owners: in
     with_all = rows.select("key", "doc_id").join(listed, "key", "left").withColumn(
         "found", F.coalesce("found", F.array().cast("array<struct<start:bigint,kind:int,stop:bigint,example:boolean>>")))
     base = F.filter("found", lambda s: s["kind"] < 3)
-    count = lambda test: F.size(F.filter("found", test)).cast("bigint")
+
+    def count(test) -> Column:
+        return F.size(F.filter("found", lambda s: test(s))).cast("bigint")
+
+    def of_kind(i: int):
+        return lambda s: s["kind"] == i
+
     return with_all.select(
-        "doc_id", *[count(lambda s, i=i: s["kind"] == i).alias(f"n_{name}") for i, name in enumerate(KINDS[:3])],
+        "doc_id", *[count(of_kind(i)).alias(f"n_{name}") for i, name in enumerate(KINDS[:3])],
         F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"),
         count(lambda s: ~s["example"]).alias("n_live"), count(lambda s: s["example"]).alias("n_example"))
 
@@ -158,17 +164,18 @@ def redact(docs: DataFrame, owner: Column, repository: Column, least_owners: int
     """``docs`` with every span that looks live replaced by ``mark``, overlapping spans by one; widely copied
     examples stay as they are, and so do all rows and other columns. A null text stays null."""
     _, judged = _judged(docs, owner, repository, least_owners, least_repositories, id_col, text_col)
-    live = judged.select(F.col("key").alias(KEY), F.filter("spans", lambda s: ~s["example"]).alias("s")).where(F.size("s") > 0).select(
-        KEY, F.transform("s", lambda s: s["start"]).alias("__llm_starts"), F.transform("s", lambda s: s["stop"]).alias("__llm_stops"))
-    live = sized(live, 2 * F.size("__llm_starts") + 1)
+    key, starts, stops = (spare(docs, c) for c in ("row_key", "span_starts", "span_stops"))
+    live = judged.select(F.col("key").alias(key), F.filter("spans", lambda s: ~s["example"]).alias("s")).where(F.size("s") > 0).select(
+        key, F.transform("s", lambda s: s["start"]).alias(starts), F.transform("s", lambda s: s["stop"]).alias(stops))
+    live = sized(live, 2 * F.size(starts) + 1)
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
         return pa.array(map(_without, texts.to_pylist(), starts.to_pylist(), stops.to_pylist(), [mark] * len(texts)), pa.string())
 
-    keyed = docs.withColumn(KEY, row_key(id_col, text_col)).join(live, KEY, "left")
-    hit = F.col("__llm_starts").isNotNull()
-    changed = F.when(hit, cut(F.when(hit, F.col(f"`{text_col}`")), "__llm_starts", "__llm_stops")).otherwise(F.col(f"`{text_col}`"))
+    keyed = docs.withColumn(key, row_key(id_col, text_col)).join(live, key, "left")
+    text, hit = F.col(f"`{text_col}`"), F.col(starts).isNotNull()
+    changed = F.when(hit, cut(F.when(hit, text), starts, stops)).otherwise(text)
     return keyed.withColumn(text_col, changed).select([F.col(f"`{c}`") for c in docs.columns])
 
 
