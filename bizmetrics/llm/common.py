@@ -11,10 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bizmetrics.session import cut_lineage
 
-#: A column name of the operators' own, which clashes with none of the caller's.
-KEY = "__llm_row_key"
-
-
 #: A stored table may be broadcast if it holds so many values (keys, numbers, spans) at most,
 #: some tens of MB. Beyond that the same join shuffles; its rows are the same.
 BROADCAST_VALUES = 200_000
@@ -68,9 +64,18 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *mor
                        *[F.col(f"`{c}`").alias(c) for c in more])
 
 
+def spare(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that clashes with none of the table's."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def keep_keys(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               drop: bool = False) -> DataFrame:
     """The rows of ``docs`` whose row key is in ``keys`` (one column ``key``), or is not."""
-    keyed = docs.withColumn(KEY, row_key(id_col, text_col))
-    wanted = keys.select(F.col("key").alias(KEY))
-    return keyed.join(wanted, KEY, "left_anti" if drop else "left_semi").drop(KEY)
+    name = spare(docs, "row_key")
+    keyed = docs.withColumn(name, row_key(id_col, text_col))
+    wanted = keys.select(F.col("key").alias(name))
+    return keyed.join(wanted, name, "left_anti" if drop else "left_semi").drop(name)

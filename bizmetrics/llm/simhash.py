@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from bizmetrics.llm.common import KEY, narrow, row_key, ship
+from bizmetrics.llm.common import narrow, row_key, ship, spare
 from bizmetrics.llm.components import connected_components
 from bizmetrics.session import cut_lineage
 
@@ -189,6 +189,6 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, i
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
     by_print = rows.groupBy("fp").agg(first.alias("first"))
     kept = by_print.join(roots.select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
-    keyed = docs.withColumn(KEY, row_key(id_col, text_col))
-    wanted = kept.select(F.col("first.key").alias(KEY))
-    return keyed.join(wanted, KEY, "left_semi").dropDuplicates([KEY]).drop(KEY)
+    name = spare(docs, "row_key")
+    keyed = docs.withColumn(name, row_key(id_col, text_col))
+    return keyed.join(kept.select(F.col("first.key").alias(name)), name, "left_semi").dropDuplicates([name]).drop(name)
