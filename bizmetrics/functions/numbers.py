@@ -4,10 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Plain decimal or exponent notation; keeps Java-only spellings such as ``12d`` out.
-NUMBER_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-
-
 def or_zero(col: Column) -> Column:
     """NULL becomes 0."""
     return F.coalesce(col, F.lit(0))
@@ -45,5 +41,7 @@ def truncated(col: Column) -> Column:
 
 
 def parse_number(col: Column) -> Column:
-    """Text to double; anything that is not a plain number becomes NULL."""
-    return F.regexp_extract(F.trim(col), NUMBER_TEXT, 0).try_cast("double")
+    """Text to double; anything that is not a plain number becomes NULL. Only text of nothing but digits,
+    signs, points and the exponent's letter is cast, which keeps Java's own spellings out."""
+    text = F.trim(col)
+    return F.when((F.translate(text, "0123456789+-.eE", "") == "") & ~F.startswith(F.lower(text), F.lit("e")), text.try_cast("double"))

@@ -31,13 +31,30 @@ def or_label(col: Column, text: str, empty_too: bool = False) -> Column:
     return F.coalesce(F.nullif(col, F.lit("")) if empty_too else col, F.lit(text))
 
 
-MONTH_FIRST = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
+#: Layouts of a date, each with the order of its parts. English month names.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+MONTH_FIRST = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$"
 ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
+DIGITS_ONLY = r"^(\d{4})(\d{2})(\d{2})$"
+DAY_NAME = r"(?i)^(\d{1,2})[ -]([a-z]{3})[a-z]*\.?,?[ -](\d{4})$"
+NAME_DAY = r"(?i)^([a-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})$"
 
 
 def parse_date(col: Column) -> Column:
-    """Text to date: ISO (a time of day is cut off), month/day/year or year/month/day;
+    """Text to date: ISO (a time of day is cut off), year/month/day, month/day/year, eight digits, or
+    with an English month name as ``July 15, 2001``, ``15 July 2001`` and ``15-Jul-2001``;
     anything else becomes NULL. Casting does not throw on bad text, as parsing with
-    patterns does internally, which is slow where many cells are bad."""
-    iso = F.translate(F.regexp_replace(F.trim(col), MONTH_FIRST, "$3-$1-$2"), "/", "-")
-    return F.regexp_extract(iso, ISO_DATE, 0).try_cast("date")
+    patterns does internally, which is slow where many cells are bad. The rarer layouts are only tried
+    where the text isn't ISO already."""
+    text = F.trim(col)
+    iso = F.translate(text, "/", "-")
+
+    def dated(pattern: str, year: int, month: int, day: int, named: bool = False) -> Column:
+        part = lambda n: F.regexp_extract(text, pattern, n)
+        name = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(part(month), 1, 3)))
+        number = F.nullif(name, F.lit(0)).cast("string") if named else part(month)
+        return F.concat_ws("-", part(year), F.when(part(year) != "", number), part(day))
+
+    other = F.coalesce(*[made.try_cast("date") for made in (
+        dated(MONTH_FIRST, 3, 1, 2), dated(DIGITS_ONLY, 1, 2, 3), dated(DAY_NAME, 3, 2, 1, True), dated(NAME_DAY, 3, 1, 2, True))])
+    return F.when(iso.rlike(ISO_DATE), iso.try_cast("date")).otherwise(other)

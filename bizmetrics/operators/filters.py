@@ -76,11 +76,11 @@ def in_month(df: DataFrame, col: str, as_of: AsOf) -> DataFrame:
 
 
 def between_dates(df: DataFrame, col: str, lo: AsOf | None = None, hi: AsOf | None = None) -> DataFrame:
-    """Both ends are inclusive and optional."""
+    """Both ends are inclusive days and optional; of timestamps, the whole last day counts."""
     if lo:
         df = df.where(F.col(col) >= F.lit(dates.as_date(lo)))
     if hi:
-        df = df.where(F.col(col) <= F.lit(dates.as_date(hi)))
+        df = df.where(F.col(col) < F.lit(dates.as_date(hi) + dt.timedelta(days=1)))
     return df
 
 

@@ -26,9 +26,14 @@ from bizmetrics.session import cut_lineage
 #: Model names in order of preference among equal scores.
 MODEL_ORDER = ("random_forest", "linear_regression", "decision_tree")
 
-#: Deep enough to single out every month of a decade; MLlib allows up to 30.
-DEPTH = 8
+#: As deep as MLlib's trees go: they grow until their leaves are pure, as far as that allows.
+DEPTH = 30
+#: Candidate splits per feature. Rows are what a series of months has, so every one can be told apart; a
+#: panel's features have more values and are split between that many quantiles of them. Series themselves
+#: are never told apart by splits.
 BINS = 128
+#: For the statistics of the nodes that are split in one pass: deep trees have many.
+MEMORY_MB = 1024
 
 
 @dataclass(frozen=True)
@@ -37,14 +42,14 @@ class Training:
     predictions: DataFrame  # test part: model, keys, time, actual, predicted
 
 
-def _estimator(name: str, trees: int, depth: int, seed: int):
+def _estimator(name: str, trees: int, depth: int, seed: int, bins: int = BINS):
     columns = {"featuresCol": "features", "labelCol": "label", "predictionCol": "predicted"}
     # All features at every split and fine bins, for trees that fit a short series closely.
     if name == "random_forest":
-        return RandomForestRegressor(numTrees=trees, maxDepth=depth, maxBins=BINS, seed=seed,
+        return RandomForestRegressor(numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed, maxMemoryInMB=MEMORY_MB,
                                      featureSubsetStrategy="all", **columns)
     if name == "decision_tree":
-        return DecisionTreeRegressor(maxDepth=depth, maxBins=BINS, seed=seed, **columns)
+        return DecisionTreeRegressor(maxDepth=depth, maxBins=bins, seed=seed, **columns)
     return LinearRegression(**columns)
 
 
@@ -55,7 +60,7 @@ def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def train_all(features: DataFrame, by: Sequence[str] | None = None, test_frac: float = 0.2, seed: int = 42,
               value: str = "revenue", time: str = "month", names: Sequence[str] = MODEL_ORDER,
-              trees: int = 100, depth: int = DEPTH, columns: Sequence[str] = FEATURES) -> Training:
+              trees: int = 100, depth: int = DEPTH, columns: Sequence[str] = FEATURES, bins: int = BINS) -> Training:
     """Fit each model on the earlier part of every series and predict the later part."""
     keys = [*(by or []), time]
     labelled = _vectors(
@@ -65,7 +70,7 @@ def train_all(features: DataFrame, by: Sequence[str] | None = None, test_frac: f
     train, test = (stored.where(F.col("part") == part) for part in ("train", "test"))
     # The fits are independent sequences of jobs: submit them side by side.
     fit = inheritable_thread_target(stored.sparkSession)(
-        lambda name: _estimator(name, trees, depth, seed).fit(train))
+        lambda name: _estimator(name, trees, depth, seed, bins).fit(train))
     with ThreadPool(len(names)) as pool:
         models = dict(zip(names, pool.map(fit, names)))
     predictions = [
@@ -131,6 +136,11 @@ def serving_row(df: DataFrame, by: Sequence[str] | None = None,
             .drop("_r", "_n"))
 
 
+def winner(training: Training) -> str:
+    """The name of the model with the best score."""
+    return best_model(regression_metrics(training.predictions)).first()["model"]  # one row per model
+
+
 def forecast_next(model: Transformer | None, df: DataFrame, by: Sequence[str] | None = None,
                   value: str = "revenue", time: str = "month") -> DataFrame:
     """Next month per series: the model's prediction, but at least half the last value;
@@ -167,22 +177,24 @@ def feature_importance(training: Training, model: str = "random_forest",
 
 
 def forecast_by_index(monthly: DataFrame, by: Sequence[str] | None = None, value: str = "sales",
-                      time: str = "month", trees: int = 100, depth: int = DEPTH, seed: int = 42) -> DataFrame:
+                      time: str = "month", trees: int = 100, depth: int = DEPTH, seed: int = 42, bins: int = BINS) -> DataFrame:
     """Forest on the month index, asked for the index after the last; whole part.
 
-    With keys, one forest serves all series; it tells them apart by their mean level.
+    With keys, one forest serves all series. It learns each month's distance from its series' mean, in the
+    series' own standard deviations, and the answer is scaled back: series needn't be told apart.
     """
     keys = list(by or [])
-    columns = ["idx", "level"] if keys else ["idx"]
-    label = F.col(value).cast("double")
-    numbered = month_index(monthly, keys, time).withColumns(
-        {"label": label, "level": F.avg(label).over(Window.partitionBy(*keys))})
-    stored = cut_lineage(_vectors(numbered, columns).select(*keys, "idx", "level", "label", "features"))
-    model = _estimator("random_forest", trees, depth, seed).fit(stored)
-    following = (stored.groupBy(*keys).agg((F.max("idx") + 1).alias("idx"), F.max("level").alias("level"))
+    y, series = F.col(value).cast("double"), Window.partitionBy(*keys)
+    level, spread = (F.avg(y).over(series), F.coalesce(F.stddev_pop(y).over(series), F.lit(0.0))) if keys else (F.lit(0.0), F.lit(1.0))
+    numbered = month_index(monthly, keys, time).withColumns({"level": level, "spread": spread}).withColumn(
+        "label", F.when(F.col("spread") > 0, (y - F.col("level")) / F.col("spread")).otherwise(F.lit(0.0)))
+    stored = cut_lineage(_vectors(numbered, ["idx"]).select(*keys, "idx", "level", "spread", "label", "features"))
+    model = _estimator("random_forest", trees, depth, seed, bins).fit(stored)
+    following = (stored.groupBy(*keys).agg((F.max("idx") + 1).alias("idx"), F.max("level").alias("level"), F.max("spread").alias("spread"))
                  .where(F.col("idx").isNotNull()))
-    return model.transform(_vectors(following, columns)).select(
-        *keys, F.col("idx").cast("int").alias("idx"), truncated(F.col("predicted")).alias("prediction"))
+    return model.transform(_vectors(following, ["idx"])).select(
+        *keys, F.col("idx").cast("int").alias("idx"),
+        truncated(F.col("level") + F.col("spread") * F.col("predicted")).alias("prediction"))
 
 
 def forecast_by_index_line(monthly: DataFrame, by: Sequence[str] | None = None,

@@ -91,14 +91,14 @@ def running_stock(movements: DataFrame, products: DataFrame | None = None) -> Da
     slices = range_slices(movements.withColumn("_signed", signed_quantity()), order)
     carried = carried_forward(
         slices.groupBy("_slice", "product_id").agg(F.sum("_signed").alias("_sum")), "product_id", "_sum")
-    inside = (Window.partitionBy("_slice", "product_id").orderBy(*order[1:])
+    inside = (Window.partitionBy("_slice", "product_id").orderBy("_place")
               .rowsBetween(Window.unboundedPreceding, 0))
     # Broadcast is safe: one row per slice at most (see ``carried_forward``).
     moved = (slices.withColumn("_within", F.sum("_signed").over(inside))
              .join(F.broadcast(carried), (F.col("_slice") == F.col("_into")) & F.col("product_id").eqNullSafe(F.col("_key")),
                    "left")
              .withColumn("running_stock", F.col("_within") + F.coalesce("_carried", F.lit(0)))
-             .drop("_slice", "_into", "_key", "_signed", "_within", "_carried"))
+             .drop("_slice", "_place", "_into", "_key", "_signed", "_within", "_carried"))
     if products is None:
         return moved
     opening = products.select(F.col("id").alias("product_id"), F.col("quantity").alias("_opening"))

@@ -5,12 +5,17 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
-from bizmetrics.session import cut_lineage
+from bizmetrics.session import partitions_for, planned_bytes, store_once
 
-#: Pages this close to either end are a top-k; anything deeper is found by counting slices.
+#: Pages this close to either end are a top-k; deeper ones start from a row found by counting.
+#: How a page is found never changes its rows.
 SHALLOW_ROWS = 10_000
+#: Rows whose place is counted in one pass, and how many are sampled to choose them from.
+SPLITTERS, SAMPLED = 16, 1_500
+#: Where a row stands in its slice: the low bits of its number.
+PLACE_BITS = 33
 
 
 def sort_keys(order: list[str], backwards: bool = False) -> list[Column]:
@@ -23,17 +28,33 @@ def sort_keys(order: list[str], backwards: bool = False) -> list[Column]:
     return keys
 
 
+def total_order(df: DataFrame, order: list[str]) -> list[str]:
+    """``order`` and then every other column that can be compared: rows that still tie are equal."""
+    named = {name.lstrip("-") for name in order}
+    comparable = (T.AtomicType, T.NullType)
+    return [*order, *[f.name for f in df.schema.fields if f.name not in named and isinstance(f.dataType, comparable)]]
+
+
+def _ties(df: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def range_slices(df: DataFrame, order: list[str]) -> DataFrame:
-    """Cut the globally sorted rows into consecutive slices, numbered in ``_slice``.
+    """Cut the globally sorted rows into consecutive slices, numbered in ``_slice``; ``_place`` is a
+    row's place in its slice, from 0.
 
     Slices follow the whole sort key and, among equal keys, a hash of the row, so the rows
-    of a hot key (or a hot timestamp) spread over as many slices as they fill. The slices
-    are stored, since their bounds come from a sample: every later branch has to see the
-    same cut.
+    of a hot key (or a hot timestamp) spread over as many slices as they fill. There are as many as the
+    expected size asks for. They are stored by column, since their bounds come from a sample: every later
+    branch has to see the same cut.
     """
-    ties = F.xxhash64(*df.columns)
-    return cut_lineage(
-        df.repartitionByRange(*sort_keys(order), ties).withColumn("_slice", F.spark_partition_id()))
+    keys = [*sort_keys(order), _ties(df)]
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(partitions_for(planned_bytes(df), least), *keys).sortWithinPartitions(*keys)
+    # One number gives both: the partition in its high bits, the place in the low ones.
+    stored = store_once(cut.withColumn("_number", F.monotonically_increasing_id()), "slices")
+    return stored.withColumns({"_slice": F.shiftright("_number", PLACE_BITS),
+                               "_place": F.col("_number").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))}).drop("_number")
 
 
 def slice_offsets(slices: DataFrame) -> DataFrame:
@@ -44,17 +65,12 @@ def slice_offsets(slices: DataFrame) -> DataFrame:
 
 
 def global_row_number(df: DataFrame, order: list[str], out: str = "row_number") -> DataFrame:
-    """1-based position in the global order, without a single-task window."""
-    slices = range_slices(df, order)
-    return _number(slices, slice_offsets(slices), order, out)
-
-
-def _number(slices: DataFrame, offsets: DataFrame, order: list[str], out: str) -> DataFrame:
-    inside = Window.partitionBy("_slice").orderBy(*sort_keys(order))
+    """1-based position in the global order, without a single-task window and with one shuffle."""
+    slices = range_slices(df, total_order(df, order))
     # Broadcast is safe: offsets hold one row per shuffle partition.
-    return (slices.join(F.broadcast(offsets.select("_slice", "_before")), "_slice")
-            .withColumn(out, F.col("_before") + F.row_number().over(inside))
-            .drop("_slice", "_before"))
+    return (slices.join(F.broadcast(slice_offsets(slices).select("_slice", "_before")), "_slice")
+            .withColumn(out, F.col("_before") + F.col("_place") + 1)
+            .drop("_slice", "_place", "_before"))
 
 
 @dataclass(frozen=True)
@@ -74,7 +90,9 @@ class Page:
 
 
 def page_number(asked: object, page_count: int) -> int:
-    """Not a whole number: first page. Below 1 or beyond the end: last page."""
+    """Not a whole number: first page. Below 1 or beyond the end: last page. A function is asked with the
+    number of pages."""
+    asked = asked(page_count) if callable(asked) else asked
     try:
         number = int(asked) if float(asked).is_integer() else 1
     except (TypeError, ValueError, OverflowError):
@@ -83,27 +101,104 @@ def page_number(asked: object, page_count: int) -> int:
 
 
 def page(df: DataFrame, order: list[str], number: object = 1, size: int = 20) -> Page:
-    """One page of the sorted rows. ``order`` should end in a key, so pages are stable."""
+    """One page of the sorted rows. Rows that tie in ``order`` are told apart by their other columns, so the
+    pages hold every row once, whatever the order and however deep the page."""
     total = df.count()
     pages = max(1, math.ceil(total / size))
     n = page_number(number, pages)
     first, last = (n - 1) * size, min(n * size, total)
+    full = total_order(df, order)
     if last <= SHALLOW_ROWS:
-        rows = df.orderBy(*sort_keys(order)).offset(first).limit(size)
+        rows = df.orderBy(*sort_keys(full)).offset(first).limit(size)
     elif total - first <= SHALLOW_ROWS:
-        tail = df.orderBy(*sort_keys(order, backwards=True)).limit(total - first)
-        rows = tail.orderBy(*sort_keys(order)).limit(size)
+        tail = df.orderBy(*sort_keys(full, backwards=True)).limit(total - first)
+        rows = tail.orderBy(*sort_keys(full)).limit(size)
     else:
-        rows = _middle(df, order, first, last)
+        rows = _middle(df, full, first, last - first, total)
     return Page(rows, n, pages, total, first + 1 if total else 0, last)
 
 
-def _middle(df: DataFrame, order: list[str], first: int, last: int) -> DataFrame:
-    """Rows ``first`` (0-based) to ``last`` (exclusive), from the slices that hold them."""
-    slices = range_slices(df, order)
-    offsets = slice_offsets(slices)
-    wanted = offsets.where((F.col("_before") < last) & (F.col("_before") + F.col("_rows") > first))
-    position = F.col("_position")
-    return (_number(slices, wanted, order, "_position")
-            .where((position > first) & (position <= last))
-            .orderBy("_position").drop("_position"))
+def _values(order: list[str], rows: list[Row]) -> dict[str, Column]:
+    """The sort columns of some rows as constant columns ``_v<row>_<column>``, for conditions written as text:
+    building them from column objects takes longer than running them."""
+    names = [name.lstrip("-") for name in order]
+    return {f"_v{i}_{j}": F.lit(row[n]) for i, row in enumerate(rows) for j, n in enumerate(names)}
+
+
+def _before(order: list[str], i: int, or_equal: bool = False) -> str:
+    """Whether a row is sorted before row ``i`` of the values; nulls come first upwards and last downwards."""
+    found = str(or_equal).lower()
+    for j, name in reversed(list(enumerate(order))):
+        col, value = f"`{name.lstrip('-')}`", f"_v{i}_{j}"
+        ahead = (f"coalesce({col} > {value}, {col} IS NOT NULL AND {value} IS NULL)" if name.startswith("-")
+                 else f"coalesce({col} < {value}, {col} IS NULL AND {value} IS NOT NULL)")
+        found = f"({ahead} OR ({col} <=> {value} AND {found}))"
+    return found
+
+
+def _equal(order: list[str], i: int) -> str:
+    return " AND ".join(f"`{name.lstrip('-')}` <=> _v{i}_{j}" for j, name in enumerate(order))
+
+
+def _between(df: DataFrame, order: list[str], below: Row | None, above: Row | None, behind: bool = False, upto: bool = False) -> DataFrame:
+    """Rows from ``below`` (or behind it) to before ``above`` (or with it)."""
+    conditions = [f"NOT {_before(order, 0, behind)}"] * (below is not None) + [_before(order, 1, upto)] * (above is not None)
+    if not conditions:
+        return df
+    values = _values(order, [below or above, above or below])
+    return df.withColumns(values).where(" AND ".join(conditions)).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _counted(df: DataFrame, order: list[str], splitters: list[Row]) -> list[tuple[Row, int, int]]:
+    """Each of the sorted ``splitters`` with the rows between the one before and it, and the rows equal to it.
+    A row finds its place among them by bisection."""
+    def place(lo: int, hi: int) -> str:
+        if lo == hi:  # behind splitter lo - 1, if there is one, or equal to it
+            return f"CASE WHEN {_equal(order, lo - 1)} THEN {2 * lo - 1} ELSE {2 * lo} END" if lo else "0"
+        middle = (lo + hi) // 2
+        return f"CASE WHEN {_before(order, middle)} THEN {place(lo, middle)} ELSE {place(middle + 1, hi)} END"
+
+    if not splitters:
+        return []
+    placed = df.withColumns(_values(order, splitters)).select(F.expr(place(0, len(splitters))).alias("place"))
+    counts = {r["place"]: r["count"] for r in placed.groupBy("place").count().collect()}
+    return [(s, counts.get(2 * i, 0), counts.get(2 * i + 1, 0)) for i, s in enumerate(splitters)]
+
+
+def _middle(df: DataFrame, order: list[str], first: int, size: int, total: int) -> DataFrame:
+    """``size`` rows from ``first`` (0-based) on, sorted. A row not far before it is found by counting how many rows
+    stand before some sampled ones, again and again between the two around it; nothing is stored, and only
+    the sort columns are read. Where equal rows fill the rest of the way, they are passed over as one."""
+    columns = [name.lstrip("-") for name in order]
+    below, done, above, until, finer = None, 0, None, total, 1
+    while first - done > SHALLOW_ROWS:
+        within = _between(df.select(*columns), order, below, above)
+        # Chosen by the hash of the sort columns, equal rows once: about SAMPLED of them, whatever the size.
+        every = max(1, (until - done) // (SAMPLED * finer))
+        chosen = within.where(F.pmod(F.xxhash64(*columns, F.lit(done)), F.lit(every)) == 0)
+        sample = chosen.distinct().orderBy(*sort_keys(order)).collect()
+        splitters = [*dict.fromkeys(sample[len(sample) * i // SPLITTERS] for i in range(SPLITTERS))] if sample else []
+        ahead, start = [], done
+        for splitter, between, equal in _counted(within, order, splitters):
+            ahead.append((start + between, start + between + equal, splitter))
+            start += between + equal
+        for start, stop, s in ahead:
+            if start <= first < stop and first - start > SHALLOW_ROWS:  # in a long run of equal rows
+                equal = min(size, stop - first)
+                run = _between(df, order, s, s, upto=True).limit(equal)
+                rest = _between(df, order, s, None, behind=True).orderBy(*sort_keys(order)).limit(size - equal)
+                return run.unionByName(rest).orderBy(*sort_keys(order))
+        lower = [x for x in ahead if x[0] <= first]
+        upper = [x for x in ahead if x[0] > first]
+        was = (below, above, done, until)
+        if lower and lower[-1][0] > done:
+            below, done = lower[-1][2], lower[-1][0]
+        if upper:
+            above, until = upper[0][2], upper[0][0]
+        if (below, above, done, until) == was:
+            if every == 1:
+                break  # no more different rows to choose from
+            finer *= 8  # few different rows are left: look closer
+        else:
+            finer = 1
+    return _between(df, order, below, None).orderBy(*sort_keys(order)).offset(first - done).limit(size)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -67,7 +68,7 @@ def rules_for(entity: str, schema: T.StructType | None = None) -> list[Rule]:
     rules += [max_length(n, k) for n, k in spec.max_length.items() if n in held]
     for n, t, _ in spec.fields:
         if isinstance(t, T.DecimalType) and n in held:
-            rules += fits_decimal(n, t.precision, t.scale, held[n])
+            rules += fits_decimal(n, spec.digits.get(n, t.precision), t.scale, held[n])
     rules += [one_of(n, list(labels)) for n, labels in spec.choices.items() if n in held]
     return rules + (FORM_RULES[entity]() if entity in FORM_RULES else [])
 
@@ -105,3 +106,12 @@ def duplicate_keys(df: DataFrame, key: str | list[str]) -> DataFrame:
     keys = [key] if isinstance(key, str) else key
     return (df.na.drop("any", subset=keys).groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1))
+
+
+def duplicate_keys_of(df: DataFrame, entity: str) -> DataFrame:
+    """Values of the entity's declared keys that occur more than once, as text: ``key``, ``value``, ``rows``."""
+    keys = ENTITIES[entity].unique
+    if not keys:
+        raise ValueError(f"{entity} declares no unique column")
+    found = [duplicate_keys(df.select(F.col(k).cast("string").alias("value")), "value").select(F.lit(k).alias("key"), "value", "rows") for k in keys]
+    return reduce(DataFrame.unionByName, found)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bizmetrics.functions import dates
 from bizmetrics.functions.dates import AsOf
 from bizmetrics.functions.numbers import mean, or_one, or_zero
 from bizmetrics.operators.filters import in_year, search_sales, trailing_days
+from bizmetrics.schemas import ENTITIES
 
 
 def sales_series(sales: DataFrame, with_count: bool = True) -> DataFrame:
@@ -22,6 +25,27 @@ def rollup_monthly(transactions: DataFrame, by: list[str] | None = None) -> Data
             .agg(F.sum("amount").alias("revenue"), F.count(F.lit(1)).alias("transaction_count")))
 
 
+def monthly_of(transactions: DataFrame) -> DataFrame:
+    """``monthly_sales`` rows of a ledger, with that table's types."""
+    money, count = (ENTITIES["monthly_sales"].schema[c].dataType for c in ("revenue", "transaction_count"))
+    return rollup_monthly(transactions).select(
+        "month", F.col("revenue").cast(money).alias("revenue"), F.col("transaction_count").cast(count).alias("transaction_count"))
+
+
+def two_months(transactions: DataFrame, as_of: AsOf) -> DataFrame:
+    """``monthly_sales`` of the month of ``as_of`` and the one before, which is all that the boards read. The range
+    stands on the ledger's own time, where the scan can use it, as on the rolled-up month it could not."""
+    return monthly_of(transactions.where(dates.within(
+        F.col("transaction_date"), dates.previous_month(as_of), dates.next_month(as_of))))
+
+
+def trailing_months(transactions: DataFrame, as_of: AsOf, days: int = 365) -> DataFrame:
+    """``monthly_sales`` of the months that begin within ``days`` before ``as_of``, and of all later ones."""
+    start = dates.as_date(as_of) - dt.timedelta(days=days)
+    first = start if start.day == 1 else dates.next_month(start)
+    return monthly_of(transactions.where(F.col("transaction_date") >= F.lit(first)))
+
+
 def sales_summary(sales: DataFrame, year: int | str | None = None, term: str | None = None) -> DataFrame:
     chosen = search_sales(in_year(sales, "month", year), term)
     return chosen.agg(

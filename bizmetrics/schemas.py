@@ -19,12 +19,19 @@ class Entity:
     choices: dict[str, dict[str, str]] = field(default_factory=dict)
     defaults: dict[str, object] = field(default_factory=dict)
     partition_by: str | None = None  # date column whose year lays out stored files
+    digits: dict[str, int] = field(default_factory=dict)  # where a rule allows fewer than the type holds
 
     @property
     def schema(self) -> T.StructType:
         # Nullable throughout: whether a required value is there is a quality rule.
         return T.StructType([T.StructField(n, t, True) for n, t, _ in self.fields])
 
+    @property
+    def time(self) -> str | None:
+        """The column that ranges of days refer to."""
+        have = {n for n, _, _ in self.fields}
+        return self.partition_by or next((c for c in ("month", "created_at") if c in have), None)
+
     @property
     def required(self) -> list[str]:
         return [n for n, _, needed in self.fields if needed]
@@ -53,7 +60,7 @@ ENTITIES: dict[str, Entity] = {
             ("revenue", money(25), True),
             ("transaction_count", _int, True),
             ("created_at", _ts, False), ("updated_at", _ts, False)),
-        unique=("month",), defaults={"transaction_count": 0}),
+        unique=("month",), digits={"revenue": 15}, defaults={"transaction_count": 0}),
     "sales_transaction": Entity(
         fields=(
             ("id", _long, True), ("transaction_id", _text, True), ("transaction_date", _ts, True),
@@ -77,8 +84,8 @@ ENTITIES: dict[str, Entity] = {
         defaults={"tax_amount": 0, "discount_amount": 0, "subtotal": 0, "status": "draft"}),
     "invoice_item": Entity(
         fields=(
-            ("invoice_id", _long, True), ("line", _int, True), ("description", _text, True),
-            ("quantity", _int, True), ("unit_price", money(), True), ("discount", money(10), True)),
+            ("id", _long, True), ("invoice_id", _long, True), ("line", _int, True), ("description", _text, True),
+            ("quantity", _int, True), ("unit_price", money(), True), ("discount", money(10), True), ("total", money(), True)),
         max_length={"description": 500}, defaults={"quantity": 1, "discount": 0}),
     "expense_category": Entity(
         fields=(

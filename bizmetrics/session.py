@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +32,20 @@ def partitions_for(shuffle_bytes: int, least: int = 200) -> int:
     return max(least, -(-shuffle_bytes // PARTITION_BYTES))
 
 
+#: How much larger than its stored tables a frame is taken to be at most. Without statistics the
+#: optimizer's estimate of a join is the product of its sides.
+GROWTH = 8
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The size the optimizer expects ``df`` to have, within reason; 0 where it can't tell."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = lambda node: int(node.stats().sizeInBytes())
+    leaves = plan.collectLeaves()
+    stored = [size(leaves.apply(i)) for i in range(leaves.size())]
+    return 0 if any(n >> 62 for n in stored) else min(size(plan), GROWTH * sum(stored))
+
+
 def build_session(app: str = "bizmetrics", master: str | None = None, shuffle_bytes: int | None = None,
                   **conf: str) -> SparkSession:
     """A session with the settings above. ``shuffle_bytes`` is the size of the largest
@@ -48,23 +61,15 @@ def build_session(app: str = "bizmetrics", master: str | None = None, shuffle_by
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a temporary folder: on a cluster the other
-    machines could not read what one of them wrote there.
-    """
+    """The folder all executors can reach: the one ``spark.checkpoint.dir`` names, else a folder in the
+    session's warehouse, which every executor writes its tables to."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    current = context.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="bizmetrics-")
-    context.setCheckpointDir(folder)
-    return context.getCheckpointDir().rstrip("/")
+    folder = configured or context.getCheckpointDir()
+    if not folder:
+        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch")
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
@@ -83,3 +88,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def store_once(df: DataFrame, label: str) -> DataFrame:
+    """Like ``cut_lineage``, stored by column: later reads of a few columns read only those. The files stay in
+    the shared folder, to be removed with it."""
+    path = fresh_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -31,8 +31,10 @@ def load_entity(spark: SparkSession, directory: str, name: str,
     entity = ENTITIES[name]
     stored = spark.read.schema(entity.schema).parquet(f"{directory}/{name}.parquet")
     if since or until:
-        time = F.col(entity.partition_by)
-        by_year = YEAR in stored.columns
+        if entity.time is None:
+            raise ValueError(f"{name} has no column of time to bound")
+        time = F.col(entity.time)
+        by_year = YEAR in stored.columns and entity.partition_by is not None
         if since:
             first = as_date(since)
             stored = stored.where(time >= F.lit(first))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from bizmetrics.functions.numbers import parse_number
 from bizmetrics.functions.text import parse_date
@@ -16,17 +16,19 @@ def clean_product_sales(raw: DataFrame) -> DataFrame:
     """Trim header names, turn text into dates and numbers, drop incomplete rows.
 
     A cell that does not parse is NULL, and a NULL in any column (also in columns beyond
-    the six known ones) drops its row.
+    the six known ones) drops its row. Columns that come as dates or numbers are not parsed.
     """
     trimmed = raw.toDF(*[c.strip() for c in raw.columns])
-    text = trimmed.select([F.col(f"`{c}`").cast("string").alias(c) for c in trimmed.columns])
-    parsed = (text.withColumn("Date", parse_date(F.col("Date")))
-                  .withColumns({c: parse_number(F.col(f"`{c}`")) for c in ("Sales", "Profit", "Units Sold")}))
-    return parsed.na.drop("any").withColumnsRenamed(COLUMNS)
+    kinds = {f.name: f.dataType for f in trimmed.schema.fields}
+    numbers = {c: parse_number(F.col(f"`{c}`")) if isinstance(kinds[c], T.StringType) else F.col(f"`{c}`").cast("double")
+               for c in ("Sales", "Profit", "Units Sold")}
+    date = parse_date(F.col("Date")) if isinstance(kinds["Date"], T.StringType) else F.col("Date").cast("date")
+    others = {c: F.col(f"`{c}`").cast("string") for c in trimmed.columns if c not in {"Date", *numbers}}
+    return trimmed.withColumns({"Date": date, **numbers, **others}).na.drop("any").withColumnsRenamed(COLUMNS)
 
 
 def load_product_sales(spark: SparkSession, path: str) -> DataFrame:
-    """Read the file(s) at ``path``: parquet by suffix, CSV with a header otherwise."""
+    """Read the file(s) at ``path``: parquet by suffix, CSV with a header and doubled quotes otherwise."""
     if path.rstrip("/").endswith(".parquet"):
         return clean_product_sales(spark.read.parquet(path))
-    return clean_product_sales(spark.read.option("header", True).csv(path))
+    return clean_product_sales(spark.read.option("header", True).option("escape", '"').csv(path))

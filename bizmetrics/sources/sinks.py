@@ -7,15 +7,25 @@ ends in tie-break columns, so equal dates do not pile up in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from bizmetrics.functions.dates import ISO_DAY, ISO_MINUTE
 from bizmetrics.operators.filters import active
 from bizmetrics.operators.joins import with_category, with_product
 
 
+#: Quotes inside a cell are doubled, as other programs write and expect them.
+CSV = {"header": True, "escape": '"', "dateFormat": ISO_DAY}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("dateFormat", ISO_DAY).csv(path)
+    df.write.mode("overwrite").options(**CSV).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What ``write_csv`` wrote, with the types it had. An empty cell is NULL; an empty text is told apart from it
+    by its quotes, for which the text that would mean NULL must be one that no cell holds."""
+    return spark.read.schema(schema).options(**CSV, multiLine=True, emptyValue="", nullValue="\0").csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -78,9 +88,10 @@ def product_rows(products: DataFrame) -> DataFrame:
 
 
 def movement_rows(movements: DataFrame, products: DataFrame, n: int = 100) -> DataFrame:
-    """The newest ``n`` movements with product name and a timestamp to the minute."""
+    """The newest ``n`` movements with product name and a timestamp to the minute. They are cut before the
+    product is looked up: a movement always has its product, and goes with it when it is deleted."""
     newest = [F.desc("created_at"), F.desc("id"), F.desc("product_id"), "movement_type", "quantity"]
-    return (with_product(movements, products)
-            .orderBy(*newest).limit(n)
+    return (with_product(movements.orderBy(*newest).limit(n), products)
+            .orderBy(*newest)
             .select("id", F.col("product_name").alias("product"), "movement_type", "quantity",
                     F.date_format("created_at", ISO_MINUTE).alias("created_at")))

@@ -2,14 +2,14 @@
 
 Each micro-batch stores its changed rows in a folder named by the batch id, so a batch
 that is run again after a failure replaces its own rows. The current state is the newest
-row of every key among the committed batches. Batches are grouped into epochs, and an
+row of every key among the batches that are marked as whole. Batches are grouped into epochs, and an
 epoch starts with a copy of the state before it: reading never goes back further than
-one epoch. Nothing passes through the driver.
+one epoch, and older ones are removed. Nothing passes through the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from bizmetrics.operators.inventory import signed_quantity
@@ -50,40 +50,70 @@ def _newest(versions: DataFrame, key: str) -> DataFrame:
     return versions.groupBy(key).agg(latest.alias("_row")).select(key, "_row.*")
 
 
-def keep_state(changes: DataFrame, folder: str, key: str) -> StreamingQuery:
-    """Run over everything that has arrived, then stop; call again to go on."""
+def keep_state(changes: DataFrame, folder: str, key: str, mode: str = "update") -> StreamingQuery:
+    """Run over everything that has arrived, then stop; call again to go on.
+
+    A batch's rows are stored, then a marker that says they are whole; a batch that is run again after a failure
+    writes the same rows and marker. When an epoch begins, the one before the last is removed: whoever still
+    reads has the last one's, and no state is read further back.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         epoch, first = divmod(batch_id, BATCHES_PER_EPOCH)
         here = f"{folder}/state/epoch={epoch}"
         if epoch and not first:
-            before = batch.sparkSession.read.parquet(f"{folder}/state/epoch={epoch - 1}")
+            before = spark.read.parquet(f"{folder}/state/epoch={epoch - 1}")
             _newest(before, key).write.mode("overwrite").parquet(f"{here}/batch={batch_id - 1}")
         batch.write.mode("overwrite").parquet(f"{here}/batch={batch_id}")
+        spark.range(1).select(F.lit(batch_id).alias("batch")).coalesce(1).write.mode("overwrite").parquet(
+            f"{folder}/whole/epoch={epoch}/batch_{batch_id}")
+        if epoch > 1 and not first:
+            _remove(spark, f"{folder}/state/epoch={epoch - 2}", f"{folder}/whole/epoch={epoch - 2}")
 
-    return (changes.writeStream.outputMode("update").foreachBatch(save)
+    return (changes.writeStream.outputMode(mode).foreachBatch(save)
             .option("checkpointLocation", f"{folder}/progress")
             .trigger(availableNow=True).start())
 
 
-def last_batch(spark: SparkSession, folder: str) -> int:
-    """The newest batch that the stream has committed: its commit log is named by batch."""
-    commits = spark.read.format("binaryFile").load(f"{folder}/progress/commits")
-    number = F.regexp_extract("path", r"/(\d+)$", 1).try_cast("int")
-    return commits.select(F.max(number)).first()[0]
+def _path(spark: SparkSession, name: str):
+    """A Hadoop path and its file system: the folder may be in any store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _remove(spark: SparkSession, *folders: str) -> None:
+    for name in folders:
+        path, store = _path(spark, name)
+        store.delete(path, True)
+
 
+def last_batch(spark: SparkSession, folder: str) -> int | None:
+    """The newest batch whose rows are whole; None before the first."""
+    path, store = _path(spark, f"{folder}/whole")
+    if not store.exists(path):
+        return None
+    marked = spark.read.option("recursiveFileLookup", True).schema("batch int").parquet(f"{folder}/whole")
+    return marked.agg(F.max("batch")).first()[0]
 
-def read_state(spark: SparkSession, folder: str, key: str) -> DataFrame:
-    """The newest row of every key, up to the last committed batch."""
+
+def read_state(spark: SparkSession, folder: str, key: str, schema: T.StructType | None = None) -> DataFrame:
+    """The newest row of every key, up to the last whole batch; an empty frame of ``schema`` if nothing has arrived."""
     last = last_batch(spark, folder)
+    if last is None:
+        return spark.createDataFrame([], schema or f"{key} string")
     versions = spark.read.parquet(f"{folder}/state/epoch={last // BATCHES_PER_EPOCH}")
     return _newest(versions.where(F.col("batch") <= last), key)
 
 
+def _kept(changes: DataFrame, folder: str, key: str, mode: str = "update") -> DataFrame:
+    keep_state(changes, folder, key, mode).awaitTermination()
+    return read_state(changes.sparkSession, folder, key, changes.schema)
+
+
 def stream_stock(movements: DataFrame, folder: str) -> DataFrame:
     """Bring the stock state up to date and return it."""
-    keep_state(stock_changes(movements), folder, "product_id").awaitTermination()
-    return read_state(movements.sparkSession, folder, "product_id")
+    return _kept(stock_changes(movements), folder, "product_id")
 
 
 def stream_stock_on_hand(products: DataFrame, movements: DataFrame, folder: str) -> DataFrame:
@@ -95,7 +125,7 @@ def stream_stock_on_hand(products: DataFrame, movements: DataFrame, folder: str)
         (F.col("quantity") + net).alias("stock"))
 
 
-def stream_daily_movements(movements: DataFrame, folder: str) -> DataFrame:
-    """Bring the daily counts up to date and return them."""
-    keep_state(daily_counts(movements), folder, "day").awaitTermination()
-    return read_state(movements.sparkSession, folder, "day")
+def stream_daily_movements(movements: DataFrame, folder: str, lateness: str | None = None, mode: str = "update") -> DataFrame:
+    """Bring the daily counts up to date and return them. With ``lateness`` the days are watermarked windows, and
+    ``mode`` "complete" keeps all of them."""
+    return _kept(daily_counts(movements, lateness), folder, "day", mode)

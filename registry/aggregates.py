@@ -85,7 +85,7 @@ def _(t):
            CAST(COALESCE(SUM(transaction_count) FILTER (month = DATE '2001-06-01'), 0) AS BIGINT) AS last_transactions
     FROM monthly_sales""", "current_revenue last_revenue")
 def _(t):
-    return s.month_pair(t.sales_months("2001-06-01", "2001-08-01"), AS_OF)
+    return s.month_pair(s.two_months(t.sales_transaction, AS_OF), AS_OF)
 
 
 @query("month_pair_no_previous", """
@@ -95,7 +95,7 @@ def _(t):
            CAST(COALESCE(SUM(transaction_count) FILTER (month = DATE '1994-12-01'), 0) AS BIGINT) AS last_transactions
     FROM monthly_sales""", "current_revenue last_revenue")
 def _(t):
-    return s.month_pair(t.sales_months("1994-12-01", "1995-02-01"), "1995-01-20")
+    return s.month_pair(s.two_months(t.sales_transaction, "1995-01-20"), "1995-01-20")
 
 
 @query("sales_totals", """
@@ -181,7 +181,7 @@ def _(t):
     SELECT strftime(month, '%Y-%m') AS month, CAST(revenue AS DOUBLE) AS revenue
     FROM monthly_sales WHERE month >= DATE '2001-07-15' - 365""")
 def _(t):
-    return s.sales_chart(t.sales_months("2000-08-01", "2100-01-01"), AS_OF)
+    return s.sales_chart(s.trailing_months(t.sales_transaction, AS_OF), AS_OF)
 
 
 @query("avg_monthly_expense", """

@@ -1,5 +1,6 @@
 """Boards and reports."""
 
+from bizmetrics.operators.sales import two_months
 from bizmetrics.plans import boards as b
 from registry.core import AS_OF, query
 
@@ -35,7 +36,7 @@ KPI_SQL = f"""
 
 
 def _sales(t):
-    return t.sales_months("2001-06-01", "2001-08-01")
+    return two_months(t.sales_transaction, AS_OF)
 
 
 @query("kpi_board", KPI_SQL, "current_revenue current_expenses current_profit total_inventory_value")

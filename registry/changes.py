@@ -12,15 +12,20 @@ STAMP = dt.datetime(2001, 7, 15, 12, 0)
 
 
 def _apply_sql(base, changes, columns):
-    """The change batch applied in the plainest way: last change per key, two cases."""
-    new = ", ".join(f"CASE WHEN l.op IS NULL THEN b.{x} ELSE l.{x} END AS {x}" for x in columns)
+    """The changes replayed one after another, each on what the ones before have left of its row."""
+    names = ", ".join(columns)
+    new = ", ".join(f"CASE WHEN c.op = 'delete' OR (c.op = 'update' AND NOT r.there) THEN r.{x} ELSE c.{x} END" for x in columns)
     return f"""
-    WITH last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn,
-                                        bool_or(op = 'insert') OVER (PARTITION BY id) AS creates FROM {changes}) z WHERE rn = 1)
-    SELECT b.id, {new} FROM {base} b LEFT JOIN last l ON b.id = l.id WHERE l.op IS NULL OR l.op <> 'delete'
+    WITH RECURSIVE numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS n FROM {changes}),
+    replay(id, n, there, {names}) AS (
+        SELECT k.id, CAST(0 AS BIGINT), b.id IS NOT NULL, {', '.join(f'b.{x}' for x in columns)}
+        FROM (SELECT DISTINCT id FROM numbered) k LEFT JOIN {base} b ON k.id = b.id
+        UNION ALL
+        SELECT r.id, c.n, CASE c.op WHEN 'delete' THEN false WHEN 'update' THEN r.there ELSE true END, {new}
+        FROM replay r JOIN numbered c ON c.id = r.id AND c.n = r.n + 1)
+    SELECT id, {names} FROM {base} WHERE id NOT IN (SELECT id FROM numbered)
     UNION ALL
-    SELECT l.id, {', '.join(f'l.{x}' for x in columns)} FROM last l
-    WHERE l.op <> 'delete' AND creates AND l.id NOT IN (SELECT id FROM {base})"""
+    SELECT id, {names} FROM replay r WHERE there AND n = (SELECT max(n) FROM numbered c WHERE c.id = r.id)"""
 
 
 @query("apply_changes", _apply_sql("expense_category", "category_changes", ["name", "parent_category_id", "is_active"]))
@@ -36,14 +41,14 @@ def _(t):
     return c.apply_changes(t.product.select("id", *PRODUCT_COLUMNS), t.product_changes, "id", STAMP)
 
 
-@query("apply_changes_stamped", """
-    SELECT b.id, CASE WHEN l.id IS NULL THEN b.name ELSE l.name END AS name, CAST(NULL AS TIMESTAMP) AS created_at,
-           CASE WHEN l.id IS NULL THEN CAST(NULL AS TIMESTAMP) ELSE TIMESTAMP '2001-07-15 12:00:00' END AS updated_at
-    FROM expense_category b LEFT JOIN (SELECT * FROM category_changes WHERE seq = 1) l ON b.id = l.id
-    WHERE l.op IS NULL OR l.op <> 'delete'
-    UNION ALL
-    SELECT id + 1000, CASE WHEN is_active THEN concat(name, ' again') ELSE name END,
-           TIMESTAMP '2001-07-15 12:00:00', TIMESTAMP '2001-07-15 12:00:00' FROM expense_category""")
+STAMPED = "TIMESTAMP '2001-07-15 12:00:00'"
+
+
+@query("apply_changes_stamped", f"""
+    SELECT x.id, x.name, CASE WHEN b.id IS NULL OR x.name LIKE '% back' THEN {STAMPED} END AS created_at,
+           CASE WHEN c.id IS NOT NULL THEN {STAMPED} END AS updated_at
+    FROM ({_apply_sql("expense_category", "category_changes", ["name", "parent_category_id", "is_active"])}) x
+    LEFT JOIN expense_category b ON x.id = b.id LEFT JOIN (SELECT DISTINCT id FROM category_changes) c ON x.id = c.id""")
 def _(t):
     none = F.lit(None).cast("timestamp_ntz")
     base = t.expense_category.select("id", "name").withColumns({"created_at": none, "updated_at": none})

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from bizmetrics.functions.dates import as_date, within
 from bizmetrics.operators.product_sales import monthly_resample
 from bizmetrics.session import fresh_dir
 from registry.views import GIVEN, VIEWS
@@ -49,13 +48,6 @@ class Tables:
             return self.given(name)
         raise AttributeError(name)
 
-    def sales_months(self, first: str, stop: str) -> DataFrame:
-        """``monthly_sales`` of some months. The bounds are set on the orders themselves,
-        where the scan can use them, as a filter on the rolled-up month could not be."""
-        orders = self.orders
-        return self.view("monthly_sales", orders=orders.where(within(
-            F.col("o_orderdate"), as_date(first), as_date(stop))))
-
     @property
     def panel(self) -> DataFrame:
         """Month series per country, gaps filled."""

@@ -1,5 +1,7 @@
 """Projections, filters, defaults and quality rules."""
 
+from pyspark.sql import functions as F
+
 from bizmetrics.operators import filters as f, quality as q
 from bizmetrics.schemas import (
     EXPENSE_STATUS, INVOICE_STATUS, MOVEMENT_TYPES, NO_CATEGORY, PAYMENT_METHODS, TRANSACTION_STATUS, UNITS)
@@ -333,3 +335,22 @@ def _(t):
     SELECT product_id, created_at, COUNT(*) AS rows FROM inventory_movement GROUP BY 1, 2 HAVING COUNT(*) > 1""")
 def _(t):
     return q.duplicate_keys(t.inventory_movement, ["product_id", "created_at"])
+
+
+@query("quality_digits", """
+    SELECT * FROM sales_large WHERE revenue IS NULL OR abs(revenue) < 10000000000000""", "revenue")
+def _(t):
+    """Fifteen digits are allowed, thirteen of them before the point, although the type holds more."""
+    return q.quality(t.sales_large, [r for r in q.rules_for("monthly_sales", t.sales_large.schema) if r.name == "revenue_digits"])[0]
+
+
+@query("duplicate_keys_declared", """
+    SELECT 'product_code' AS key, left(product_code, 7) AS value, COUNT(*) AS rows FROM product GROUP BY 2 HAVING COUNT(*) > 1""")
+def _(t):
+    return q.duplicate_keys_of(t.product.withColumn("product_code", F.substring("product_code", 1, 7)), "product")
+
+
+@query("between_dates_timestamp", """
+    SELECT * FROM inventory_movement_timed WHERE CAST(created_at AS DATE) BETWEEN DATE '1999-11-15' AND DATE '2000-02-15'""")
+def _(t):
+    return f.between_dates(t.inventory_movement_timed, "created_at", "1999-11-15", "2000-02-15")

@@ -117,30 +117,79 @@ def _(t):
     return line.withColumn("prediction", F.round("prediction", 2))
 
 
-# -- MLlib: rows only ----------------------------------------------------------------
+# -- MLlib: rows only, each with what SQL can say about it beside it --------------------
+
+#: The part of the panel that training keeps: series of at least six months, four of them with features.
+TESTED_SQL = """
+    SELECT country, month, CAST(revenue AS DOUBLE) AS actual
+    FROM (SELECT *, row_number() OVER w AS rn, COUNT(*) OVER (PARTITION BY country) AS n FROM (
+            SELECT *, lag(revenue, 3) OVER (PARTITION BY country ORDER BY month) AS lag3, COUNT(*) OVER (PARTITION BY country) AS months
+            FROM panel) f WHERE lag3 IS NOT NULL AND months >= 6 WINDOW w AS (PARTITION BY country ORDER BY month)) g
+    WHERE n >= 4 AND rn > n - ceil(0.2 * n)"""
+
+
+def _train(t, **models):
+    return train_on_series(t.panel, BY, **models)
+
+
+#: What SQL can check doesn't depend on the number of trees.
+FEW = {"trees": 10}
+
 
 @query("train_all")
 def _(t):
-    return fc.regression_metrics(train_on_series(t.panel, BY).predictions)
+    return fc.regression_metrics(_train(t).predictions)
+
+
+@query("train_all_checks", f"""
+    SELECT m AS model, COUNT(*) AS tested, true AS rmse_not_below_mae
+    FROM ({TESTED_SQL}) x, (SELECT unnest(['random_forest', 'linear_regression', 'decision_tree']) AS m) y GROUP BY m""")
+def _(t):
+    error = F.col("actual") - F.col("predicted")
+    return _train(t, **FEW).predictions.groupBy("model").agg(
+        F.count("*").alias("tested"), (F.sqrt(F.avg(error * error)) >= F.avg(F.abs(error))).alias("rmse_not_below_mae"))
 
 
 @query("forecast_vs_actual")
 def _(t):
-    features = forecast_features(t.panel, BY)
-    trained = fc.train_all(features, BY, names=["linear_regression"])
-    return fc.forecast_vs_actual(trained.predictions, "linear_regression")
+    trained = _train(t)
+    return fc.forecast_vs_actual(trained.predictions, fc.winner(trained))
+
+
+@query("forecast_vs_actual_checks", TESTED_SQL)
+def _(t):
+    trained = _train(t, **FEW)
+    return fc.forecast_vs_actual(trained.predictions, fc.winner(trained)).drop("predicted")
 
 
 @query("forecast_next")
 def _(t):
-    trained = fc.train_all(forecast_features(t.panel, BY), BY, names=["linear_regression"])
-    return fc.forecast_next(trained.models["linear_regression"], t.panel, BY)
+    trained = _train(t)
+    return fc.forecast_next(trained.models[fc.winner(trained)], t.panel, BY)
+
+
+@query("forecast_next_checks", """
+    SELECT country, CAST(max(month) + INTERVAL 1 MONTH AS DATE) AS month, true AS half_of_last_or_more FROM panel GROUP BY country""")
+def _(t):
+    trained = _train(t, **FEW)
+    following = fc.forecast_next(trained.models[fc.winner(trained)], t.panel, BY)
+    last = fc.serving_row(t.panel, BY).select("country", "month_lag_1")
+    return following.join(last, "country").select("country", "month", (F.col("forecast") >= F.col("month_lag_1") / 2).alias("half_of_last_or_more"))
 
 
 @query("feature_importance")
 def _(t):
-    trained = fc.train_all(forecast_features(t.panel, BY), BY, names=["decision_tree"])
-    return fc.feature_importance(trained, "decision_tree")
+    trained = fc.train_all(forecast_features(t.panel, BY), BY, names=["random_forest"])
+    return fc.feature_importance(trained)
+
+
+@query("feature_importance_checks", """
+    SELECT CAST(4 AS BIGINT) AS features, true AS sum_to_one, true AS none_below_zero FROM (SELECT COUNT(*) AS n FROM panel) p WHERE n > 0""")
+def _(t):
+    trained = fc.train_all(forecast_features(t.panel, BY), BY, names=["random_forest"], **FEW)
+    weight = F.col("importance")
+    return fc.feature_importance(trained).agg(
+        F.count("*").alias("features"), (F.abs(F.sum(weight) - 1) < 1e-9).alias("sum_to_one"), (F.min(weight) >= 0).alias("none_below_zero"))
 
 
 @query("forecast_report")
@@ -148,6 +197,25 @@ def _(t):
     return forecast_report(t.monthly_sales, AS_OF)
 
 
+#: Total, mean, extremes and count of the months up to that of the reference date, and the month after.
+REPORT_SQL = """
+    SELECT {key}strftime(max(month) + INTERVAL 1 MONTH, '%B %Y') AS next_month_date, SUM(revenue) AS total_revenue,
+           round_even(CAST(SUM(revenue) AS DOUBLE) / COUNT(*), 2) AS avg_revenue, MAX(revenue) AS max_revenue, MIN(revenue) AS min_revenue,
+           COUNT(*) AS data_count FROM {src} WHERE month < DATE '2001-08-01' {group}HAVING COUNT(*) >= 7"""
+REPORT_COLUMNS = ["next_month_date", "total_revenue", "avg_revenue", "max_revenue", "min_revenue", "data_count"]
+
+
+@query("forecast_report_checks", REPORT_SQL.format(key="", src="monthly_sales", group=""), "total_revenue max_revenue min_revenue")
+def _(t):
+    return forecast_report(t.monthly_sales, AS_OF).select(*REPORT_COLUMNS)
+
+
+@query("forecast_report_by_country", REPORT_SQL.format(key="country, ", src="panel", group="GROUP BY country "),
+       "total_revenue max_revenue min_revenue")
+def _(t):
+    return forecast_report(t.panel, AS_OF, BY, **FEW).select("country", *REPORT_COLUMNS)
+
+
 @query("forecast_by_index")
 def _(t):
     return fc.forecast_by_index(monthly_resample(t.product_sales))
@@ -156,3 +224,13 @@ def _(t):
 @query("forecast_by_index_by_country")
 def _(t):
     return fc.forecast_by_index(t.panel, BY, "revenue")
+
+
+@query("forecast_by_index_checks", "SELECT country, CAST(COUNT(*) AS INT) AS idx, true AS within_range FROM panel GROUP BY country")
+def _(t):
+    """A forest's answer lies between the least and the greatest value it has seen, here in units of its series."""
+    y = F.col("revenue").cast("double")
+    seen = t.panel.groupBy("country").agg(F.avg(y).alias("level"), F.stddev_pop(y).alias("spread"))
+    unit = F.col("spread") * 12
+    return fc.forecast_by_index(t.panel, BY, "revenue", **FEW).join(seen, "country").select(
+        "country", "idx", (F.abs(F.col("prediction") - F.col("level")) <= unit + 1).alias("within_range"))

@@ -79,16 +79,16 @@ def _(t):
     return lists.sales_list(t.monthly_sales, year="2000").described()
 
 
-@query("transaction_list", _page_sql("sales_transaction", "transaction_date DESC, id", "3", 20, columns=TRANSACTION),
+@query("transaction_list", _page_sql("transaction_named", "transaction_date DESC, id", "3", 20, columns=TRANSACTION),
        "amount")
 def _(t):
-    return lists.transaction_list(t.sales_transaction, number="3").described()
+    return lists.transaction_list(t.transaction_named, number="3").described()
 
 
-@query("transaction_list_last", _page_sql("sales_transaction", "transaction_date DESC, id", "pages", 20,
+@query("transaction_list_last", _page_sql("transaction_named", "transaction_date DESC, id", "pages", 20,
                                           columns=TRANSACTION), "amount")
 def _(t):
-    return lists.transaction_list(t.sales_transaction, number=0).described()
+    return lists.transaction_list(t.transaction_named, number=0).described()
 
 
 @query("expense_list", _page_sql(
@@ -112,8 +112,15 @@ def _(t):
 
 @query("movement_list_deep", _page_sql("inventory_movement", MOVEMENT_ORDER, "pages // 2", 30, columns=MOVEMENT))
 def _(t):
-    pages = -(-t.inventory_movement.count() // 30)
-    return lists.movement_list(t.inventory_movement, number=pages // 2).described()
+    return lists.movement_list(t.inventory_movement, number=lambda pages: pages // 2).described()
+
+
+@query("page_tied_key", _page_sql(
+    "sales_transaction", "status DESC, id, transaction_id, transaction_date, amount, payment_method", "pages * 2 // 3", 50,
+    columns="id, transaction_id, transaction_date, amount, payment_method, status"), "amount")
+def _(t):
+    """Three statuses only: the other columns tell the rows apart."""
+    return o.page(t.sales_transaction, ["-status"], lambda pages: pages * 2 // 3, 50).described()
 
 
 @query("category_list", "SELECT * FROM expense_category")

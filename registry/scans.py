@@ -1,5 +1,6 @@
 """Scans, sources and export frames."""
 
+from bizmetrics.operators.filters import with_line_total
 from bizmetrics.operators.sales import sales_series
 from bizmetrics.sources import sinks
 from bizmetrics.sources.entities import conform, load_entity, store_entity
@@ -13,12 +14,12 @@ ENTITY_SQL = {
     "monthly_sales": (f"SELECT *, {NULL_TS} AS created_at, {NULL_TS} AS updated_at FROM monthly_sales", "revenue"),
     "sales_transaction": (
         f"SELECT *, {NULL_TEXT} AS customer_phone, {NULL_TEXT} AS description, {NULL_TS} AS created_at "
-        "FROM sales_transaction", "amount"),
+        "FROM transaction_named", "amount"),
     "sales_invoice": (
         "SELECT *, CAST(NULL AS DOUBLE) AS tax_amount, CAST(NULL AS DOUBLE) AS discount_amount, "
         f"CAST(NULL AS DOUBLE) AS subtotal, {NULL_TEXT} AS notes, {NULL_TS} AS created_at, {NULL_TS} AS updated_at "
         "FROM sales_invoice", "total_amount"),
-    "invoice_item": ("SELECT * FROM invoice_item", "unit_price discount"),
+    "invoice_item": ("SELECT *, CAST(quantity * unit_price - discount AS DECIMAL(15,2)) AS total FROM invoice_item", "unit_price discount total"),
     "expense_category": (
         f"SELECT *, {NULL_TEXT} AS description, {NULL_TS} AS created_at, {NULL_TS} AS updated_at FROM expense_category", ""),
     "expense": (
@@ -33,9 +34,16 @@ ENTITY_SQL = {
 }
 
 
+#: Entities whose table here is a view with more columns.
+ENTITY_VIEW = {"sales_transaction": "transaction_named"}
+#: Columns an entity derives from others before it is stored.
+DERIVED = {"invoice_item": with_line_total}
+
+
 def _register_entities():
     for entity, (sql, doubles) in ENTITY_SQL.items():
-        query(f"entity_{entity}", sql, doubles)(lambda t, entity=entity: conform(t.view(entity), entity))
+        query(f"entity_{entity}", sql, doubles)(lambda t, entity=entity: conform(
+            DERIVED.get(entity, lambda rows: rows)(t.view(ENTITY_VIEW.get(entity, entity))), entity))
 
 
 _register_entities()
@@ -96,25 +104,33 @@ def _(t):
 
 @query("export_sales_csv", "SELECT month, revenue, transaction_count FROM monthly_sales", "revenue")
 def _(t):
-    return sinks.sales_export_frame(t.monthly_sales)
+    path = t.scratch
+    sinks.export_sales_csv(t.monthly_sales, path)
+    return sinks.read_csv(t.spark, path, sinks.sales_export_frame(t.monthly_sales).schema)
 
 
 @query("export_expenses_csv", """
     SELECT title, amount, date, name AS category_name, e.description
     FROM expense e LEFT JOIN expense_category c ON e.category_id = c.id""", "amount")
 def _(t):
-    return sinks.expenses_export_frame(t.expense, t.expense_category)
+    path = t.scratch
+    sinks.export_expenses_csv(t.expense, t.expense_category, path)
+    return sinks.read_csv(t.spark, path, sinks.expenses_export_frame(t.expense, t.expense_category).schema)
 
 
 @query("export_inventory_csv", """
     SELECT product_code, name, category, quantity, unit_price, location FROM product WHERE is_active""", "unit_price")
 def _(t):
-    return sinks.inventory_export_frame(t.product)
+    path = t.scratch
+    sinks.export_inventory_csv(t.product, path)
+    return sinks.read_csv(t.spark, path, sinks.inventory_export_frame(t.product).schema)
 
 
 @query("export_report_csv", "SELECT month, revenue, transaction_count FROM monthly_sales", "revenue")
 def _(t):
-    return sinks.report_export_frame(t.monthly_sales)
+    path = t.scratch
+    sinks.export_report_csv(t.monthly_sales, path)
+    return sinks.read_csv(t.spark, path, sinks.report_export_frame(t.monthly_sales).schema)
 
 
 @query("sales_rows", """

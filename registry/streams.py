@@ -12,6 +12,14 @@ def _movements(t):
     return t.view("inventory_movement", lineitem=lines)
 
 
+def _in_batches(t, files=4):
+    """The same movements arriving as several files, one micro-batch each."""
+    inbox = t.scratch
+    t.lineitem.repartition(files).write.parquet(inbox)
+    lines = t.spark.readStream.schema(t.lineitem.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    return t.view("inventory_movement", lineitem=lines)
+
+
 @query("stream_stock", """
     SELECT product_id, CAST(SUM(CASE WHEN movement_type IN ('in', 'return') THEN quantity ELSE -quantity END) AS BIGINT)
              AS moved, COUNT(*) AS movements FROM inventory_movement GROUP BY product_id""")
@@ -28,3 +36,17 @@ def _(t):
     SELECT CAST(created_at AS DATE) AS day, COUNT(*) AS movements FROM inventory_movement GROUP BY 1""")
 def _(t):
     return ledger.stream_daily_movements(_movements(t), t.scratch)
+
+
+@query("stream_stock_in_batches", """
+    SELECT product_id, CAST(SUM(CASE WHEN movement_type IN ('in', 'return') THEN quantity ELSE -quantity END) AS BIGINT)
+             AS moved, COUNT(*) AS movements FROM inventory_movement GROUP BY product_id""")
+def _(t):
+    return ledger.stream_stock(_in_batches(t), t.scratch)
+
+
+@query("stream_daily_movements_windowed", """
+    SELECT CAST(created_at AS DATE) AS day, COUNT(*) AS movements FROM inventory_movement GROUP BY 1""")
+def _(t):
+    """Watermarked windows over several micro-batches; the complete mode keeps late days open."""
+    return ledger.stream_daily_movements(_in_batches(t), t.scratch, lateness="1 day", mode="complete")

@@ -4,23 +4,24 @@
 SQL for the oracle, and by ``{name}`` here.
 """
 
+_TRANSACTION = """o_orderkey AS id, concat('T', lpad(CAST(o_orderkey AS STRING), 9, '0')) AS transaction_id,
+               o_orderdate AS transaction_date, CAST(o_totalprice AS DECIMAL(15,2)) AS amount,
+               CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'cash' WHEN '2' THEN 'card'
+                    WHEN '3' THEN 'transfer' ELSE 'online' END AS payment_method,
+               CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending'
+                    ELSE 'cancelled' END AS status"""
+
 VIEWS: dict[str, str] = {
     "monthly_sales": """
         SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
                CAST(SUM(CAST(o_totalprice AS DECIMAL(15,2))) AS DECIMAL(25,2)) AS revenue,
                CAST(COUNT(*) AS INT) AS transaction_count
         FROM {orders} GROUP BY 1""",
-    "sales_transaction": """
-        SELECT o_orderkey AS id,
-               concat('T', lpad(CAST(o_orderkey AS STRING), 9, '0')) AS transaction_id,
-               o_orderdate AS transaction_date,
-               CAST(o_totalprice AS DECIMAL(15,2)) AS amount,
-               CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'cash' WHEN '2' THEN 'card'
-                    WHEN '3' THEN 'transfer' ELSE 'online' END AS payment_method,
-               CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending'
-                    ELSE 'cancelled' END AS status,
-               c_name AS customer_name
-        FROM {orders} LEFT JOIN {customer} ON o_custkey = c_custkey""",
+    "sales_transaction": f"SELECT {_TRANSACTION} FROM {{orders}}",
+    # With the customer's name, where a list shows it.
+    "transaction_named": f"""
+        SELECT {_TRANSACTION}, c_name AS customer_name
+        FROM {{orders}} LEFT JOIN {{customer}} ON o_custkey = c_custkey""",
     "sales_invoice": """
         SELECT o_orderkey AS id,
                concat('INV', lpad(CAST(o_orderkey AS STRING), 9, '0')) AS invoice_number,
@@ -31,7 +32,7 @@ VIEWS: dict[str, str] = {
                CASE o_orderstatus WHEN 'F' THEN 'paid' WHEN 'O' THEN 'sent' ELSE 'draft' END AS status
         FROM {orders}""",
     "invoice_item": """
-        SELECT l_orderkey AS invoice_id, l_linenumber AS line,
+        SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS invoice_id, l_linenumber AS line,
                concat('Part ', CAST(l_partkey AS STRING)) AS description,
                CAST(l_quantity AS INT) AS quantity,
                CAST(p_retailprice AS DECIMAL(15,2)) AS unit_price,
@@ -103,6 +104,12 @@ VIEWS: dict[str, str] = {
                          ELSE o_totalprice END AS DECIMAL(25,2)) AS revenue,
                CAST(o_custkey % 9 - 2 AS INT) AS transaction_count
         FROM {orders}""",
+    "sales_large": """
+        SELECT month, CAST(CASE WHEN transaction_count % 2 = 0 THEN revenue * 100000000 ELSE revenue END AS DECIMAL(25,2)) AS revenue,
+               transaction_count
+        FROM {sales_input}""",
+    "inventory_movement_timed": """
+        SELECT id, product_id, movement_type, quantity, created_at + INTERVAL 9 HOUR AS created_at FROM {inventory_movement}""",
     "product_input": """
         SELECT id, product_code,
                CASE WHEN id % 3 = 0 THEN CAST(NULL AS STRING) WHEN id % 7 = 0 THEN 'crate' ELSE 'kg' END AS unit,
@@ -132,7 +139,15 @@ VIEWS: dict[str, str] = {
         SELECT id + 1000, concat(name, ' again'), parent_category_id, is_active, 'update', 3
         FROM {expense_category} WHERE is_active
         UNION ALL
-        SELECT id + 5000, name, parent_category_id, is_active, 'update', 4 FROM {expense_category}""",
+        SELECT id + 5000, name, parent_category_id, is_active, 'update', 4 FROM {expense_category}
+        UNION ALL
+        SELECT id, concat(name, ' late'), parent_category_id, is_active, 'update', 5 FROM {expense_category} WHERE id % 8 = 0
+        UNION ALL
+        SELECT id, concat(name, ' back'), parent_category_id, is_active, 'insert', 6 FROM {expense_category} WHERE id % 16 = 0
+        UNION ALL
+        SELECT id + 1000, name, parent_category_id, is_active, 'delete', 7 FROM {expense_category} WHERE id % 3 = 0
+        UNION ALL
+        SELECT id + 1000, concat(name, ' after'), parent_category_id, is_active, 'update', 8 FROM {expense_category} WHERE id % 6 = 0""",
     "product_changes": """
         SELECT id, concat(product_code, '-R') AS product_code, concat(name, ' (revised)') AS name,
                CAST(quantity + id % 5 AS INT) AS quantity, unit_price, is_active,

@@ -24,10 +24,33 @@ def test_latest_change_wins(spark):
         (10, "brief", "insert", 1), (10, None, "delete", 2), (11, None, "delete", 1), (12, "up", "upsert", 1))
     got = sorted(rows(c.apply_changes(base_of(spark), batch, "id", STAMP)))
     assert got == [
-        (1, "last", OLD, STAMP), (4, "back", OLD, STAMP), (5, "n5", OLD, OLD),
+        (1, "last", OLD, STAMP), (4, "back", STAMP, STAMP), (5, "n5", OLD, OLD),
         (8, "newer", STAMP, STAMP), (12, "up", STAMP, STAMP)]
 
 
+def test_updates_of_rows_that_are_gone(spark):
+    batch = batch_of(
+        spark, (1, None, "delete", 1), (1, "late", "update", 2), (2, None, "delete", 1), (2, "lost", "update", 2), (2, "back", "insert", 3),
+        (2, "again", "update", 4), (8, "new", "insert", 1), (8, None, "delete", 2), (8, "late", "update", 3), (9, "early", "update", 1),
+        (9, "new", "insert", 2), (3, "same", "insert", 5), (3, None, "delete", 5), (3, "time", "update", 5))
+    got = sorted(rows(c.apply_changes(base_of(spark), batch, "id", STAMP)))
+    assert got == [(2, "again", STAMP, STAMP), (3, "time", STAMP, STAMP), (4, "n4", OLD, OLD), (5, "n5", OLD, OLD), (9, "new", STAMP, STAMP)]
+
+
+def test_any_sequence_is_replayed(spark):
+    import random
+    rng = random.Random(4)
+    changes = [(rng.randrange(1, 30), f"v{n}", rng.choice(["insert", "update", "update", "delete", "upsert"]), n) for n in range(120)]
+    table = {n: f"n{n}" for n in range(1, 6)}
+    for key, name, op, _ in changes:
+        if op == "delete":
+            table.pop(key, None)
+        elif op != "update" or key in table:
+            table[key] = name
+    got = c.apply_changes(base_of(spark), batch_of(spark, *changes), "id", STAMP)
+    assert {r.id: r.name for r in got.collect()} == table
+
+
 def test_empty_batch_and_empty_base(spark):
     base = base_of(spark)
     assert sorted(rows(c.apply_changes(base, batch_of(spark), "id", STAMP))) == sorted(rows(base))

@@ -38,11 +38,13 @@ def test_parsing_keeps_only_plain_values(spark):
     df = spark.createDataFrame([(t,) for t in texts], "x string")
     assert [r[0] for r in rows(df.select(numbers.parse_number(F.col("x"))))] == [
         12.5, -3.0, 1000.0, 0.5, None, None, None, None, None, None]
-    texts = ["2001-07-15", " 2001-07-15 10:30:00", "7/5/2001", "2001/7/5", "15.07.2001", "2001-02-30", "soon", None]
+    texts = ["2001-07-15", " 2001-07-15 10:30:00", "7/5/2001", "2001/7/5", "15.07.2001", "2001-02-30", "soon", None,
+             "July 15, 2001", "15-Jul-2001", "20010715", "15 july 2001", "Jul 15 2001", "7-5-2001", "31 Feb 2001", "15 Foo 2001", "13/13/2001"]
     df = spark.createDataFrame([(t,) for t in texts], "x string")
     day = dt.date(2001, 7, 15)
     assert [r[0] for r in rows(df.select(text.parse_date(F.col("x"))))] == [
-        day, day, dt.date(2001, 7, 5), dt.date(2001, 7, 5), None, None, None, None]
+        day, day, dt.date(2001, 7, 5), dt.date(2001, 7, 5), None, None, None, None,
+        day, day, day, day, day, dt.date(2001, 7, 5), None, None, None]
 
 
 def test_names(spark):

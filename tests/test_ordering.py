@@ -56,6 +56,45 @@ def test_pages_are_slices_of_the_sorted_rows(movements, many_slices, monkeypatch
     assert rows(page.rows) == expected[(shown - 1) * 20:shown * 20]
 
 
+@pytest.fixture(scope="module")
+def tied(spark):
+    """One key of three values, some nulls, and a third of the rows wholly equal."""
+    rng = random.Random(9)
+    data = [("a", 1, None, 1.5)] * 1000 + [(rng.choice("abc"), rng.randrange(30), rng.choice([None, "x", "y"]), rng.random()) for _ in range(2000)]
+    rng.shuffle(data)
+    return spark.createDataFrame(data, "kind string, n int, note string, amount double").repartition(4)
+
+
+@pytest.mark.parametrize("order", [["kind"], ["-note", "n"]])
+def test_all_pages_hold_every_row_once(tied, many_slices, monkeypatch, order):
+    monkeypatch.setattr(o, "SAMPLED", 40)
+    monkeypatch.setattr(o, "SPLITTERS", 8)
+    numbers, size = (2, 4, 5, 9), 250
+    by_way = {}
+    for shallow in (10_000, 60):
+        monkeypatch.setattr(o, "SHALLOW_ROWS", shallow)
+        by_way[shallow] = {n: rows(o.page(tied, order, n, size).rows) for n in numbers}
+    assert by_way[60] == by_way[10_000]
+    monkeypatch.setattr(o, "SHALLOW_ROWS", 10_000)
+    every = [r for n in range(1, 13) for r in (by_way[10_000].get(n) or rows(o.page(tied, order, n, size).rows))]
+    assert sorted(every, key=repr) == sorted(rows(tied), key=repr)
+
+
+def test_a_deep_page_stores_nothing(tied, monkeypatch):
+    monkeypatch.setattr(o, "SHALLOW_ROWS", 100)
+    monkeypatch.setattr(o, "store_once", None)
+    assert o.page(tied, ["n"], 15, 20).rows.count() == 20
+
+
+def test_row_numbers_shuffle_once(movements):
+    """After the stored cut, only one count per slice moves; the rows themselves stay where they are."""
+    plan = plan_of(o.global_row_number(movements, ["product_id", "created_at"])).split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    for line, below in zip(plan.splitlines(), plan.splitlines()[1:]):
+        if "Exchange hashpartitioning" in line:
+            assert "HashAggregate" in below and "partial_count" in plan
+
+
 def test_last_page_may_be_short(spark):
     page = o.page(spark.range(45), ["-id"], 99)
     assert (page.start_index, page.end_index) == (41, 45)

@@ -17,10 +17,15 @@ def con():
     return con
 
 
+#: Nothing repeats there, as the tables' keys ask for.
+EMPTY_HERE = set()
+
+
 @pytest.mark.parametrize("name", [n for n, q in REGISTRY.items() if q.sql])
 def test_same_as_sql(spark, con, name):
     problem = compare(spark, con, name, REGISTRY[name].run, REGISTRY[name].sql, DATA)
-    assert problem in (None, "both empty")
+    # An empty result proves nothing, but a few questions have an empty answer on the smallest data.
+    assert problem is None or (problem == "both empty" and name in EMPTY_HERE)
 
 
 def test_driver_contract(spark):

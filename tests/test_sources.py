@@ -1,3 +1,4 @@
+import csv
 import datetime as dt
 import json
 from decimal import Decimal
@@ -10,7 +11,7 @@ from bizmetrics.schemas import ENTITIES
 from bizmetrics.sources import sinks
 from bizmetrics.sources.entities import conform, load_entity, store_entity
 from bizmetrics.sources.product_sales import load_product_sales
-from conftest import rows
+from conftest import plan_of, rows
 
 
 def test_malformed_file(spark, tmp_path):
@@ -23,11 +24,13 @@ def test_malformed_file(spark, tmp_path):
         "2001-07-15,10,n/a,3,Pen,Chile\n"
         "2001-07-15,10,2,,Pen,Chile\n"
         "2001-07-15,10,2,3,,Chile\n"
-        '7/16/2001,1e2,-1,4,"Pen, red",Peru\n')
+        '7/16/2001,1e2,-1,4,"Pen, red",Peru\n'
+        '"July 17, 2001",1,1,1,"Pen ""red"", big",Chile\n')
     clean = load_product_sales(spark, str(path))
     assert clean.columns == ["sale_date", "sales", "profit", "units_sold", "product", "country"]
     assert sorted(rows(clean)) == [
-        (dt.date(2001, 7, 15), 10.5, 2.0, 3.0, "Pen", "Chile"), (dt.date(2001, 7, 16), 100.0, -1.0, 4.0, "Pen, red", "Peru")]
+        (dt.date(2001, 7, 15), 10.5, 2.0, 3.0, "Pen", "Chile"), (dt.date(2001, 7, 16), 100.0, -1.0, 4.0, "Pen, red", "Peru"),
+        (dt.date(2001, 7, 17), 1.0, 1.0, 1.0, 'Pen "red", big', "Chile")]
     clean.withColumnsRenamed({"sale_date": "Date", "sales": "Sales", "profit": "Profit", "units_sold": "Units Sold",
                               "product": "Product", "country": "Country"}).write.parquet(str(tmp_path / "s.parquet"))
     assert sorted(rows(load_product_sales(spark, str(tmp_path / "s.parquet")))) == sorted(rows(clean))
@@ -42,6 +45,31 @@ def test_entities_round_trip(spark, tables, tmp_path, name):
     assert loaded.exceptAll(stored).count() == 0 and loaded.count() == stored.count()
 
 
+@pytest.mark.parametrize("name", [n for n, e in ENTITIES.items() if e.time])
+def test_ranges_bound_every_entity_with_a_time(spark, tables, tmp_path, name):
+    time = ENTITIES[name].time
+    frame = conform(tables.view(name), name).withColumn(time, F.coalesce(time, F.lit(dt.datetime(2000, 1, 1, 9)).cast(ENTITIES[name].schema[time].dataType)))
+    store_entity(frame, str(tmp_path), name)
+    some = load_entity(spark, str(tmp_path), name, "1999-11-15", "2000-02-15")
+    assert some.count() == frame.where(f"date({time}) BETWEEN '1999-11-15' AND '2000-02-15'").count()
+
+
+def test_an_entity_without_time_has_no_range(spark, tables, tmp_path):
+    store_entity(tables.invoice_item, str(tmp_path), "invoice_item")
+    with pytest.raises(ValueError):
+        load_entity(spark, str(tmp_path), "invoice_item", since="2000-01-01")
+
+
+def test_newest_movements_are_cut_before_the_lookup(tables):
+    plan = plan_of(sinks.movement_rows(tables.inventory_movement, tables.product)).split("== Initial Plan ==")[0]
+    assert plan.index("Join") < plan.index("TakeOrderedAndProject")  # the cut is below the join
+
+
+def test_roll_up_reads_no_customer(tables):
+    from bizmetrics.operators.sales import rollup_monthly
+    assert "customer" not in plan_of(rollup_monthly(tables.sales_transaction))
+
+
 def test_years_are_folders(spark, tables, tmp_path):
     path = store_entity(tables.expense, str(tmp_path), "expense")
     assert "year=2000" in {p.split("/")[-2] for p in spark.read.parquet(path).inputFiles()}
@@ -71,8 +99,11 @@ def test_csv_exports_are_sorted_and_quoted(spark, tables, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "stock")).count() == tables.product.where("is_active").count()
     odd = tables.expense.limit(1).withColumns({"title": F.lit('a,"b"')})
     sinks.export_expenses_csv(odd, tables.expense_category, str(tmp_path / "expenses"))
-    back = spark.read.option("header", True).option("escape", "\\").csv(str(tmp_path / "expenses")).first()
-    assert back.title == 'a,"b"'
+    (part,) = (tmp_path / "expenses").glob("part-*.csv")
+    with open(part, newline="") as file:
+        assert next(csv.DictReader(file))["title"] == 'a,"b"'
+    shape = sinks.expenses_export_frame(odd, tables.expense_category).schema
+    assert rows(sinks.read_csv(spark, str(tmp_path / "expenses"), shape)) == rows(sinks.expenses_export_frame(odd, tables.expense_category))
     sinks.export_expenses_csv(tables.expense.limit(0), tables.expense_category, str(tmp_path / "none"))
     assert spark.read.option("header", True).csv(str(tmp_path / "none")).count() == 0
 

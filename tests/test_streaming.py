@@ -57,16 +57,25 @@ def test_uncommitted_rows_are_not_read(spark, inbox, tmp_path):
     assert sorted(rows(ledger.stream_stock(ledger.movement_stream(spark, inbox), state))) == [(1, 6, 2), (2, -3, 1)]
 
 
+def test_nothing_has_arrived(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    moves = ledger.movement_stream(spark, str(tmp_path / "empty"))
+    stock = ledger.stream_stock(moves, str(tmp_path / "s"))
+    assert stock.columns == ["product_id", "moved", "movements"] and stock.count() == 0
+    assert ledger.stream_daily_movements(moves, str(tmp_path / "d")).count() == 0
+
+
 def test_epochs_carry_the_state_on(spark, inbox, tmp_path, monkeypatch):
     monkeypatch.setattr(ledger, "BATCHES_PER_EPOCH", 2)
     state = str(tmp_path / "stock")
     moves = ledger.movement_stream(spark, inbox)
     ledger.stream_stock(moves, state)
-    for n in range(4):
+    for n in range(5):
         arrive(spark, inbox, (10 + n, 1, "in", 1, "2001-09-01T08:00"))
         streamed = ledger.stream_stock(moves, state)
-    assert ledger.last_batch(spark, state) == 4
-    assert sorted(rows(streamed)) == [(1, 9, 5), (2, -3, 1)]
+    assert ledger.last_batch(spark, state) == 5
+    assert sorted(rows(streamed)) == [(1, 10, 6), (2, -3, 1)]
+    assert sorted(p.name for p in (tmp_path / "stock" / "state").iterdir() if p.is_dir()) == ["epoch=1", "epoch=2"]
 
 
 def test_closed_days_are_appended(spark, inbox, tmp_path):
