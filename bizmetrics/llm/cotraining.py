@@ -32,6 +32,9 @@ HELD_OUT = 4
 #: Hash spaces of the two views. The first text features are shares, not words.
 TEXT_DIM, META_DIM, SHARES = 4096, 512, 8
 
+#: Rows whose features are unpacked at once.
+UNPACKED = 256
+
 _CLASS = bytes(0x41 if 0x41 <= b <= 0x5A else 0x61 if 0x61 <= b <= 0x7A or b >= 0x80 else 0x30 if 0x30 <= b <= 0x39 else b for b in range(256))
 _LETTER = bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100)) + b" \t\r\n\v\f"
 
@@ -89,9 +92,11 @@ class View:
     shift: float = 0.0
 
     def logits(self, rows: list[bytes]) -> np.ndarray:
-        row, index, value = _unpacked(rows)
-        raw = np.bincount(row, value * self.weights[index], minlength=len(rows)) + self.bias
-        return self.scale * raw + self.shift
+        sums = [np.empty(0)]
+        for at in range(0, len(rows), UNPACKED):
+            row, index, value = _unpacked(rows[at:at + UNPACKED])
+            sums.append(np.bincount(row, value * self.weights[index], minlength=len(rows[at:at + UNPACKED])))
+        return self.scale * (np.concatenate(sums) + self.bias) + self.shift
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:

@@ -13,7 +13,7 @@ apart into words, and the different words of a batch are filtered together in fl
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +26,7 @@ from bizmetrics.llm.common import ship
 
 MARK = "▁"
 #: Words sampled at once, and different words whose lattices are filtered at once.
-BATCH, FILTERED = 800_000, 100_000
+BATCH, FILTERED = 150_000, 30_000
 #: Letters with a column of their own in the trie's table.
 DENSE = 96
 _WORD = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -168,7 +168,7 @@ class Model:
             begun = node[at[whole]]
             starts.append(begun)
             stops.append(begun + step + 1)
-            ids.append(piece[whole])
+            ids.append(piece[whole].astype(np.int32))
             if step == 0:
                 single[at[whole]] = True
             step += 1
@@ -178,10 +178,10 @@ class Model:
         starts.append(node[alone])
         stops.append(node[alone] + 1)
         lead = [chr(c).encode("utf-8", "surrogatepass")[0] if c != FALLBACK_MARK else MARK.encode()[0] for c in letters[alone].tolist()]
-        ids.append(self.byte_ids[np.array(lead, np.int64)])
+        ids.append(self.byte_ids[np.array(lead, np.int64)].astype(np.int32))
         return np.concatenate(starts), np.concatenate(stops), np.concatenate(ids)
 
-    def sample(self, texts: list[str | None], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def sample(self, texts: Sequence[str | None], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and piece ids of one sampled segmentation per text."""
         counts = np.zeros(len(texts), np.int64)
         out: list[np.ndarray] = [np.empty(0, np.int32)]
@@ -206,7 +206,7 @@ class Model:
             counts += np.bincount(rows, pieces, minlength=len(texts)).astype(np.int64)
         return np.r_[0, np.cumsum(counts)], np.concatenate(out)
 
-    def _words(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
+    def _words(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
         """Words in order, each without its first mark, with their text's number and their place in it, some
         ``BATCH`` at once. A run of spaces goes with the word after it."""
         words: list[str] = []
@@ -286,9 +286,22 @@ def _seeds(keys: list[str], seed: int) -> np.ndarray:
     return np.array([(int(k[:16], 16) + seed) % (1 << 64) for k in keys], np.uint64)
 
 
+class _Texts:
+    """The texts of an Arrow array, made one at a time."""
+
+    def __init__(self, texts: pa.Array):
+        self.texts = texts
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def __iter__(self) -> Iterator[str | None]:
+        return (t.as_py() for t in self.texts)
+
+
 def _encoded(keys: pa.Array, texts: pa.Array, path: str, alpha: float, seed: int) -> pa.Array:
-    offsets, ids = model(path, alpha).sample(texts.to_pylist(), _seeds(keys.to_pylist(), seed))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32), pa.int32()))
+    offsets, ids = model(path, alpha).sample(_Texts(texts), _seeds(keys.to_pylist(), seed))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
 
 
 def _decoded(lists: pa.Array, path: str) -> Iterator[str]:
@@ -334,7 +347,7 @@ def round_trip(docs: DataFrame, vocabulary: str, alpha: float = 1.0, seed: int =
     @F.arrow_udf("struct<piece_ids:array<int>,lossless:boolean>")
     def both(keys: pa.Array, texts: pa.Array) -> pa.Array:
         ids = _encoded(keys, texts, vocabulary, alpha, seed)
-        same = pa.array([(t or "") == d for t, d in zip(texts.to_pylist(), _decoded(ids, vocabulary))], pa.bool_())
+        same = pa.array([(t or "") == d for t, d in zip(_Texts(texts), _decoded(ids, vocabulary))], pa.bool_())
         return pa.StructArray.from_arrays([ids, same], ["piece_ids", "lossless"])
 
     made = docs.select("doc_id", both("key", "text").alias("r"))
