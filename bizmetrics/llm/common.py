@@ -2,37 +2,51 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
+import zipfile
+from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from bizmetrics.session import cut_lineage
+from bizmetrics.session import cut_lineage, fresh_dir
 
 #: A stored table may be broadcast if it holds so many values (keys, numbers, spans) at most,
 #: some tens of MB. Beyond that the same join shuffles; its rows are the same.
 BROADCAST_VALUES = 200_000
 
+#: Bytes of a batch that a task's Python gets at once, unless the session asks for a size of its own. Spark's
+#: own measure is a number of rows, which says nothing about the memory that long texts take.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b")  # and Spark's default
+
 _shipped: set[str] = set()
 
 
+def uri(path: str) -> str:
+    """``path`` as a URI that names its store."""
+    return path if "://" in path or path.startswith("file:") else Path(path).absolute().as_uri()
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Spark hand this package to the executors' Python, once per application.
+    """Let Spark hand this package to the executors' Python, once per application, in batches of bounded size.
 
     Operators with Python in their tasks call it, so that the package need not be installed on
-    the executors. Spark distributes the
-    archive from the driver, which keeps it until it ends.
+    the executors. The archive lies in the shared folder.
     """
     context = spark.sparkContext
+    name, default, size = BATCH_BYTES
+    if spark.conf.get(name) == default:
+        spark.conf.set(name, size)
     if context.applicationId in _shipped:
         return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp()
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    shutil.copytree(package, f"{folder}/tree/{os.path.basename(package)}", ignore=shutil.ignore_patterns("__pycache__"))
-    context.addPyFile(shutil.make_archive(f"{folder}/package-{context.applicationId}", "zip", f"{folder}/tree"))
+    package = Path(__file__).resolve().parent.parent
+    if not package.is_dir():
+        return  # it came in an archive itself
+    store, path = fs.FileSystem.from_uri(place := uri(fresh_dir(spark, "package")))
+    store.create_dir(path)
+    with store.open_output_stream(f"{path}/package.zip") as out, zipfile.ZipFile(out, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(f"{place}/package.zip")
     _shipped.add(context.applicationId)
 
 

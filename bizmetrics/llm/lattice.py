@@ -26,7 +26,7 @@ from bizmetrics.llm.common import ship
 
 MARK = "▁"
 #: Words sampled at once, and different words whose lattices are filtered at once.
-BATCH, FILTERED = 150_000, 30_000
+BATCH, FILTERED = 60_000, 15_000
 #: Letters with a column of their own in the trie's table.
 DENSE = 96
 _WORD = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")

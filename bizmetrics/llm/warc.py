@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bizmetrics.llm.common import ship
+from bizmetrics.llm.common import ship, uri
 from bizmetrics.session import fresh_dir
 
 #: Payloads below this size are always stored in full.
@@ -28,7 +28,7 @@ LEAST_REVISITED = 100
 #: Compressed size at which a file is closed.
 ROLL_BYTES = 64 << 20
 #: Rows a shard aims for, and ids sampled per shard to place the bounds.
-SHARD_ROWS, SAMPLED = 200_000, 64
+SHARD_ROWS, SAMPLED = 25_000, 64
 LEAST_SHARDS = 16
 DATE = "1970-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # a fixed value: URLs, RFC 4122
@@ -127,7 +127,10 @@ class _Files:
         if self.file:
             self.file.close()
             self.file = None
-            self.store.move(self.temporary, f"{self.folder}/{self.name}")
+            place = f"{self.folder}/{self.name}"
+            if self.store.get_file_info(place).type != fs.FileType.NotFound:
+                self.store.delete_file(place)  # an earlier attempt's, with the same bytes
+            self.store.move(self.temporary, place)
             self.done.append((self.name, self.shard, self.records, self.bytes, self.sha.hexdigest()))
 
 
@@ -243,7 +246,6 @@ def archived(pages: DataFrame, folder: str | None = None, **cols: str) -> DataFr
     """Write ``pages`` as an archive (by default in the shared folder), read it back, and return per record
     ``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type`` and ``refers_to``."""
     spark = pages.sparkSession
-    place = folder or fresh_dir(spark, "warc")
-    place = place if "://" in place or place.startswith("file:") else f"file://{place}"
+    place = uri(folder or fresh_dir(spark, "warc"))
     write(pages, place, **cols)
     return read(spark, place).drop("url", "payload")
