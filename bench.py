@@ -32,7 +32,7 @@ HEADLINE = [
     "forecast_features_by_country", "growth_rate_by_country", "trend_line_by_country", "mom_change_by_country",
     "running_stock", "stock_on_hand", "movement_list", "movement_list_deep", "global_row_number",
     "apply_changes_products", "cascade_items", "set_null", "stream_stock", "stream_daily_movements",
-    "forecast_report", "forecast_by_index",
+    "forecast_report", "forecast_by_index", "page_tied_key", "movement_rows", "stream_stock_in_batches",
 ]
 
 
