@@ -76,16 +76,17 @@ def _forest(prints: np.ndarray, flips: np.ndarray, max_bits: int) -> np.ndarray:
     """For sorted different fingerprints, the index of the first one reachable from each."""
     n = len(prints)
     root = np.arange(n)
-    if n <= SMALL_BUCKET:
-        i, j = np.nonzero(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= max_bits)
-        pairs = [(i, j)]
-    else:
-        pairs = (_flipped(prints, flip) for flip in flips)
-        pairs = list(pairs) if n * len(flips) <= 1 << 22 else pairs
+
+    def links() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if n <= SMALL_BUCKET:
+            yield np.nonzero(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= max_bits)
+        else:
+            yield from (_flipped(prints, flip) for flip in flips)
+
     changed = True
     while changed:
         changed = False
-        for i, j in pairs if isinstance(pairs, list) else (_flipped(prints, flip) for flip in flips):
+        for i, j in links():
             low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
             if (low != high).any():
                 changed = True
