@@ -41,7 +41,8 @@ def truncated(col: Column) -> Column:
 
 
 def parse_number(col: Column) -> Column:
-    """Text to double; anything that is not a plain number becomes NULL. Only text of nothing but digits,
-    signs, points and the exponent's letter is cast, which keeps Java's own spellings out."""
+    """Text to double; anything that is not a plain number becomes NULL. The cast also takes Java's own
+    spellings, which end in a letter (``12d``, ``NaN``) or hold a ``p`` (hexadecimal)."""
     text = F.trim(col)
-    return F.when((F.translate(text, "0123456789+-.eE", "") == "") & ~F.startswith(F.lower(text), F.lit("e")), text.try_cast("double"))
+    plain = F.substring(text, -1, 1).between(".", "9") & ~F.contains(F.lower(text), F.lit("p"))
+    return F.when(plain, text.try_cast("double"))

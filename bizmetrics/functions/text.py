@@ -44,10 +44,11 @@ def parse_date(col: Column) -> Column:
     """Text to date: ISO (a time of day is cut off), year/month/day, month/day/year, eight digits, or
     with an English month name as ``July 15, 2001``, ``15 July 2001`` and ``15-Jul-2001``;
     anything else becomes NULL. Casting does not throw on bad text, as parsing with
-    patterns does internally, which is slow where many cells are bad. The rarer layouts are only tried
-    where the text isn't ISO already."""
+    patterns does internally, which is slow where many cells are bad. Ordinary cells meet no pattern: the rarer
+    layouts, and times of day, are only looked at where the text isn't a plain ISO date."""
     text = F.trim(col)
-    iso = F.translate(text, "/", "-")
+    iso = F.replace(text, F.lit("/"), F.lit("-"))
+    like_iso = (F.substring(iso, 5, 1) == "-") & (F.locate("-", iso, 6) > 0) & ((F.length(iso) <= 10) | iso.rlike(ISO_DATE))
 
     def dated(pattern: str, year: int, month: int, day: int, named: bool = False) -> Column:
         part = lambda n: F.regexp_extract(text, pattern, n)
@@ -57,4 +58,4 @@ def parse_date(col: Column) -> Column:
 
     other = F.coalesce(*[made.try_cast("date") for made in (
         dated(MONTH_FIRST, 3, 1, 2), dated(DIGITS_ONLY, 1, 2, 3), dated(DAY_NAME, 3, 2, 1, True), dated(NAME_DAY, 3, 1, 2, True))])
-    return F.when(iso.rlike(ISO_DATE), iso.try_cast("date")).otherwise(other)
+    return F.when(like_iso, iso.try_cast("date")).otherwise(other)

@@ -18,13 +18,19 @@ def clean_product_sales(raw: DataFrame) -> DataFrame:
     A cell that does not parse is NULL, and a NULL in any column (also in columns beyond
     the six known ones) drops its row. Columns that come as dates or numbers are not parsed.
     """
-    trimmed = raw.toDF(*[c.strip() for c in raw.columns])
+    trimmed = _once(raw.toDF(*[c.strip() for c in raw.columns]))
     kinds = {f.name: f.dataType for f in trimmed.schema.fields}
     numbers = {c: parse_number(F.col(f"`{c}`")) if isinstance(kinds[c], T.StringType) else F.col(f"`{c}`").cast("double")
                for c in ("Sales", "Profit", "Units Sold")}
     date = parse_date(F.col("Date")) if isinstance(kinds["Date"], T.StringType) else F.col("Date").cast("date")
     others = {c: F.col(f"`{c}`").cast("string") for c in trimmed.columns if c not in {"Date", *numbers}}
-    return trimmed.withColumns({"Date": date, **numbers, **others}).na.drop("any").withColumnsRenamed(COLUMNS)
+    return _once(trimmed.withColumns({"Date": date, **numbers, **others})).na.drop("any").withColumnsRenamed(COLUMNS)
+
+
+def _once(df: DataFrame) -> DataFrame:
+    """The same rows, whose cells are computed once: the optimizer would put the expression of a cell wherever the
+    cell is used, here in several tests and in the filter. It leaves alone what is unpacked from one value."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
 
 
 def load_product_sales(spark: SparkSession, path: str) -> DataFrame:
