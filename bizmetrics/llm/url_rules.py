@@ -1,19 +1,20 @@
 """URL filters: listed rules first, association rules for the rest.
 
-The listed rules label the URLs they fit. FP-growth mines which combinations of URL tokens go
-with which label; rules pruned by support, confidence and redundancy then judge the URLs no
-listed rule fits. They are matched by an inverted index: a rule is filed under its rarest token,
+The listed rules label the URLs they fit. Combinations of URL tokens are then mined for which
+label they go with, level by level over whole token sets; rules pruned by support, confidence and
+redundancy judge the URLs no listed rule fits. They are matched by an inverted index: a rule is filed under its rarest token,
 a URL looks up its tokens, and what is found is verified against the whole URL.
 
-Everything is DataFrame expressions and Spark's own FP-growth.
+Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bizmetrics.llm.common import sized
@@ -34,9 +35,6 @@ class Rule(NamedTuple):
 
 #: Support and confidence a mined rule needs.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.9
-#: The rarest frequent tokens of a labelled URL that mining combines: a URL of n tokens has 2**n
-#: combinations. Matching looks at all tokens.
-MINED_TOKENS = 12
 
 
 def host_of(url: Column) -> Column:
@@ -71,31 +69,85 @@ def tokens_of(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(suffixes, marked("path:", words), marked("query:", names))))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-         mined_tokens: int = MINED_TOKENS) -> DataFrame:
+def _counted(held: DataFrame, least: int) -> DataFrame:
+    """``held`` has an ``antecedent``, ``label`` and number of ``rows`` for each basket that holds it. Returns its
+    ``total`` and the labels it goes with at least ``least`` times (``often``); left out if there is none."""
+    by_label = held.groupBy("antecedent", "label").agg(F.sum("rows").alias("hits"))
+    often = F.when(F.col("label").isNotNull() & (F.col("hits") >= least), F.struct(F.col("label").alias("verdict"), "hits"))
+    return (by_label.groupBy("antecedent").agg(F.sum("hits").alias("total"), F.collect_list(often).alias("often"))
+            .where(F.size("often") > 0))
+
+
+def _parted(sets: DataFrame) -> DataFrame:
+    """Each set of tokens with each ``part`` of one token less."""
+    return sets.select("*", F.explode(F.transform("antecedent", lambda t: F.array_remove("antecedent", t))).alias("part"))
+
+
+def _combined(growing: DataFrame, size: int) -> DataFrame:
+    """Sets of ``size`` tokens of which all parts of one token less are in ``growing``."""
+    last = F.element_at("antecedent", -1)
+    halves = growing.select(F.slice("antecedent", 1, size - 2).alias("start"), last.alias("last"))
+    pairs = halves.join(halves.withColumnRenamed("last", "after"), "start").where(F.col("last") < F.col("after"))
+    sets = pairs.select(F.concat("start", F.array("last", "after")).alias("antecedent"))
+    whole = _parted(sets).join(growing.select(F.col("antecedent").alias("part")), "part").groupBy("antecedent").count()
+    return whole.where(F.col("count") == size).select("antecedent")
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """``labelled`` has ``tokens`` and ``label``. Returns rules: ``antecedent`` (sorted tokens), ``verdict``,
     ``confidence``, ``support`` and ``anchor``, the antecedent's rarest token. A rule is left out if another
     with one token less and the same verdict is at least as confident. No labelled rows give no rules.
 
     Tokens rarer than ``min_support`` can't be in a rule. There are at most (tokens per URL) /
     ``min_support`` others, whatever the corpus holds: they are collected to restrict the mining.
+
+    Every set of tokens that may be in a rule is counted over all tokens of all rows. Sets grow by one token a
+    level. One that has a single label, or as many rows as a part of it, doesn't grow: all that holds it is as
+    confident as without one of its tokens, hence left out. So tokens that come together cost no combinations.
+    Sets whose tokens come and go by themselves are all counted, as many as reach ``min_support``.
     """
     schema = "antecedent array<string>, verdict string, confidence double, support double, anchor string"
     n = labelled.count()
+    least = max(1, math.ceil(min_support * n))
     counts = labelled.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    frequent = [r["token"] for r in counts.where(F.col("count") >= F.lit(min_support * n)).orderBy("count", "token").collect()]
+    frequent = [r["token"] for r in counts.where(F.col("count") >= least).orderBy("count", "token").collect()]
     if not frequent:
         return labelled.sparkSession.createDataFrame([], schema)
     rarest_first = F.array(*map(F.lit, frequent))
-    items = F.slice(F.array_intersect(rarest_first, "tokens"), 1, mined_tokens)
-    baskets = cut_lineage(labelled.select(F.concat(items, F.array(F.concat(F.lit("label:"), "label"))).alias("items")))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    label = F.element_at("consequent", 1)
-    rules = cut_lineage(model.associationRules.where(F.startswith(label, F.lit("label:")) & ~F.exists("antecedent", lambda t: F.startswith(t, F.lit("label:"))))
-                        .select(F.array_sort("antecedent").alias("antecedent"), F.substring(label, 7, 1 << 30).alias("verdict"), "confidence", "support"))
+
+    def baskets(rows: DataFrame, kept: list[str]) -> DataFrame:
+        items = F.array_sort(F.array_intersect(F.array(*map(F.lit, kept)), "items"))
+        return cut_lineage(rows.select(items.alias("items"), "label", "rows").groupBy("items", "label").agg(F.sum("rows").alias("rows")))
+
+    held = baskets(labelled.select(F.col("tokens").alias("items"), F.col("label").cast("string").alias("label"), F.lit(1).alias("rows")), frequent)
+    singles = held.select(F.explode("items").alias("token"), "label", "rows").select(F.array("token").alias("antecedent"), "label", "rows")
+    level = cut_lineage(_counted(singles, least))
+    levels, size = [level], 1
+    growing = level.where((F.col("total") < n) & ~F.exists("often", lambda x: x["hits"] == F.col("total")))
+    tokens = [r[0] for r in growing.select(F.element_at("antecedent", 1)).collect()]
+    if tokens:
+        held = baskets(held, tokens)
+    while len(tokens) > size and not growing.isEmpty():
+        size += 1
+        if size == 2:
+            pairs = F.flatten(F.transform("items", lambda x, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda y: F.array(x, y))))
+            fits = held.select(F.explode(pairs).alias("antecedent"), "label", "rows")
+        else:
+            anchor = F.element_at(F.array_intersect(rarest_first, "antecedent"), 1)
+            sets = sized(_combined(growing, size).withColumn("anchor", anchor), F.size("antecedent") + 1)
+            fits = (held.select("items", "label", "rows", F.explode("items").alias("anchor")).join(sets, "anchor")
+                    .where(F.size(F.array_except("antecedent", "items")) == 0).select("antecedent", "label", "rows"))
+        level = cut_lineage(_counted(fits, least))
+        within = _parted(level.select("antecedent")).join(growing.select(F.col("antecedent").alias("part"), "total"), "part")
+        rarer = level.join(within.groupBy("antecedent").agg(F.min("total").alias("within")), "antecedent")
+        growing = cut_lineage(rarer.where((F.col("total") < F.col("within")) & ~F.exists("often", lambda x: x["hits"] == F.col("total")))
+                              .select("antecedent", "total"))
+        levels.append(level)
+    every = reduce(DataFrame.unionByName, levels).select("antecedent", "total", F.explode("often").alias("of"))
+    rules = cut_lineage(every.select("antecedent", F.col("of.verdict").alias("verdict"), (F.col("of.hits") / F.col("total")).alias("confidence"),
+                                     (F.col("of.hits") / F.lit(n)).alias("support")).where(F.col("confidence") >= min_confidence))
     smaller = rules.select(F.col("antecedent").alias("part"), "verdict", F.col("confidence").alias("as_sure"))
-    parts = rules.where(F.size("antecedent") > 1).select("antecedent", "verdict", "confidence", F.explode("antecedent").alias("t"))
-    parts = parts.select("antecedent", "verdict", "confidence", F.array_remove("antecedent", F.col("t")).alias("part"))
+    parts = _parted(rules.where(F.size("antecedent") > 1).select("antecedent", "verdict", "confidence"))
     redundant = parts.join(smaller, ["part", "verdict"]).where(F.col("as_sure") >= F.col("confidence")).select("antecedent", "verdict").distinct()
     return (rules.join(redundant, ["antecedent", "verdict"], "left_anti")
             .select("antecedent", "verdict", "confidence", "support",

@@ -250,6 +250,44 @@ def test_mined_rules_are_brute_force(spark):
     assert url_rules.mine(spark.createDataFrame([], "tokens array<string>, label string")).count() == 0
 
 
+def test_mined_rules_count_all_tokens(spark):
+    """A hot source whose URLs have far more than 12 frequent tokens, some of them also elsewhere: all sets of up
+    to three tokens by brute force, larger ones by counting each."""
+    from itertools import combinations
+    rnd = np.random.default_rng(2)
+    hot = [f"h{i:02}" for i in range(24)]
+    labelled = []
+    for i in range(300):
+        tokens = {str(t) for t in rnd.choice(list("abcdef"), rnd.integers(1, 5))}
+        tokens |= set(hot) if i % 3 == 0 else {str(t) for t in rnd.choice(hot[:8], 2)}
+        bad = ("a" in tokens and "b" in tokens) or "f" in tokens
+        labelled.append((sorted(tokens), "block" if bad ^ (rnd.random() < 0.02) else "allow"))
+    n, support, confidence = len(labelled), 0.05, 0.9
+    names = [*"abcdef", *hot]
+    holds = {t: np.array([t in tokens for tokens, _ in labelled]) for t in names}
+    labels = np.array([y for _, y in labelled])
+    def counted(part, y):
+        fits = np.logical_and.reduce([holds[t] for t in part])
+        return int((fits & (labels == y)).sum()), int(fits.sum())
+    rules = {}
+    for size in range(1, 4):
+        for part in combinations(names, size):
+            for y in ("block", "allow"):
+                hits, total = counted(part, y)
+                if hits >= math.ceil(support * n) and hits / total >= confidence:
+                    rules[part, y] = hits / total
+    kept = {k: c for k, c in rules.items() if not any(rules.get((tuple(x for x in k[0] if x != t), k[1]), -1) >= c for t in k[0])}
+    got = {(tuple(r.antecedent), r.verdict): r for r in url_rules.mine(
+        spark.createDataFrame(labelled, "tokens array<string>, label string"), support, confidence).collect()}
+    assert {k for k in got if len(k[0]) <= 3} == kept.keys()
+    assert any(t.startswith("h") for part, _ in kept for t in part)
+    for (part, y), r in got.items():
+        hits, total = counted(part, y)
+        assert r.confidence == pytest.approx(hits / total) and r.support == pytest.approx(hits / n)
+        assert hits >= support * n and r.confidence >= confidence
+        assert r.anchor == min(part, key=lambda t: (holds[t].sum(), t))
+
+
 def test_url_filters_stay_in_the_jvm(spark):
     plan = url_rules.judge(spark.read.parquet(f"{DATA}/pages.parquet"), URL_RULES)._jdf.queryExecution().toString()
     assert not __import__("re").search("Python|Arrow|Pandas", plan)
