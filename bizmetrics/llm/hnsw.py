@@ -24,8 +24,10 @@ from bizmetrics.session import cut_lineage
 
 #: Links per node (twice as many in the lowest layer), and the widths of the beams that build and search.
 LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 80, 128
-#: Shards at least, and the most vectors of one: the bound of a task's memory.
-LEAST_SHARDS, SHARD_ROWS = 12, 500_000
+#: Shards at least, and the vectors one aims for: a size at which the beam's recall was measured (see README).
+LEAST_SHARDS, SHARD_ROWS = 12, 4_300
+#: Vectors of the shards that one task searches: the bound of its memory. Queries are sent once to each task.
+TASK_ROWS = 500_000
 #: Nodes inserted at once, nodes of the beam expanded at once, and the cells of a block's visited table.
 INSERTED, EXPANDED, CELLS = 256, 4, 1 << 26
 
@@ -219,28 +221,32 @@ def _build_shard(links: int, beam: int):
     return run
 
 
-def _search_shard(k: int, links: int, beam: int):
+def _search_shards(k: int, links: int, beam: int):
     schema = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by shard, its nodes in order and then the queries."""
-        part, nodes, graph = None, [], None
+        """Rows come by group of shards: its shards one by one, their nodes in order, and then the queries."""
+        group, nodes, graphs = None, [], []
         for batch in batches:
-            parts = batch.column("part").to_numpy()
-            kinds = batch.column("kind").to_numpy()
-            cuts = np.r_[0, np.nonzero((np.diff(parts) != 0) | (np.diff(kinds) != 0))[0] + 1, len(parts)] if len(parts) else [0]
+            groups, kinds, parts = (batch.column(c).to_numpy() for c in ("group", "kind", "part"))
+            new = (np.diff(groups) != 0) | (np.diff(kinds) != 0) | (np.diff(parts) != 0)
+            cuts = np.r_[0, np.nonzero(new)[0] + 1, len(parts)] if len(parts) else [0]
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 rows = batch.slice(int(lo), int(hi - lo))
-                if parts[lo] != part:
-                    part, nodes, graph = parts[lo], [], None
+                if groups[lo] != group:
+                    group, nodes, graphs = groups[lo], [], []
                 if kinds[lo] == 0:
+                    if nodes and nodes[0].column("part")[0].as_py() != parts[lo]:
+                        graphs.append(_loaded(pa.Table.from_batches(nodes), links))
+                        nodes = []
                     nodes.append(rows)
                     continue
-                if not nodes:
+                if nodes:
+                    graphs.append(_loaded(pa.Table.from_batches(nodes), links))
+                    nodes = []
+                if not graphs:
                     continue  # no candidate has as many components
-                if graph is None:
-                    graph, vectors, ids = _loaded(pa.Table.from_batches(nodes), links)
-                found = _search(graph, vectors, ids, rows, k, beam)
+                found = _search(graphs, rows, k, beam)
                 if found is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=schema)
     return run
@@ -260,9 +266,24 @@ def _loaded(nodes: pa.Table, links: int) -> tuple[Graph, np.ndarray, pa.Array]:
     return Graph(extended(vectors), layers), vectors, nodes["ids"].combine_chunks()
 
 
-def _search(graph, vectors, ids, rows, k, beam):
+def _search(graphs, rows, k, beam):
     queries = _vectors(rows.column("vec"))
     asked = np.concatenate([queries, np.zeros((len(queries), 1), np.float32)], 1)
+    own = rows.column("query_id").to_numpy()
+    query, score, vec_id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+    for graph, vectors, ids in graphs:
+        found = _found(graph, vectors, ids, asked, queries, own, beam)
+        query, score, vec_id = (np.concatenate(x) for x in zip((query, score, vec_id), found))
+        order = np.lexsort((vec_id, -score, query))
+        query, score, vec_id = query[order], score[order], vec_id[order]
+        starts = np.nonzero(np.diff(query, prepend=-1) != 0)[0]
+        top = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)])) < k
+        query, score, vec_id = query[top], score[top], vec_id[top]
+    return (own[query], rows.column("query_key").to_numpy()[query], vec_id, score) if len(query) else None
+
+
+def _found(graph, vectors, ids, asked, queries, own, beam):
+    """What one graph leads to: number of the query, score and id."""
     near, _ = graph.beam(asked, graph.descend(asked, 0), 0, min(beam, len(vectors)))
     query, col = np.nonzero(near >= 0)
     node = near[query, col]
@@ -272,17 +293,8 @@ def _search(graph, vectors, ids, rows, k, beam):
     rep = np.repeat(np.arange(len(node)), sizes)
     vec_id = values[np.arange(len(rep)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + offsets[node][rep]]
     query, score = query[rep], score[rep]
-    own = rows.column("query_id").to_numpy()
     keep = vec_id != own[query]
-    query, score, vec_id = query[keep], score[keep], vec_id[keep]
-    order = np.lexsort((vec_id, -score, query))
-    query, score, vec_id = query[order], score[order], vec_id[order]
-    if not len(query):
-        return None
-    starts = np.nonzero(np.r_[True, np.diff(query) != 0])[0]
-    rank = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
-    top = rank < k
-    return own[query[top]], rows.column("query_key").to_numpy()[query[top]], vec_id[top], score[top]
+    return query[keep], score[keep], vec_id[keep]
 
 
 def _usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -294,18 +306,23 @@ def _usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 def index(rows: DataFrame, k: int, links: int = LINKS, beam: int = BUILD_BEAM, shards: int | None = None,
           id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, int]:
-    """The stored graphs of all usable vectors, one row per node, and the number of shards."""
+    """The stored graphs of all usable vectors, one row per node, and the number of groups of shards: the shards of
+    a group, of ``TASK_ROWS`` vectors together, are searched in one task."""
     ship(rows.sparkSession)
     each = _usable(rows, id_col, vec_col).distinct()
     # Of equal vectors the k + 1 smallest ids can be in a result, the query's own left out.
     rank = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
     kept = each.withColumn("rank", rank).where(F.col("rank") <= k + 1)
     different = cut_lineage(kept.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
-    shards = shards or max(LEAST_SHARDS, -(-different.count() // SHARD_ROWS))
+    n = different.count()
+    shards = shards or max(LEAST_SHARDS, -(-n // SHARD_ROWS))
+    groups = min(shards, max(LEAST_SHARDS, -(-n // TASK_ROWS)))
     dealt = different.withColumn("part", F.size("vec").cast("bigint") * shards + F.pmod(F.xxhash64("vec"), F.lit(shards)))
     # Vectors with other numbers of components are in graphs of their own.
     ordered = dealt.select("part", "ids", "vec")
-    return cut_lineage(ordered.groupBy("part").applyInArrow(_build_shard(links, beam), NODE)), shards
+    nodes = ordered.groupBy("part").applyInArrow(_build_shard(links, beam), NODE)
+    group = F.size("vec").cast("bigint") * groups + F.pmod(F.col("part") - F.size("vec").cast("bigint") * shards, F.lit(groups))
+    return cut_lineage(nodes.withColumn("group", group)), groups
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, links: int = LINKS, build_beam: int = BUILD_BEAM,
@@ -316,17 +333,18 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, links: int = LINKS
     Ties go to the smaller id. Vectors that are null, zero or hold null or non-finite components take no part, nor
     do rows without an id; a query meets only vectors with as many components as it has. Repeated rows count
     once. Fewer candidates than ``k`` give fewer rows; empty tables give none. Recall is measured against brute
-    force in the tests. A task holds one shard of at most ``SHARD_ROWS`` vectors and streams the queries.
+    force in the tests. Shards hold about ``SHARD_ROWS`` vectors, so that the beam sees as much of each
+    whatever the table holds. A task holds shards of about ``TASK_ROWS`` vectors together and streams the queries.
     """
-    nodes, shards = index(rows, k, links, build_beam, shards, id_col, vec_col)
+    nodes, groups = index(rows, k, links, build_beam, shards, id_col, vec_col)
     asked = _usable(queries, id_col, vec_col).distinct().withColumnRenamed("vec_id", "query_id").withColumn("query_key", F.xxhash64("vec"))
-    parts = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.size("vec").cast("bigint") * shards + s)
-    to_all = asked.select(F.explode(parts).alias("part"), F.lit(1).alias("kind"), "query_id", "query_key", "vec")
+    tasks = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.size("vec").cast("bigint") * groups + g)
+    to_all = asked.select(F.explode(tasks).alias("group"), F.lit(1).alias("kind"), "query_id", "query_key", "vec")
     none = lambda kind: F.lit(None).cast(kind)
-    both = (nodes.select("part", F.lit(0).alias("kind"), "node", "ids", "links", none("bigint").alias("query_id"), none("bigint").alias("query_key"), "vec")
-            .unionByName(to_all.select("part", "kind", none("int").alias("node"), none("array<bigint>").alias("ids"),
+    both = (nodes.select("group", F.lit(0).alias("kind"), "part", "node", "ids", "links", none("bigint").alias("query_id"), none("bigint").alias("query_key"), "vec")
+            .unionByName(to_all.select("group", "kind", F.lit(-1).cast("bigint").alias("part"), none("int").alias("node"), none("array<bigint>").alias("ids"),
                                        none("array<int>").alias("links"), "query_id", "query_key", "vec")))
-    found = both.repartition("part").sortWithinPartitions("part", "kind", "node").mapInArrow(
-        _search_shard(k, links, beam), "query_id bigint, query_key bigint, vec_id bigint, score double")
+    found = both.repartition("group").sortWithinPartitions("group", "kind", "part", "node").mapInArrow(
+        _search_shards(k, links, beam), "query_id bigint, query_key bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

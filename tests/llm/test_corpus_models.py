@@ -164,6 +164,41 @@ def test_recall_on_the_given_vectors(spark):
         assert [s for _, s in found] == sorted((s for _, s in found), reverse=True)
 
 
+def test_recall_of_a_full_shard():
+    """One graph of the size that shards aim for, over the given vectors and with lengths that vary."""
+    import pyarrow.parquet as pq
+    given_ = np.unique(hnsw._vectors(pq.read_table("/root/testdata/check_l/embeddings.parquet")["embedding"]), axis=0)
+    rnd = np.random.default_rng(0)
+    rnd.shuffle(given_)
+    assert len(given_) > 2 * hnsw.SHARD_ROWS
+    for lengths, k, least in ((np.ones(len(given_)), 20, 0.95), (rnd.uniform(0.5, 2, len(given_)), 2, 0.9), (np.exp(rnd.normal(0, 1, len(given_))), 2, 0.9)):
+        vectors = (given_ * lengths[:, None]).astype(np.float32)
+        nodes, queries = vectors[:hnsw.SHARD_ROWS], vectors[-500:]
+        graph, order = hnsw.build(nodes)
+        asked = np.concatenate([queries, np.zeros((len(queries), 1), np.float32)], 1)
+        near, _ = graph.beam(asked, graph.descend(asked, 0), 0, hnsw.SEARCH_BEAM)
+        want = np.argsort(-(queries.astype(float) @ nodes[order].astype(float).T), axis=1, kind="stable")[:, :k]
+        recall = np.mean([len({*a} & {*b}) / k for a, b in zip(near, want)])
+        print(f"recall of the first {k}: {recall:.4f}")
+        assert recall >= least
+
+
+def test_shards_share_tasks(spark, monkeypatch):
+    """More shards than tasks, and several tasks: the same as one by one."""
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", 20)
+    monkeypatch.setattr(hnsw, "TASK_ROWS", 45)
+    monkeypatch.setattr(hnsw, "LEAST_SHARDS", 2)
+    rnd = np.random.default_rng(5)
+    table = {i: rnd.normal(size=4 + i % 2).astype(np.float32) for i in range(400)}
+    rows_ = spark.createDataFrame([(i, v.tolist()) for i, v in table.items()], "vec_id int, embedding array<float>")
+    nodes, groups = hnsw.index(rows_, 5)
+    assert groups == 9 and nodes.select("part").distinct().count() == 40
+    got = defaultdict(list)
+    for r in hnsw.nearest(rows_, rows_.where("vec_id < 30"), 5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, round(r.score, 9)))
+    assert dict(got) == {q: [(i, round(s, 9)) for i, s in f] for q, f in plain_nearest(table, 5, {i: table[i] for i in range(30)}).items()}
+
+
 def test_hard_vectors(spark):
     nan, inf = float("nan"), float("inf")
     table = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [None, 1.0]), (6, [nan, 1.0]), (7, [inf, 1.0]),
