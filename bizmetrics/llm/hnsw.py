@@ -126,8 +126,18 @@ def _uniform(n: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53 + 2.0 ** -54
 
 
+def _single(vectors: np.ndarray, axis: int | None = None) -> np.ndarray:
+    """For walking the graph only: in single precision, doubles scaled (all together, or each by itself) by a
+    power of two that brings them into its range. Scaled inner products have the same order."""
+    if vectors.dtype == np.float32:
+        return vectors
+    _, power = np.frexp(np.abs(vectors).max(axis=axis, keepdims=True, initial=0))
+    return np.ldexp(vectors, -power).astype(np.float32)
+
+
 def extended(vectors: np.ndarray) -> np.ndarray:
     """Vectors with the component that makes the largest inner product the smallest distance."""
+    vectors = _single(vectors)
     square = np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64)
     more = np.sqrt(np.maximum(square.max(initial=0) - square, 0))
     return np.concatenate([vectors, more[:, None]], 1).astype(np.float32)
@@ -196,14 +206,13 @@ def _insert(graph: Graph, layer: int, at: int, stop: int, above: int, links: int
         graph.links[layer][some] = _diverse(points, some, both, reach, width)
 
 
-NODE_ARROW = pa.schema([("part", pa.int64()), ("node", pa.int32()), ("ids", pa.list_(pa.int64())), ("vec", pa.list_(pa.float32())),
-                        ("links", pa.list_(pa.int32()))])
-NODE = "part bigint, node int, ids array<bigint>, vec array<float>, links array<int>"
+NODE_ARROW = pa.schema([("part", pa.int64()), ("node", pa.int32()), ("ids", pa.list_(pa.int64())), ("links", pa.list_(pa.int32()))])
+NODE = "part bigint, node int, ids array<bigint>, links array<int>, vec array<{}>"
 
 
 def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(flat), -1)
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
 def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -217,7 +226,7 @@ def _build_shard(links: int, beam: int):
         nodes = shard.take(pa.array(order))
         flat = [np.concatenate([layer[i] for layer in graph.links if i < len(layer)]) for i in range(len(order))]
         return pa.table({"part": nodes["part"], "node": pa.array(np.arange(len(order)), pa.int32()), "ids": nodes["ids"],
-                         "vec": nodes["vec"], "links": _lists(flat, pa.int32())}).cast(NODE_ARROW)
+                         "links": _lists(flat, pa.int32())}).cast(NODE_ARROW).append_column("vec", nodes["vec"])
     return run
 
 
@@ -268,7 +277,7 @@ def _loaded(nodes: pa.Table, links: int) -> tuple[Graph, np.ndarray, pa.Array]:
 
 def _search(graphs, rows, k, beam):
     queries = _vectors(rows.column("vec"))
-    asked = np.concatenate([queries, np.zeros((len(queries), 1), np.float32)], 1)
+    asked = np.concatenate([_single(queries, 1), np.zeros((len(queries), 1), np.float32)], 1)
     own = rows.column("query_id").to_numpy()
     query, score, vec_id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
     for graph, vectors, ids in graphs:
@@ -297,19 +306,26 @@ def _found(graph, vectors, ids, asked, queries, own, beam):
     return query[keep], score[keep], vec_id[keep]
 
 
-def _usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    vec = F.col(f"`{vec_col}`").cast("array<float>")
+def _kind(*columns: tuple[DataFrame, str]) -> str:
+    """The element type in which vectors are compared: float if all columns hold floats, else double."""
+    given = {df.select(F.col(f"`{c}`")).schema[0].dataType.simpleString() for df, c in columns}
+    return "float" if given == {"array<float>"} else "double"
+
+
+def _usable(rows: DataFrame, id_col: str, vec_col: str, kind: str) -> DataFrame:
+    vec = F.col(f"`{vec_col}`").cast(f"array<{kind}>")
     fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return (rows.select(F.col(f"`{id_col}`").cast("bigint").alias("vec_id"), vec.alias("vec"))
             .where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & fine & F.exists("vec", lambda x: x != 0)))
 
 
 def index(rows: DataFrame, k: int, links: int = LINKS, beam: int = BUILD_BEAM, shards: int | None = None,
-          id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, int]:
+          id_col: str = "vec_id", vec_col: str = "embedding", kind: str | None = None) -> tuple[DataFrame, int]:
     """The stored graphs of all usable vectors, one row per node, and the number of groups of shards: the shards of
     a group, of ``TASK_ROWS`` vectors together, are searched in one task."""
     ship(rows.sparkSession)
-    each = _usable(rows, id_col, vec_col).distinct()
+    kind = kind or _kind((rows, vec_col))
+    each = _usable(rows, id_col, vec_col, kind).distinct()
     # Of equal vectors the k + 1 smallest ids can be in a result, the query's own left out.
     rank = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
     kept = each.withColumn("rank", rank).where(F.col("rank") <= k + 1)
@@ -320,7 +336,7 @@ def index(rows: DataFrame, k: int, links: int = LINKS, beam: int = BUILD_BEAM, s
     dealt = different.withColumn("part", F.size("vec").cast("bigint") * shards + F.pmod(F.xxhash64("vec"), F.lit(shards)))
     # Vectors with other numbers of components are in graphs of their own.
     ordered = dealt.select("part", "ids", "vec")
-    nodes = ordered.groupBy("part").applyInArrow(_build_shard(links, beam), NODE)
+    nodes = ordered.groupBy("part").applyInArrow(_build_shard(links, beam), NODE.format(kind))
     group = F.size("vec").cast("bigint") * groups + F.pmod(F.col("part") - F.size("vec").cast("bigint") * shards, F.lit(groups))
     return cut_lineage(nodes.withColumn("group", group)), groups
 
@@ -328,7 +344,8 @@ def index(rows: DataFrame, k: int, links: int = LINKS, beam: int = BUILD_BEAM, s
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, links: int = LINKS, build_beam: int = BUILD_BEAM,
             beam: int = SEARCH_BEAM, shards: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """For each of ``queries`` its ``k`` nearest of ``rows`` by inner product that the graphs lead to, its own id left
-    out: ``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` (the inner product in double precision).
+    out: ``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` (the inner product in double precision, of the
+    vectors as they are given; only the way through the graph is found in single precision).
 
     Ties go to the smaller id. Vectors that are null, zero or hold null or non-finite components take no part, nor
     do rows without an id; a query meets only vectors with as many components as it has. Repeated rows count
@@ -336,11 +353,12 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, links: int = LINKS
     force in the tests. Shards hold about ``SHARD_ROWS`` vectors, so that the beam sees as much of each
     whatever the table holds. A task holds shards of about ``TASK_ROWS`` vectors together and streams the queries.
     """
-    nodes, groups = index(rows, k, links, build_beam, shards, id_col, vec_col)
-    asked = _usable(queries, id_col, vec_col).distinct().withColumnRenamed("vec_id", "query_id").withColumn("query_key", F.xxhash64("vec"))
+    kind = _kind((rows, vec_col), (queries, vec_col))
+    nodes, groups = index(rows, k, links, build_beam, shards, id_col, vec_col, kind)
+    asked = _usable(queries, id_col, vec_col, kind).distinct().withColumnRenamed("vec_id", "query_id").withColumn("query_key", F.xxhash64("vec"))
     tasks = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.size("vec").cast("bigint") * groups + g)
     to_all = asked.select(F.explode(tasks).alias("group"), F.lit(1).alias("kind"), "query_id", "query_key", "vec")
-    none = lambda kind: F.lit(None).cast(kind)
+    none = lambda type_: F.lit(None).cast(type_)
     both = (nodes.select("group", F.lit(0).alias("kind"), "part", "node", "ids", "links", none("bigint").alias("query_id"), none("bigint").alias("query_key"), "vec")
             .unionByName(to_all.select("group", "kind", F.lit(-1).cast("bigint").alias("part"), none("int").alias("node"), none("array<bigint>").alias("ids"),
                                        none("array<int>").alias("links"), "query_id", "query_key", "vec")))

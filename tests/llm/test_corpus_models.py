@@ -214,6 +214,22 @@ def test_hard_vectors(spark):
     assert hnsw.nearest(rows_.limit(0), rows_, 5).count() == 0 and hnsw.nearest(rows_, rows_.limit(0), 5).count() == 0
 
 
+def test_double_vectors(spark):
+    """Beyond the range of floats, below it, and equal only as floats: all compared as given."""
+    rnd = np.random.default_rng(6)
+    close = [[1.0, 1.0 + i * 2.0 ** -40] for i in range(12)]
+    for unit in (1.0, 1e60, 1e-60):
+        vectors = [*close, *rnd.normal(size=(40, 2)).tolist()]
+        table = {i: np.array(v) * unit for i, v in enumerate(vectors)}
+        rows_ = spark.createDataFrame([(i, v.tolist()) for i, v in table.items()], "vec_id int, embedding array<double>")
+        got = defaultdict(list)
+        for r in hnsw.nearest(rows_, rows_.where("vec_id % 5 = 0"), k=3).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.vec_id, r.score))
+        want = plain_nearest(table, 3, {i: v for i, v in table.items() if i % 5 == 0})
+        assert {q: [i for i, _ in f] for q, f in got.items()} == {q: [i for i, _ in f] for q, f in want.items()}
+        assert all(s == pytest.approx(x, rel=1e-12) for q in want for (_, s), (_, x) in zip(got[q], want[q]))
+
+
 # -- URL rules ----------------------------------------------------------------------
 
 def plain_parts(url):
