@@ -210,7 +210,12 @@ def _(t):
     return forecast_report(t.monthly_sales, AS_OF).select(*REPORT_COLUMNS)
 
 
-@query("forecast_report_by_country", REPORT_SQL.format(key="country, ", src="panel", group="GROUP BY country "),
+@query("forecast_report_by_country")
+def _(t):
+    return forecast_report(t.panel, AS_OF, BY)
+
+
+@query("forecast_report_by_country_checks", REPORT_SQL.format(key="country, ", src="panel", group="GROUP BY country "),
        "total_revenue max_revenue min_revenue")
 def _(t):
     return forecast_report(t.panel, AS_OF, BY, **FEW).select("country", *REPORT_COLUMNS)

@@ -28,6 +28,16 @@ def test_same_as_sql(spark, con, name):
     assert problem is None or (problem == "both empty" and name in EMPTY_HERE)
 
 
+def test_keyed_report_is_whole(spark, monkeypatch):
+    """With the trees a report has by default, and all its columns."""
+    from registry import forecasts
+    asked = []
+    monkeypatch.setattr(forecasts, "forecast_report", lambda sales, *how, **models: asked.append((how, models)) or sales)
+    got = REGISTRY["forecast_report_by_country"].run(spark, DATA)
+    assert asked == [((forecasts.AS_OF, forecasts.BY), {})] and got.columns == ["country", "month", "revenue"]
+    assert REGISTRY["forecast_report_by_country_checks"].sql
+
+
 def test_driver_contract(spark):
     import __spark_entry__ as entry
     assert set(entry.oracle_sql()) <= set(entry.queries())
