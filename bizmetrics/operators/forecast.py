@@ -28,9 +28,10 @@ MODEL_ORDER = ("random_forest", "linear_regression", "decision_tree")
 
 #: As deep as MLlib's trees go: they grow until their leaves are pure, as far as that allows.
 DEPTH = 30
-#: Candidate splits per feature. Rows are what a series of months has, so every one can be told apart; a
-#: panel's features have more values and are split between that many quantiles of them. Series themselves
-#: are never told apart by splits.
+#: Bins per feature, at least. A single series gets as many as it has months, and an index as many as there are
+#: different months, so every one can be told apart. The lags of a panel have as many values as rows and are
+#: split between quantiles, this many of them: there, values that share a bin are not told apart. Series
+#: themselves are never told apart by splits.
 BINS = 128
 #: For the statistics of the nodes that are split in one pass: deep trees have many.
 MEMORY_MB = 1024
@@ -60,14 +61,16 @@ def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def train_all(features: DataFrame, by: Sequence[str] | None = None, test_frac: float = 0.2, seed: int = 42,
               value: str = "revenue", time: str = "month", names: Sequence[str] = MODEL_ORDER,
-              trees: int = 100, depth: int = DEPTH, columns: Sequence[str] = FEATURES, bins: int = BINS) -> Training:
-    """Fit each model on the earlier part of every series and predict the later part."""
+              trees: int = 100, depth: int = DEPTH, columns: Sequence[str] = FEATURES, bins: int | None = None) -> Training:
+    """Fit each model on the earlier part of every series and predict the later part. ``bins`` are by default
+    as many as a single series has months, ``BINS`` at least, and ``BINS`` for a panel."""
     keys = [*(by or []), time]
     labelled = _vectors(
         chrono_split(features, by, test_frac, time).withColumn("label", F.col(value).cast("double")), columns)
     # Every fit reads its input several times: store the feature rows, not the way to them.
     stored = cut_lineage(labelled.select(*keys, "part", "label", "features"))
     train, test = (stored.where(F.col("part") == part) for part in ("train", "test"))
+    bins = bins or (BINS if by else max(BINS, train.count()))
     # The fits are independent sequences of jobs: submit them side by side.
     fit = inheritable_thread_target(stored.sparkSession)(
         lambda name: _estimator(name, trees, depth, seed, bins).fit(train))
@@ -177,8 +180,9 @@ def feature_importance(training: Training, model: str = "random_forest",
 
 
 def forecast_by_index(monthly: DataFrame, by: Sequence[str] | None = None, value: str = "sales",
-                      time: str = "month", trees: int = 100, depth: int = DEPTH, seed: int = 42, bins: int = BINS) -> DataFrame:
-    """Forest on the month index, asked for the index after the last; whole part.
+                      time: str = "month", trees: int = 100, depth: int = DEPTH, seed: int = 42, bins: int | None = None) -> DataFrame:
+    """Forest on the month index, asked for the index after the last; whole part. ``bins`` are by default as many
+    as the longest series has months, ``BINS`` at least.
 
     With keys, one forest serves all series. It learns each month's distance from its series' mean, in the
     series' own standard deviations, and the answer is scaled back: series needn't be told apart.
@@ -189,6 +193,7 @@ def forecast_by_index(monthly: DataFrame, by: Sequence[str] | None = None, value
     numbered = month_index(monthly, keys, time).withColumns({"level": level, "spread": spread}).withColumn(
         "label", F.when(F.col("spread") > 0, (y - F.col("level")) / F.col("spread")).otherwise(F.lit(0.0)))
     stored = cut_lineage(_vectors(numbered, ["idx"]).select(*keys, "idx", "level", "spread", "label", "features"))
+    bins = bins or max(BINS, (stored.agg(F.max("idx")).first()[0] or 0) + 1)
     model = _estimator("random_forest", trees, depth, seed, bins).fit(stored)
     following = (stored.groupBy(*keys).agg((F.max("idx") + 1).alias("idx"), F.max("level").alias("level"), F.max("spread").alias("spread"))
                  .where(F.col("idx").isNotNull()))

@@ -154,3 +154,20 @@ def test_report(spark, synthetic):
     assert by_key["a"].total_revenue == report.total_revenue and by_key["b"].data_count == 41
     short = forecast_report(sales.orderBy("month").limit(5), "2003-12-20")
     assert short.count() == 0 and short.columns == forecast_report(sales, "2003-12-20").columns
+
+
+def test_every_month_of_a_long_series_is_told_apart(spark):
+    """Only the last of 400 months sells: trees that drew it answer its value, about 63 in 100 of them."""
+    df = months(spark, *[0.0] * 399, 1000.0).withColumnRenamed("revenue", "sales")
+    assert fc.forecast_by_index(df).first().prediction > 500
+    assert fc.forecast_by_index(df.withColumn("k", F.lit("a")), ["k"]).first().prediction > 500
+
+
+def test_a_single_series_is_split_between_all_its_values(spark):
+    """A tree that isn't sampled gives each of 300 training rows its own value back."""
+    features = spark.range(375).select(
+        F.add_months(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")).alias("month"),
+        F.col("id").cast("double").alias("x"), (F.col("id") * 7919 % 1009).cast("double").alias("revenue"))
+    tree = fc.train_all(features, names=["decision_tree"], columns=["x"]).models["decision_tree"]
+    assert len({tree.predict(fc._vectors(spark.createDataFrame([(float(i),)], "x double"), ["x"]).first().features)
+                for i in range(280, 290)}) == 10
