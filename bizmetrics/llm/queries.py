@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bizmetrics.llm import bpe_count, cotraining, decontaminate, hnsw, lattice, license_scan, secret_scan, simhash, url_rules, warc
+from bizmetrics.llm import (bpe_count, cotraining, decontaminate, hnsw, lattice, license_scan, merkle, secret_scan, simhash,
+                            url_rules, warc)
 from bizmetrics.llm.common import row_key, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -70,13 +71,48 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return lattice.round_trip(docs, PIECES)
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return merkle.verified(table(spark, folder, "documents"), tampered)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash, op2_url_filters, op3_license_scans, op4_hnsw, op5_quality, op6_warc,
-                            op7_decontamination, op8_token_counts, op9_secrets, op10_pieces)}
+                            op7_decontamination, op8_token_counts, op9_secrets, op10_pieces, op11_merkle)}
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
+_LEAF = "sha256(" + " || ".join(
+    f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(str_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, nothing:
+        CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)"""
+_LEVEL = """SELECT g, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos))
+    FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {t}) x WHERE c > 1 GROUP BY g, lvl, pos // 3"""
+
 SQL: dict[str, str] = {
+    "op11_merkle": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce('1' || source, '0') AS g, {_LEAF} AS leaf,
+                    CASE WHEN {_CRC32} % 2 = 0 THEN {_LEAF.replace("text::VARCHAR", "replace(text::VARCHAR, chr(10), '')")} END AS other FROM documents),
+             l AS (SELECT *, row_number() OVER (ORDER BY g, doc_id NULLS FIRST, leaf) AS id,
+                          row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+             t(g, lvl, pos, h) AS (SELECT g, 0, pos, leaf FROM l UNION ALL {_LEVEL.format(t="t")}),
+             subroots AS (SELECT g, max(lvl) AS height, max_by(h, lvl) AS subroot, row_number() OVER (ORDER BY g) - 1 AS place FROM t GROUP BY g),
+             u(g, lvl, pos, h) AS (SELECT '', 0, place, subroot FROM subroots UNION ALL {_LEVEL.format(t="u")}),
+             whole AS (SELECT max(lvl) AS height, max_by(h, lvl) AS root FROM u),
+             steps AS (SELECT id, g, pos, 0 AS part, unnest(range(height)) AS lvl FROM l JOIN subroots USING (g)
+                       UNION ALL SELECT id, '', place, 1, unnest(range(whole.height)) FROM l JOIN subroots USING (g), whole),
+             nodes AS (SELECT 0 AS part, * FROM t UNION ALL SELECT 1, * FROM u),
+             ways AS (SELECT id, part, lvl, row_number() OVER (PARTITION BY id ORDER BY part, lvl) AS step,
+                             coalesce(string_agg(h, '' ORDER BY n.pos) FILTER (n.pos < s.pos // (3 ** lvl)::BIGINT), '') AS before,
+                             coalesce(string_agg(h, '' ORDER BY n.pos) FILTER (n.pos > s.pos // (3 ** lvl)::BIGINT), '') AS after
+                      FROM steps s JOIN nodes n USING (part, g, lvl) WHERE n.pos // 3 = s.pos // (3 ** (lvl + 1))::BIGINT GROUP BY id, part, lvl),
+             proofs AS (SELECT id, string_agg(before || after, '' ORDER BY step) AS siblings FROM ways GROUP BY id),
+             f(id, step, h) AS (SELECT id, 1, coalesce(other, leaf) FROM l
+                                UNION ALL SELECT f.id, f.step + 1, sha256(before || f.h || after) FROM f JOIN ways USING (id, step)),
+             folded AS (SELECT id, max_by(h, step) AS folded_root FROM f GROUP BY id)
+        SELECT doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM l JOIN subroots USING (g) JOIN folded USING (id) LEFT JOIN proofs USING (id), whole""",
     "op6_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS size, sha256(coalesce(html, '')) AS digest FROM pages),
              f AS (SELECT digest, min(page_id) AS first FROM p WHERE size >= 100 GROUP BY digest)
