@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bizmetrics.llm import (bpe_count, cotraining, decontaminate, hnsw, lattice, license_scan, merkle, secret_scan, simhash,
+from bizmetrics.llm import (bpe_codec, bpe_count, cotraining, decontaminate, hnsw, lattice, license_scan, merkle, secret_scan, simhash,
                             url_rules, warc)
 from bizmetrics.llm.common import row_key, table
 
@@ -76,9 +76,16 @@ def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.verified(table(spark, folder, "documents"), tampered)
 
 
+def op13_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = bpe_codec.encode(table(spark, folder, "documents"), BYTE_BPE)
+    return bpe_codec.decode(encoded, BYTE_BPE).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(bpe_codec.id_bytes(), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash, op2_url_filters, op3_license_scans, op4_hnsw, op5_quality, op6_warc,
-                            op7_decontamination, op8_token_counts, op9_secrets, op10_pieces, op11_merkle)}
+                            op7_decontamination, op8_token_counts, op9_secrets, op10_pieces, op11_merkle, op13_bpe_codec)}
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
