@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bizmetrics.llm import (bpe_codec, bpe_count, cotraining, decontaminate, hnsw, lattice, license_scan, merkle, secret_scan, simhash,
-                            url_rules, warc)
+from bizmetrics.llm import (bpe_codec, bpe_count, cotraining, decontaminate, hnsw, lattice, license_scan, merkle, phrases, secret_scan,
+                            simhash, url_rules, warc)
 from bizmetrics.llm.common import row_key, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -76,6 +76,10 @@ def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.verified(table(spark, folder, "documents"), tampered)
 
 
+def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"), min_count=100, most_words=5, absorbed=100, top=2000)
+
+
 def op13_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     encoded = bpe_codec.encode(table(spark, folder, "documents"), BYTE_BPE)
     return bpe_codec.decode(encoded, BYTE_BPE).select(
@@ -85,7 +89,7 @@ def op13_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash, op2_url_filters, op3_license_scans, op4_hnsw, op5_quality, op6_warc,
-                            op7_decontamination, op8_token_counts, op9_secrets, op10_pieces, op11_merkle, op13_bpe_codec)}
+                            op7_decontamination, op8_token_counts, op9_secrets, op10_pieces, op11_merkle, op12_phrases, op13_bpe_codec)}
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
@@ -98,6 +102,27 @@ _LEVEL = """SELECT g, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos))
     FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {t}) x WHERE c > 1 GROUP BY g, lvl, pos // 3"""
 
 SQL: dict[str, str] = {
+    "op12_phrases": r"""
+        WITH p AS (SELECT lang, row_number() OVER () AS piece, w FROM (
+                     SELECT lang, list_filter(string_split(replace(piece, chr(9), ' '), ' '), lambda x: x <> '') AS w FROM (
+                       SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents) x) y WHERE len(w) > 0),
+             total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+             f AS (SELECT lang, k, ph, count(*) AS a FROM (
+                     SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS ph FROM (
+                       SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS k) ks WHERE len(w) >= k) x) y
+                   GROUP BY lang, k, ph HAVING count(*) >= 100),
+             c AS (SELECT lang, k, ph, a, string_split(ph, ' ') AS w FROM f WHERE k > 1),
+             cuts AS (SELECT lang, ph, a, w, unnest(range(1, k)) AS first FROM c),
+             scored AS (SELECT lang, cuts.ph, cuts.a, first, x.a AS l, y.a AS r, n, CAST((1000::HUGEINT * cuts.a * n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+                        FROM cuts JOIN f x USING (lang) JOIN f y USING (lang) JOIN total USING (lang)
+                        WHERE x.ph = array_to_string(w[1 : first], ' ') AND y.ph = array_to_string(w[first + 1 : len(w)], ' ')),
+             best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, first) = 1),
+             longer AS (SELECT DISTINCT s.lang, s.ph FROM c s JOIN c b ON s.lang = b.lang AND b.k > s.k
+                        AND contains(' ' || b.ph || ' ', ' ' || s.ph || ' ') WHERE 100 * b.a >= 100 * s.a)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM (
+            SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, ph) AS rank, ph AS phrase, a, l, r, n, score
+            FROM best ANTI JOIN longer USING (lang, ph)) z WHERE rank <= 2000""",
     "op11_merkle": f"""
         WITH RECURSIVE d AS (SELECT doc_id, coalesce('1' || source, '0') AS g, {_LEAF} AS leaf,
                     CASE WHEN {_CRC32} % 2 = 0 THEN {_LEAF.replace("text::VARCHAR", "replace(text::VARCHAR, chr(10), '')")} END AS other FROM documents),
