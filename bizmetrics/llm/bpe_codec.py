@@ -3,28 +3,29 @@
 A rolling hash over the last 16 bytes cuts texts into chunks, so that passages which documents share fall into
 the same chunks wherever they stand. Chunks that occur more than once in the corpus are encoded once: their digests
 are counted, one copy of each moves to the task that encodes it, and its ids come back to the places that refer to it.
-Other chunks are encoded where they stand.
+Other chunks are encoded where they stand, together with the joins around them.
 
 A chunk's own tokens are not those of the whole text near its ends. Between a letter and a white space every split of
 this kind of vocabulary has a boundary, whatever stands around; such a place is called firm here. What a chunk
-contributes is the run between its first and its last firm place, and the join of two chunks is encoded anew from the last
-firm place before to the first behind it: where a chunk has no two such places, the join goes on over the next chunks until
-it finds one, in a text without any to its end. Both sides must agree there: a chunk whose own encoding has no
-token that ends at its firm places is refused, never joined wrongly.
+contributes is the run between its first and its last firm place. Its joins are encoded anew, outwards until both sides
+agree, which is at the last firm place of the chunk before and the first of the chunk behind; where a chunk has no two
+such places, the join goes on over it, in a text without any to its end.
 """
 
 from __future__ import annotations
 
 import json
 import os
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bizmetrics.llm.common import ship
 from bizmetrics.session import cut_lineage, store_once
@@ -34,7 +35,7 @@ CUT_BITS, LEAST, MOST = 10, 256, 16_384
 #: Bits of the table of digests that occur more than once, at least so many for each, and at most 32 MB.
 BITS_PER_KEY, MOST_BITS = 16, 1 << 28
 SLAB_BITS = 1 << 18
-#: Joins a worker remembers.
+#: Words a worker remembers.
 REMEMBERED = 200_000
 _WHITE = np.zeros(256, bool)
 _WHITE[list(b" \t\n\r")] = True
@@ -62,30 +63,50 @@ def rolling(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk_ends(data: np.ndarray) -> list[int]:
-    """Where the chunks of a text's bytes end. A cut needs ``LEAST`` bytes since the last one and comes after ``MOST`` at the
-    latest, never inside a letter."""
-    if len(data) <= LEAST:
-        return [len(data)] if len(data) else []
-    letter = np.r_[(data[1:] & 0xC0) != 0x80, True]  # whether a letter ends at this byte
-    marks = (np.nonzero((rolling(data) >> np.uint32(32 - CUT_BITS) == 0) & letter)[0] + 1).tolist()
-    ends, at = [], 0
-    for mark in [*marks, len(data)]:
-        while mark - at > MOST:
-            cut = at + MOST
-            while not letter[cut - 1]:
-                cut -= 1
-            ends.append(at := cut)
-        if mark - at >= LEAST or mark == len(data):
-            ends.append(at := mark)
-    return ends if ends[-1] == len(data) else [*ends, len(data)]
-
-
 def firm_places(data: np.ndarray) -> np.ndarray:
     """Places with a visible letter before and a white space behind."""
     return np.nonzero(_WORD[data[:-1]] & _WHITE[data[1:]])[0] + 1
 
 
+class Texts:
+    """The texts of a batch, in one row of bytes, and how they are cut."""
+
+    def __init__(self, column: pa.Array):
+        column = column.cast(pa.binary())
+        self.offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+        held = column.buffers()[2]
+        self.bytes = memoryview(held)[self.offsets[0]:self.offsets[-1]] if held else memoryview(b"")
+        self.offsets = self.offsets - self.offsets[0]
+        self.data = np.frombuffer(self.bytes, np.uint8)
+
+    def chunks(self) -> Iterator[tuple[int, bytes, int, int, int]]:
+        """(text, digest, start, first, last) of the chunks with two firm places: where it starts, and its first and last one.
+        A cut needs ``LEAST`` bytes since the last one and comes after ``MOST`` at the latest, never inside a letter."""
+        data = self.data
+        letter = np.r_[(data[1:] & 0xC0) != 0x80, True]  # whether a letter ends at this byte
+        # Windows over the start of a text don't matter: cuts need more bytes than a window has.
+        marks = np.nonzero((rolling(data) >> np.uint32(32 - CUT_BITS) == 0) & letter)[0] + 1
+        of = np.searchsorted(marks, self.offsets, "right").tolist()
+        places, marks = self.offsets.tolist(), marks.tolist()
+        texts, starts, ends = [], [], []
+        for i, (at, stop) in enumerate(zip(places, places[1:])):
+            for mark in [*marks[of[i]:of[i + 1]], stop]:
+                while mark - at > MOST:
+                    cut = at + MOST
+                    while not letter[cut - 1]:
+                        cut -= 1
+                    texts.append(i), starts.append(at), ends.append(cut)
+                    at = cut
+                if mark - at >= LEAST or mark == stop > at:
+                    texts.append(i), starts.append(at), ends.append(mark)
+                    at = mark
+        firm = firm_places(data) if len(data) else np.zeros(0, np.int64)
+        # Inside a chunk: a letter of it before the place and a white space of it behind.
+        lo, hi = np.searchsorted(firm, np.array(starts, np.int64) + 1), np.searchsorted(firm, np.array(ends, np.int64))
+        for k in np.nonzero(hi - lo >= 2)[0].tolist():
+            yield texts[k], xxhash.xxh3_128_digest(self.bytes[starts[k]:ends[k]]), starts[k], int(firm[lo[k]]), int(firm[hi[k] - 1])
+
+
 class Codec:
     """Encodes and decodes as the vocabulary file's own library does by default, without added tokens."""
 
@@ -106,42 +127,75 @@ class Codec:
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in set(shown)]
         byte = {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
-        self.bytes_of = [b""] * (1 + max(chain(ids.values(), (t["id"] for t in added))))
+        bytes_of = [b""] * (1 + max(chain(ids.values(), (t["id"] for t in added))))
         for token, i in ids.items():
-            self.bytes_of[i] = bytes(map(byte.__getitem__, token)) if all(c in byte for c in token) else token.encode()
+            bytes_of[i] = bytes(map(byte.__getitem__, token)) if all(c in byte for c in token) else token.encode()
         for t in added:
-            self.bytes_of[t["id"]] = t["content"].encode()
-        self.sizes = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        found = self.library.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in found]
-
-    def joins(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The tokens of joins, most of which are a word or two: those met before are remembered."""
+            bytes_of[t["id"]] = t["content"].encode()
+        self.tokens = pa.array(bytes_of, pa.large_binary())
+        self.sizes = np.fromiter(map(len, bytes_of), np.int64, len(bytes_of))
+        self.kind = "<u2" if len(bytes_of) <= 1 << 16 else "<u4"  # of ids that move
+        self.known: dict[bytes, bytes] = {}
+
+    def packed(self, ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+        """A binary value for each run of ids."""
+        width = np.dtype(self.kind).itemsize
+        places = (starts * width).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(places), pa.py_buffer(ids.astype(self.kind))])
+
+    def unpacked(self, rows: list[bytes]) -> pa.ListArray:
+        ids = np.frombuffer(b"".join(rows), self.kind)
+        return _lists(ids, np.r_[0, np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))] // np.dtype(self.kind).itemsize)
+
+    def encode(self, texts: list[bytes | memoryview]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and the last one's end). A text is cut at its firm places, where every
+        split has a boundary; of the different words that are found so, those not met before go to the library."""
+        joined = b"".join(texts)
+        data = np.frombuffer(joined, np.uint8)
+        bounds = np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
+        places = np.union1d(bounds, firm_places(data))
+        words = pa.Array.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(joined)]).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list({t for t in texts if t not in self.known})
-        made = dict(zip(new, self.encode(new))) if new else {}
-        self.known |= {t: ids for t, ids in made.items() if len(t) < 100}
-        return [self.known[t] if t in self.known else made[t] for t in texts]
-
-    def inner(self, chunks: list[bytes], spans: list[tuple[int, int]]) -> list[np.ndarray]:
-        """The tokens of each chunk, encoded as a whole, between two places at which it agrees."""
-        out = []
-        for ids, (lo, hi) in zip(self.encode(chunks), spans):
-            ends = np.cumsum(self.sizes[ids])
-            first, last = np.searchsorted(ends, [lo, hi])
-            if ends[first] != lo or ends[last] != hi:
-                raise ValueError("a token crosses a place between a letter and a white space")
-            out.append(ids[first + 1:last + 1])
-        return out
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The text's UTF-8 bytes; bytes that are no letter become U+FFFD, as they do for the library."""
-        raw = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-        return raw.decode("utf-8", "replace").encode()
+        new = [w for w in distinct if w not in self.known]
+        made = {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(new, self.library.encode_batch_fast(
+            [w.decode() for w in new], add_special_tokens=False))}
+        tokens = [self.known.get(w) or made[w] for w in distinct]
+        self.known |= {w: ids for w, ids in made.items() if len(w) < 100}
+        flat = np.frombuffer(b"".join(tokens), np.uint32)
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) // 4
+        number = words.indices.to_numpy()
+        ids, ends = _gathered(flat, np.r_[0, np.cumsum(sizes)][:-1], sizes, number)
+        starts = ends[np.searchsorted(places, bounds)]
+        if not np.array_equal(np.r_[0, np.cumsum(self.sizes[ids])][starts], bounds):
+            raise ValueError("tokens and texts don't have the same bytes")
+        return ids, starts
+
+    def decode(self, ids: pa.Array) -> pa.Array:
+        """The texts of lists of ids; bytes that are no letter become U+FFFD, as they do for the library."""
+        ends = _ends(ids)
+        tokens = self.tokens.take(ids.flatten())
+        places = np.frombuffer(tokens.buffers()[1], np.int64)[tokens.offset:tokens.offset + len(tokens) + 1]
+        texts = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(places[ends])), tokens.buffers()[2]])
+        try:
+            texts = texts.cast(pa.large_string())
+        except pa.ArrowInvalid:
+            texts = pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.large_string())
+        return pc.if_else(ids.is_valid(), texts, None).cast(pa.string())
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the ``chosen`` runs of ``flat`` in a row, where each begins and the last one ends)."""
+    lengths = sizes[chosen]
+    ends = np.r_[0, np.cumsum(lengths)]
+    return flat[np.repeat(starts[chosen] - ends[:-1], lengths) + np.arange(ends[-1])], ends
+
+
+def _ends(lists: pa.Array) -> np.ndarray:
+    return np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64))]
 
 
 @lru_cache(maxsize=2)
@@ -149,28 +203,6 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def cut(text: bytes) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-    """(chunks that have tokens of their own: start, end, first and last firm place; the joins between and around them: start, end).
-    Joins and the runs between firm places alternate, joins first and last, and make up the text."""
-    data = np.frombuffer(text, np.uint8)
-    firm = firm_places(data)
-    chunks, joins, start, at = [], [], 0, 0
-    for end in chunk_ends(data):
-        # Inside the chunk: a letter before the place and a white space behind it.
-        lo, hi = np.searchsorted(firm, [start + 1, end])
-        if hi - lo >= 2:
-            first, last = int(firm[lo]), int(firm[hi - 1])
-            chunks.append((start, end, first, last))
-            joins.append((at, first))
-            at = last
-        start = end
-    return chunks, [*joins, (at, len(text))]
-
-
-def _digest(chunk: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(chunk)
-
-
 class Table:
     """Which digests may occur more than once: one bit each in a table of bounded size. It never forgets one; beyond the
     bound it lets others through too, which are then encoded once like them."""
@@ -213,142 +245,107 @@ def _counted(work: DataFrame) -> DataFrame:
     """(digest, n): how often each chunk occurs; folded per batch before it moves."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[bytes, int] = {}
-            for text in batch.column(0).to_pylist():
-                for start, end, _, _ in cut(text)[0]:
-                    key = _digest(text[start:end])
-                    seen[key] = seen.get(key, 0) + 1
+            seen = Counter(digest for _, digest, *_ in Texts(batch.column(0)).chunks())
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["digest", "n"])
 
     return work.select("text").mapInArrow(run, "digest binary, n bigint").groupBy("digest").agg(F.sum("n").alias("n"))
 
 
 def _encoded_once(work: DataFrame, table, vocabulary: str, partitions: int) -> DataFrame:
-    """(digest, ids) of every chunk in the table: one copy a batch moves, one is encoded."""
+    """(digest, ids) of every chunk in the table, from its first firm place to its last: one copy a batch moves, one is encoded."""
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[bytes, tuple] = {}
-            for text in batch.column(0).to_pylist():
-                for start, end, first, last in cut(text)[0]:
-                    if (key := _digest(chunk := text[start:end])) in table.value and key not in found:
-                        found[key] = (key, chunk, first - start, last - start)
-            columns = list(zip(*found.values())) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.binary(), pa.int32(), pa.int32()))],
-                                             names=["digest", "chunk", "first", "last"])
+            texts = Texts(batch.column(0))
+            found = {digest: bytes(texts.bytes[first:last]) for _, digest, _, first, last in texts.chunks() if digest in table.value}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["digest", "inner"])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
+        own, before = codec(vocabulary), None
         for batch in batches:
-            keys, chunks, spans = [], [], []
-            for key, chunk, first, last in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            keys, inner = [], []
+            for key, chunk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if key != before:
-                    keys.append(key), chunks.append(chunk), spans.append((first, last))
+                    keys.append(key), inner.append(chunk)
                 before = key
-            ids = codec(vocabulary).inner(chunks, spans) if chunks else []
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary())],
-                                             names=["digest", "ids"])
+            ids, starts = own.encode(inner)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), own.packed(ids, starts)], names=["digest", "ids"])
 
-    moved = work.select("text").mapInArrow(copies, "digest binary, chunk binary, first int, last int")
+    moved = work.select("text").mapInArrow(copies, "digest binary, inner binary")
     return moved.repartition(partitions, "digest").sortWithinPartitions("digest").mapInArrow(encoded, "digest binary, ids binary")
 
 
-def _pieces(text: bytes, table) -> Iterator[tuple[str, object, tuple[int, int] | None]]:
-    """What a text is made of, in its order: joins, chunks of its own with their span, and digests of chunks in the table."""
-    inside, between = cut(text)
-    for k, (lo, hi) in enumerate(between):
-        yield "join", text[lo:hi], None
-        if k < len(inside):
-            start, end, first, last = inside[k]
-            chunk = text[start:end]
-            key = _digest(chunk)
-            yield ("digest", key, None) if key in table.value else ("chunk", chunk, (first - start, last - start))
-
-
-def _planned(own: Codec, texts: list[tuple[int, bytes]], table, shared: bool) -> Iterator[tuple[int, list]]:
-    """(which text, its parts: ids, or a digest) of the texts with a digest if ``shared``, else of those without."""
-    chosen, joins, chunks, spans = [], [], [], []
-    for i, text in texts:
-        pieces = list(_pieces(text, table))
-        if any(kind == "digest" for kind, _, _ in pieces) == shared:
-            plan = []
-            for kind, what, span in pieces:
-                if kind == "digest":
-                    plan.append((kind, what))
-                elif kind == "join":
-                    plan.append((kind, len(joins)))
-                    joins.append(what)
-                else:
-                    plan.append((kind, len(chunks)))
-                    chunks.append(what), spans.append(span)
-            chosen.append((i, plan))
-    ids = {"join": own.joins(joins), "chunk": own.inner(chunks, spans) if chunks else []}
-    for i, plan in chosen:
-        parts, held = [], []
-        for kind, what in plan:
-            if kind == "digest":
-                parts += [np.concatenate(held), what]
-                held = []
-            else:
-                held.append(ids[kind][what])
-        yield i, [*parts, np.concatenate(held)]
-
-
-def _lists(ids: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.r_[0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))].astype(np.int32)
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
+def _pieces(texts: Texts, table) -> Iterator[tuple[int, list[tuple[int, int]], list[bytes]]]:
+    """For each text the digests of its chunks that are in the table, and the runs (start, end) before, between and behind
+    what those stand for, one more than digests."""
+    runs = [[] for _ in range(len(texts.offsets) - 1)]
+    digests = [[] for _ in runs]
+    at = texts.offsets[:-1].tolist()
+    for i, digest, _, first, last in texts.chunks():
+        if digest in table.value:
+            runs[i].append((at[i], first))
+            digests[i].append(digest)
+            at[i] = last
+    for i, end in enumerate(texts.offsets[1:].tolist()):
+        yield i, [*runs[i], (at[i], end)], digests[i]
+
+
+def _lists(ids: np.ndarray, starts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
 def _alone(work: DataFrame, table, vocabulary: str, schema: str) -> DataFrame:
     """The texts without a chunk in the table, encoded where they stand."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(_planned(codec(vocabulary), list(enumerate(batch.column(1).to_pylist())), table, False))
-            rows = pa.array([i for i, _ in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), _lists([ids for _, (ids,) in found])], names=["doc_id", "ids"])
+            texts = Texts(batch.column(1))
+            found = [(i, texts.bytes[runs[0][0]:runs[0][1]]) for i, runs, digests in _pieces(texts, table) if not digests]
+            ids, starts = codec(vocabulary).encode([text for _, text in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in found], pa.int64())), _lists(ids, starts)], names=["doc_id", "ids"])
 
     return work.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _parts(work: DataFrame, table, vocabulary: str, kind: str) -> DataFrame:
-    """(row, doc_id, part, ids, digest) of the other texts: ids, or the digest of a chunk whose ids are elsewhere."""
+    """(row, doc_id, part, ids, digest) of the other texts: the ids of their runs, and the digests of chunks whose ids
+    are elsewhere."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, parts, blobs, digests = [], [], [], []
-            for i, found in _planned(codec(vocabulary), list(enumerate(batch.column(1).to_pylist())), table, True):
-                for k, part in enumerate(found):
-                    digest = isinstance(part, bytes)
-                    rows.append(i), parts.append(k)
-                    blobs.append(None if digest else part.astype("<u4").tobytes()), digests.append(part if digest else None)
+            texts, own = Texts(batch.column(1)), codec(vocabulary)
+            rows, parts, kept, digest = [], [], [], []
+            for i, runs, digests in _pieces(texts, table):
+                if digests:
+                    rows += [i] * (len(runs) + len(digests))
+                    parts += range(len(runs) + len(digests))
+                    digest += [x for d in digests for x in (None, d)] + [None]
+                    kept += [texts.bytes[a:b] for a, b in runs]
+            found = own.packed(*own.encode(kept))
+            # The runs' ids in the even places.
+            held = np.array([d is None for d in digest], bool)
+            which = pa.array(np.where(held, np.cumsum(held) - 1, 0), mask=~held)
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(2).take(at), batch.column(0).take(at), pa.array(parts, pa.int64()),
-                                              pa.array(blobs, pa.binary()), pa.array(digests, pa.binary())],
-                                             names=["row", "doc_id", "part", "ids", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(at), batch.column(0).take(at), pa.array(parts, pa.int64()), found.take(which),
+                                              pa.array(digest, pa.binary())], names=["row", "doc_id", "part", "ids", "digest"])
 
     numbered = work.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     return numbered.mapInArrow(run, f"row bigint, doc_id {kind}, part bigint, ids binary, digest binary")
 
 
-def _joined(parts: DataFrame, schema: str) -> DataFrame:
+def _joined(parts: DataFrame, vocabulary: str, schema: str) -> DataFrame:
     """The ids of texts whose parts come in their order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, doc_id, held, kind = None, None, [], None
-
-        def whole() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([doc_id], kind), _lists([np.frombuffer(b"".join(held), "<u4")])], names=["doc_id", "ids"])
+        own, row, held, doc_id = codec(vocabulary), None, [], None
 
         for batch in batches:
-            out, kind = [], batch.schema.field("doc_id").type
+            names, texts, kind = [], [], batch.schema.field("doc_id").type
             for of, name, blob in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "ids"))):
-                if of != row and row is not None:
-                    out.append(whole())
                 if of != row:
+                    if row is not None:
+                        names.append(doc_id), texts.append(b"".join(held))
                     row, doc_id, held = of, name, []
                 held.append(blob)
-            if out:
-                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([pa.array(names, kind), own.unpacked(texts)], names=["doc_id", "ids"])
         if row is not None:
-            yield whole()
+            yield pa.RecordBatch.from_arrays([pa.array([doc_id], kind), own.unpacked([b"".join(held)])], names=["doc_id", "ids"])
 
     return parts.mapInArrow(run, schema)
 
@@ -375,7 +372,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     own = parts.where(F.col("digest").isNull()).select("row", "doc_id", "part", "ids")
     shared = parts.where(F.col("digest").isNotNull()).drop("ids").join(once, "digest").select("row", "doc_id", "part", "ids")
     dealt = own.unionByName(shared).repartition("row").sortWithinPartitions("row", "part")
-    return _alone(work, table, vocabulary, schema).unionByName(_joined(dealt, schema))
+    return _alone(work, table, vocabulary, schema).unionByName(_joined(dealt, vocabulary, schema))
 
 
 def decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -383,17 +380,18 @@ def decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "d
     replaced. Null ids give a null text, no ids an empty one; an id the vocabulary doesn't have fails."""
     ship(rows.sparkSession)
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:
-        own = codec(vocabulary)
-        return pa.array([None if i is None else own.decode(np.array(i, np.uint32)) for i in ids.to_pylist()], pa.binary())
+        return codec(vocabulary).decode(ids)
 
-    return rows.withColumn(out, text(F.col(f"`{ids_col}`")).cast("string"))
+    return rows.withColumn(out, text(F.col(f"`{ids_col}`")))
 
 
-def id_bytes(ids: str = "ids"):
+def id_bytes(ids: str = "ids") -> Column:
     """The ids as little-endian unsigned 32-bit integers in a row, null for null."""
     @F.arrow_udf("binary")
     def packed(column: pa.Array) -> pa.Array:
-        return pa.array([None if i is None else np.array(i, "<u4").tobytes() for i in column.to_pylist()], pa.binary())
+        flat = column.flatten().to_numpy().astype("<u4")
+        rows = pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(_ends(column) * 4), pa.py_buffer(flat)])
+        return pc.if_else(column.is_valid(), rows, None).cast(pa.binary())
     return packed(F.col(f"`{ids}`"))
