@@ -7,9 +7,9 @@ The quicksort splits all open partitions of a batch at once, in flat arrays.
 
 Counts have to be global, so the work goes in three steps:
 
-1. Words are counted. Then the pairs of frequent words are counted by a hash: the suffixes are routed by their leading
-   words, and those whose leading pair is too rare are abandoned. A bit table of bounded size tells the tasks which
-   are left; it lets some through that are not, which changes nothing.
+1. Words are counted. Then the pairs of frequent words are counted by a hash as wide as the number of words asks for: the
+   suffixes are routed by their leading words, and those whose leading pair is too rare are abandoned. Pairs of one hash only
+   raise its count. A bit table of bounded size tells the tasks which are left; what else it lets through changes nothing.
 2. Each batch sorts the suffixes that are left, cut where a rare pair begins, and folds equal ones to one row with a number.
 3. The folded suffixes are range-partitioned by their words, so suffixes with the same leading words stand together, and a
    hot beginning spreads over as many tasks as it fills. Each task sorts its range by the same quicksort. An equal part
@@ -37,6 +37,8 @@ RANGE_ROWS = 500_000
 #: Bits of the tables of frequent words and pairs: at least so many for each, and at most 32 MB.
 BITS_PER_KEY, MOST_BITS = 16, 1 << 28
 SLAB_BITS = 1 << 18
+#: Words to a number of the pairs' hash, on average: far fewer than occurrences that matter.
+WORDS_PER_HASH = 8
 #: Text that is sorted at once.
 SORTED_BYTES = 12 << 20
 #: What separates pieces (fixed values), and words.
@@ -161,15 +163,15 @@ def _pairs(found: Words, lang: str, words: Table) -> tuple[np.ndarray, np.ndarra
     return ok, pair_hashes(h[found.ids[:-1]], h[found.ids[1:]])
 
 
-def _pair_counts(work: DataFrame, words) -> DataFrame:
-    """(h, n): how often the pairs of frequent words occur, by their hash. Equal hashes only raise a count."""
+def _pair_counts(work: DataFrame, words, bits: int) -> DataFrame:
+    """(h, n): how often the pairs of frequent words occur, by ``bits`` of their hash. Equal hashes only raise a count."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in _runs(batches, SORTED_BYTES):
             found = Words(texts)
             if len(found.ids) < 2:
                 continue
             ok, h = _pairs(found, lang, words.value)
-            keys, counts = np.unique(h[ok], return_counts=True)
+            keys, counts = np.unique(h[ok] & np.uint64((1 << bits) - 1), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts, pa.int64())], names=["h", "n"])
 
     return work.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
@@ -246,8 +248,9 @@ def _windows(ids: np.ndarray, ok: np.ndarray, most: int) -> tuple[np.ndarray, np
     return words, lengths
 
 
-def _folded(work: DataFrame, words, pairs, most: int) -> DataFrame:
-    """(lang, suffix, salt, n): the suffixes that are left, equal ones of a batch in one row. ``salt`` is the batch."""
+def _folded(work: DataFrame, words, pairs, bits: int, most: int) -> DataFrame:
+    """(lang, suffix, salt, n): the suffixes that are left, equal ones of a batch in one row; ``salt`` is the batch. A space
+    ends each of a suffix's words, so all that begin with some words stand together in the order of their bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for nth, (lang, texts) in enumerate(_runs(batches, SORTED_BYTES)):
@@ -255,21 +258,22 @@ def _folded(work: DataFrame, words, pairs, most: int) -> DataFrame:
             if len(found.ids) < 2:
                 continue
             ok, h = _pairs(found, lang, words.value)
-            ok[ok] = pairs.value.holds(h[ok])
+            ok[ok] = pairs.value.holds(h[ok] & np.uint64((1 << bits) - 1))
             suffixes, lengths = _windows(found.ids, ok, most)
             # To the greatest depth with the empty places behind short suffixes: the last equal parts are equal suffixes.
+            ended = pc.binary_join_element_wise(found.words.cast(pa.string()), "", " ")
             last = [x for x in multikey_quicksort(suffixes, np.full(len(lengths), most), np.ones(len(lengths), np.int64)) if x[0] == most]
             for _, first, total in last:
                 for i in range(0, len(first), 100_000):
                     some = first[i:i + 100_000]
                     flat = suffixes[some]
                     offsets = np.r_[0, np.cumsum(lengths[some])].astype(np.int32)
-                    phrase = pa.ListArray.from_arrays(pa.array(offsets), found.words.take(pa.array(flat[flat >= 0])).cast(pa.string()))
+                    listed = pa.ListArray.from_arrays(pa.array(offsets), ended.take(pa.array(flat[flat >= 0])))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(some), pa.string()), phrase, pa.array(np.full(len(some), task << 24 | nth)),
+                        [pa.array([lang] * len(some), pa.string()), pc.binary_join(listed, ""), pa.array(np.full(len(some), task << 24 | nth)),
                          pa.array(total[i:i + 100_000], pa.int64())], names=["lang", "suffix", "salt", "n"])
 
-    return work.mapInArrow(run, "lang string, suffix array<string>, salt bigint, n bigint")
+    return work.mapInArrow(run, "lang string, suffix string, salt bigint, n bigint")
 
 
 def _ranged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -279,37 +283,33 @@ def _ranged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
     if not held:
         return
     rows = pa.Table.from_batches(held).combine_chunks()
-    lists = rows["suffix"].chunk(0)
-    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    names = pa.concat_arrays([rows["lang"].chunk(0), lists.flatten()]).cast(pa.binary()).dictionary_encode()
-    # Numbers in the order of the words' bytes.
-    number = np.empty(len(names.dictionary), np.int64)
-    number[pc.sort_indices(names.dictionary).to_numpy()] = np.arange(len(number))
-    numbered = number[names.indices.to_numpy()]
-    count = len(sizes)
-    words = np.full((count, 1 + sizes.max()), -1, np.int64)
+    langs, suffixes = rows["lang"].chunk(0), rows["suffix"].chunk(0).cast(pa.binary())
+    lists = pc.split_pattern(suffixes, b" ")  # the last of each is empty
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64) - 1
+    names = pa.concat_arrays([langs.cast(pa.binary()), lists.flatten()]).dictionary_encode()
+    numbered = names.indices.to_numpy().astype(np.int64)
+    count, most = len(sizes), sizes.max()
+    words = np.full((count, most + 2), -1, np.int64)
     words[:, 0] = numbered[:count]
-    words[:, 1:][np.arange(words.shape[1] - 1) < sizes[:, None]] = numbered[count:]
-    langs = rows["lang"].chunk(0)
-    for depth, first, total in multikey_quicksort(words, sizes + 1, rows["n"].to_numpy(), least, _ends(words)):
+    words[:, 1:][np.arange(most + 1) <= sizes[:, None]] = numbered[count:]
+    words = words[:, :-1]
+    words[:, 1:][np.arange(most) >= sizes[:, None]] = -1
+    for depth, first, total in multikey_quicksort(words, sizes + 1, rows["n"].to_numpy(), least, _ends(langs, suffixes)):
         if depth > 2 and len(first):  # the language and two words or more
             at = pa.array(first)
             # The first words of a suffix of each part.
-            starts = np.asarray(lists.offsets)[first].astype(np.int64)
-            flat = lists.values.take(pa.array((starts[:, None] + np.arange(depth - 1)).ravel()))
+            flat = names.dictionary.take(pa.array(words[first, 1:depth].ravel())).cast(pa.string())
             phrase = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * (depth - 1)), flat)
             yield pa.RecordBatch.from_arrays([langs.take(at), phrase, pa.array(total, pa.int64())], names=["lang", "phrase", "n"])
 
 
-def _ends(words: np.ndarray) -> tuple[int, int]:
-    """The smallest and the largest suffix."""
+def _ends(langs: pa.Array, suffixes: pa.Array) -> tuple[int, int]:
+    """The first and the last suffix in the order of the ranges."""
     found = []
-    for extreme in (np.min, np.max):
-        left = np.arange(len(words))
-        for depth in range(words.shape[1]):
-            keys = words[left, depth]
-            left = left[keys == extreme(keys)]
-        found.append(int(left[0]))
+    for end in ("min", "max"):
+        mine = pc.equal(langs, pc.min_max(langs)[end])
+        among = pc.if_else(mine, suffixes, None)
+        found.append(pc.index(among, pc.min_max(among)[end]).as_py())
     return tuple(found)
 
 
@@ -324,15 +324,18 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, most_words: int = MO
     counts = store_once(_word_counts(work), "words")
     frequent = counts.where(F.col("n") >= min_count)
     words = spark.sparkContext.broadcast(_table(cut_lineage(_hashed(frequent))))
-    pairs = spark.sparkContext.broadcast(_table(cut_lineage(_pair_counts(work, words).where(F.col("n") >= min_count).select("h"))))
-    folded = store_once(_folded(work, words, pairs, most_words), "suffixes")
+    totals = cut_lineage(counts.groupBy("lang").agg(F.sum("n").alias("n")))
+    n = totals.agg(F.sum("n")).first()[0] or 0
+    bits = max(20, (n // WORDS_PER_HASH).bit_length())
+    pairs = spark.sparkContext.broadcast(_table(cut_lineage(_pair_counts(work, words, bits).where(F.col("n") >= min_count).select("h"))))
+    folded = store_once(_folded(work, words, pairs, bits, most_words), "suffixes")
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(least, -(-folded.count() // RANGE_ROWS))
     found = (folded.repartitionByRange(ranges, "lang", "suffix", "salt")
              .mapInArrow(lambda batches: _ranged(batches, min_count), "lang string, phrase array<string>, n bigint"))
     phrases = found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     ones = frequent.select("lang", F.array("word").alias("phrase"), "n")
-    return store_once(ones.unionByName(phrases), "phrases"), counts.groupBy("lang").agg(F.sum("n").alias("n"))
+    return store_once(ones.unionByName(phrases), "phrases"), totals
 
 
 def _parts_of(phrase: Column) -> Column:
