@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from bizmetrics.llm.common import ship
 from bizmetrics.session import cut_lineage, store_once
 
-#: A chunk ends where this many bits of the rolling hash are zero: 1 KB on average. Limits of its bytes.
-CUT_BITS, LEAST, MOST = 10, 256, 16_384
 #: Bits of the table of digests that occur more than once, at least so many for each, and at most 32 MB.
 BITS_PER_KEY, MOST_BITS = 16, 1 << 28
 SLAB_BITS = 1 << 18
@@ -44,6 +43,14 @@ _WORD = np.zeros(256, bool)
 _WORD[0x21:0x7F] = _WORD[0x90:0x9F] = _WORD[0xA1:0xA8] = _WORD[0xB0:0xC0] = True
 
 
+class Cuts(NamedTuple):
+    """A chunk ends where so many bits of the rolling hash are zero, here every 1 KB; limits of its bytes. ``least`` is at
+    least a window of the hash."""
+    bits: int = 10
+    least: int = 256
+    most: int = 16_384
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -79,25 +86,25 @@ class Texts:
         self.offsets = self.offsets - self.offsets[0]
         self.data = np.frombuffer(self.bytes, np.uint8)
 
-    def chunks(self) -> Iterator[tuple[int, bytes, int, int, int]]:
+    def chunks(self, cuts: Cuts) -> Iterator[tuple[int, bytes, int, int, int]]:
         """(text, digest, start, first, last) of the chunks with two firm places: where it starts, and its first and last one.
-        A cut needs ``LEAST`` bytes since the last one and comes after ``MOST`` at the latest, never inside a letter."""
+        A cut needs ``least`` bytes since the last one and comes after ``most`` at the latest, never inside a letter."""
         data = self.data
         letter = np.r_[(data[1:] & 0xC0) != 0x80, True]  # whether a letter ends at this byte
         # Windows over the start of a text don't matter: cuts need more bytes than a window has.
-        marks = np.nonzero((rolling(data) >> np.uint32(32 - CUT_BITS) == 0) & letter)[0] + 1
+        marks = np.nonzero((rolling(data) >> np.uint32(32 - cuts.bits) == 0) & letter)[0] + 1
         of = np.searchsorted(marks, self.offsets, "right").tolist()
         places, marks = self.offsets.tolist(), marks.tolist()
         texts, starts, ends = [], [], []
         for i, (at, stop) in enumerate(zip(places, places[1:])):
             for mark in [*marks[of[i]:of[i + 1]], stop]:
-                while mark - at > MOST:
-                    cut = at + MOST
+                while mark - at > cuts.most:
+                    cut = at + cuts.most
                     while not letter[cut - 1]:
                         cut -= 1
                     texts.append(i), starts.append(at), ends.append(cut)
                     at = cut
-                if mark - at >= LEAST or mark == stop > at:
+                if mark - at >= cuts.least or mark == stop > at:
                     texts.append(i), starts.append(at), ends.append(mark)
                     at = mark
         firm = firm_places(data) if len(data) else np.zeros(0, np.int64)
@@ -241,22 +248,22 @@ def _table(repeated: DataFrame) -> Table:
     return Table(bits, dict(placed.groupBy("slab").applyInArrow(filled, "slab bigint, held binary").collect() if n else ()))
 
 
-def _counted(work: DataFrame) -> DataFrame:
+def _counted(work: DataFrame, cuts: Cuts) -> DataFrame:
     """(digest, n): how often each chunk occurs; folded per batch before it moves."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = Counter(digest for _, digest, *_ in Texts(batch.column(0)).chunks())
+            seen = Counter(digest for _, digest, *_ in Texts(batch.column(0)).chunks(cuts))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["digest", "n"])
 
     return work.select("text").mapInArrow(run, "digest binary, n bigint").groupBy("digest").agg(F.sum("n").alias("n"))
 
 
-def _encoded_once(work: DataFrame, table, vocabulary: str, partitions: int) -> DataFrame:
+def _encoded_once(work: DataFrame, table, cuts: Cuts, vocabulary: str, partitions: int) -> DataFrame:
     """(digest, ids) of every chunk in the table, from its first firm place to its last: one copy a batch moves, one is encoded."""
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = Texts(batch.column(0))
-            found = {digest: bytes(texts.bytes[first:last]) for _, digest, _, first, last in texts.chunks() if digest in table.value}
+            found = {digest: bytes(texts.bytes[first:last]) for _, digest, _, first, last in texts.chunks(cuts) if digest in table.value}
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["digest", "inner"])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,13 +281,13 @@ def _encoded_once(work: DataFrame, table, vocabulary: str, partitions: int) -> D
     return moved.repartition(partitions, "digest").sortWithinPartitions("digest").mapInArrow(encoded, "digest binary, ids binary")
 
 
-def _pieces(texts: Texts, table) -> Iterator[tuple[int, list[tuple[int, int]], list[bytes]]]:
+def _pieces(texts: Texts, table, cuts: Cuts) -> Iterator[tuple[int, list[tuple[int, int]], list[bytes]]]:
     """For each text the digests of its chunks that are in the table, and the runs (start, end) before, between and behind
     what those stand for, one more than digests."""
     runs = [[] for _ in range(len(texts.offsets) - 1)]
     digests = [[] for _ in runs]
     at = texts.offsets[:-1].tolist()
-    for i, digest, _, first, last in texts.chunks():
+    for i, digest, _, first, last in texts.chunks(cuts):
         if digest in table.value:
             runs[i].append((at[i], first))
             digests[i].append(digest)
@@ -293,26 +300,26 @@ def _lists(ids: np.ndarray, starts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
-def _alone(work: DataFrame, table, vocabulary: str, schema: str) -> DataFrame:
+def _alone(work: DataFrame, table, cuts: Cuts, vocabulary: str, schema: str) -> DataFrame:
     """The texts without a chunk in the table, encoded where they stand."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = Texts(batch.column(1))
-            found = [(i, texts.bytes[runs[0][0]:runs[0][1]]) for i, runs, digests in _pieces(texts, table) if not digests]
+            found = [(i, texts.bytes[runs[0][0]:runs[0][1]]) for i, runs, digests in _pieces(texts, table, cuts) if not digests]
             ids, starts = codec(vocabulary).encode([text for _, text in found])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in found], pa.int64())), _lists(ids, starts)], names=["doc_id", "ids"])
 
     return work.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _parts(work: DataFrame, table, vocabulary: str, kind: str) -> DataFrame:
+def _parts(work: DataFrame, table, cuts: Cuts, vocabulary: str, kind: str) -> DataFrame:
     """(row, doc_id, part, ids, digest) of the other texts: the ids of their runs, and the digests of chunks whose ids
     are elsewhere."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, own = Texts(batch.column(1)), codec(vocabulary)
             rows, parts, kept, digest = [], [], [], []
-            for i, runs, digests in _pieces(texts, table):
+            for i, runs, digests in _pieces(texts, table, cuts):
                 if digests:
                     rows += [i] * (len(runs) + len(digests))
                     parts += range(len(runs) + len(digests))
@@ -350,7 +357,8 @@ def _joined(parts: DataFrame, vocabulary: str, schema: str) -> DataFrame:
     return parts.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
+           cuts: Cuts = Cuts()) -> DataFrame:
     """One row per row of ``docs``: ``doc_id`` and ``ids``, the text's token ids (array<int>), as the library of the
     vocabulary file gives them for the whole text, without added tokens.
 
@@ -364,15 +372,15 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     work = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, ids array<int>"
-    repeated = cut_lineage(_counted(work).where(F.col("n") > 1).select("digest"))
+    repeated = cut_lineage(_counted(work, cuts).where(F.col("n") > 1).select("digest"))
     table = spark.sparkContext.broadcast(_table(repeated))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    once = store_once(_encoded_once(work, table, vocabulary, least), "chunks")
-    parts = store_once(_parts(work, table, vocabulary, kind), "parts")
+    once = store_once(_encoded_once(work, table, cuts, vocabulary, least), "chunks")
+    parts = store_once(_parts(work, table, cuts, vocabulary, kind), "parts")
     own = parts.where(F.col("digest").isNull()).select("row", "doc_id", "part", "ids")
     shared = parts.where(F.col("digest").isNotNull()).drop("ids").join(once, "digest").select("row", "doc_id", "part", "ids")
     dealt = own.unionByName(shared).repartition("row").sortWithinPartitions("row", "part")
-    return _alone(work, table, vocabulary, schema).unionByName(_joined(dealt, vocabulary, schema))
+    return _alone(work, table, cuts, vocabulary, schema).unionByName(_joined(dealt, vocabulary, schema))
 
 
 def decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
