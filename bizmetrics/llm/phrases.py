@@ -40,7 +40,7 @@ SLAB_BITS = 1 << 18
 #: Words to a number of the pairs' hash, on average: far fewer than occurrences that matter.
 WORDS_PER_HASH = 8
 #: Text that is sorted at once.
-SORTED_BYTES = 12 << 20
+SORTED_BYTES = 8 << 20
 #: What separates pieces (fixed values), and words.
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _FOLDED = bytearray(range(256))
