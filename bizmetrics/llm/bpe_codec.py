@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,8 +35,10 @@ from bizmetrics.session import cut_lineage, store_once
 #: Bits of the table of digests that occur more than once, at least so many for each, and at most 32 MB.
 BITS_PER_KEY, MOST_BITS = 16, 1 << 28
 SLAB_BITS = 1 << 18
-#: Words a worker remembers.
-REMEMBERED = 200_000
+#: Words a worker remembers: those of the latest batches, up to twice as many.
+REMEMBERED = 160_000
+#: Bytes of texts that are encoded at once.
+AT_ONCE = 2 << 20
 _WHITE = np.zeros(256, bool)
 _WHITE[list(b" \t\n\r")] = True
 #: Bytes a word can end in before a firm place: visible ASCII, and last bytes of letters that end no white space.
@@ -60,14 +63,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 _GEAR = (_mixed(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
-def rolling(data: np.ndarray) -> np.ndarray:
-    """A hash of the 16 bytes up to each place (fewer at the start): doubled windows, each shifted by its length."""
-    h = _GEAR[data]
-    for step in (1, 2, 4, 8):
-        wider = h.copy()
-        wider[step:] += h[:-step] << np.uint32(step)
-        h = wider
-    return h
+#: Bytes hashed at once, so that the intermediate values stay in a processor's cache.
+HASHED = 1 << 15
+WINDOW = 16
+
+
+def marks_of(data: np.ndarray, bits: int) -> np.ndarray:
+    """Places behind which the hash of the last ``WINDOW`` bytes has ``bits`` zeros in front: windows are doubled, each half
+    shifted by the length of the other."""
+    found = []
+    for at in range(0, len(data), HASHED):
+        h = _GEAR[data[max(0, at - WINDOW + 1):at + HASHED]]
+        for step in (1, 2, 4, 8):
+            h[step:] += h[:-step] << np.uint32(step)  # the right side is made first
+        here = h[min(at, WINDOW - 1):]
+        found.append(np.nonzero(here < np.uint32(1 << (32 - bits)))[0] + at + 1)
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
 def firm_places(data: np.ndarray) -> np.ndarray:
@@ -90,9 +101,9 @@ class Texts:
         """(text, digest, start, first, last) of the chunks with two firm places: where it starts, and its first and last one.
         A cut needs ``least`` bytes since the last one and comes after ``most`` at the latest, never inside a letter."""
         data = self.data
-        letter = np.r_[(data[1:] & 0xC0) != 0x80, True]  # whether a letter ends at this byte
         # Windows over the start of a text don't matter: cuts need more bytes than a window has.
-        marks = np.nonzero((rolling(data) >> np.uint32(32 - cuts.bits) == 0) & letter)[0] + 1
+        marks = marks_of(data, cuts.bits)
+        marks = marks[(data[np.minimum(marks, len(data) - 1)] & 0xC0) != 0x80]  # a letter ends there
         of = np.searchsorted(marks, self.offsets, "right").tolist()
         places, marks = self.offsets.tolist(), marks.tolist()
         texts, starts, ends = [], [], []
@@ -100,7 +111,7 @@ class Texts:
             for mark in [*marks[of[i]:of[i + 1]], stop]:
                 while mark - at > cuts.most:
                     cut = at + cuts.most
-                    while not letter[cut - 1]:
+                    while data[cut] & 0xC0 == 0x80:
                         cut -= 1
                     texts.append(i), starts.append(at), ends.append(cut)
                     at = cut
@@ -143,6 +154,7 @@ class Codec:
         self.sizes = np.fromiter(map(len, bytes_of), np.int64, len(bytes_of))
         self.kind = "<u2" if len(bytes_of) <= 1 << 16 else "<u4"  # of ids that move
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def packed(self, ids: np.ndarray, starts: np.ndarray) -> pa.Array:
         """A binary value for each run of ids."""
@@ -162,16 +174,24 @@ class Codec:
         bounds = np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
-        places = np.union1d(bounds, firm_places(data))
+        cuts = np.zeros(len(data) + 1, bool)
+        cuts[firm_places(data)] = cuts[bounds] = True
+        places = np.nonzero(cuts)[0]
         words = pa.Array.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(joined)]).dictionary_encode()
         distinct = words.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in distinct if w not in self.known]
-        made = {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(new, self.library.encode_batch_fast(
-            [w.decode() for w in new], add_special_tokens=False))}
-        tokens = [self.known.get(w) or made[w] for w in distinct]
-        self.known |= {w: ids for w, ids in made.items() if len(w) < 100}
+            self.known, self.before = {}, self.known
+        tokens = [*map(self.known.get, distinct)]
+        new = []
+        for i in [i for i, ids in enumerate(tokens) if ids is None]:
+            if (ids := self.before.get(distinct[i])) is None:
+                new.append(i)
+            else:
+                tokens[i] = self.known[distinct[i]] = ids
+        for i, found in zip(new, self.library.encode_batch_fast([distinct[i].decode() for i in new], add_special_tokens=False)):
+            tokens[i] = array("I", found.ids).tobytes()
+            if len(distinct[i]) < 100:
+                self.known[distinct[i]] = tokens[i]
         flat = np.frombuffer(b"".join(tokens), np.uint32)
         sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) // 4
         number = words.indices.to_numpy()
@@ -268,7 +288,7 @@ def _encoded_once(work: DataFrame, table, cuts: Cuts, vocabulary: str, partition
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, before = codec(vocabulary), None
-        for batch in batches:
+        for batch in _slices(batches, 1):
             keys, inner = [], []
             for key, chunk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if key != before:
@@ -296,6 +316,17 @@ def _pieces(texts: Texts, table, cuts: Cuts) -> Iterator[tuple[int, list[tuple[i
         yield i, [*runs[i], (at[i], end)], digests[i]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, by the bytes of a column."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def _lists(ids: np.ndarray, starts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32)))
 
@@ -303,7 +334,7 @@ def _lists(ids: np.ndarray, starts: np.ndarray) -> pa.ListArray:
 def _alone(work: DataFrame, table, cuts: Cuts, vocabulary: str, schema: str) -> DataFrame:
     """The texts without a chunk in the table, encoded where they stand."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 1):
             texts = Texts(batch.column(1))
             found = [(i, texts.bytes[runs[0][0]:runs[0][1]]) for i, runs, digests in _pieces(texts, table, cuts) if not digests]
             ids, starts = codec(vocabulary).encode([text for _, text in found])
@@ -316,7 +347,7 @@ def _parts(work: DataFrame, table, cuts: Cuts, vocabulary: str, kind: str) -> Da
     """(row, doc_id, part, ids, digest) of the other texts: the ids of their runs, and the digests of chunks whose ids
     are elsewhere."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 1):
             texts, own = Texts(batch.column(1)), codec(vocabulary)
             rows, parts, kept, digest = [], [], [], []
             for i, runs, digests in _pieces(texts, table, cuts):
