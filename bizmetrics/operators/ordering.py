@@ -5,15 +5,15 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from bizmetrics.session import partitions_for, planned_bytes, store_once
 
 #: Pages this close to either end are a top-k; deeper ones start from a row found by counting.
 #: How a page is found never changes its rows.
 SHALLOW_ROWS = 10_000
-#: Rows whose place is counted in one pass, and how many are sampled to choose them from.
-SPLITTERS, SAMPLED = 16, 1_500
+#: Keys whose place is counted in one pass, and how many are sampled to choose them from.
+SPLITTERS, SAMPLED = 256, 2_000
 #: Where a row stands in its slice: the low bits of its number.
 PLACE_BITS = 33
 
@@ -114,91 +114,115 @@ def page(df: DataFrame, order: list[str], number: object = 1, size: int = 20) ->
         tail = df.orderBy(*sort_keys(full, backwards=True)).limit(total - first)
         rows = tail.orderBy(*sort_keys(full)).limit(size)
     else:
-        rows = _middle(df, full, first, last - first, total)
+        rows = _middle(df, order, full[len(order):], first, last - first, total)
     return Page(rows, n, pages, total, first + 1 if total else 0, last)
 
 
-def _values(order: list[str], rows: list[Row]) -> dict[str, Column]:
-    """The sort columns of some rows as constant columns ``_v<row>_<column>``, for conditions written as text:
-    building them from column objects takes longer than running them."""
-    names = [name.lstrip("-") for name in order]
-    return {f"_v{i}_{j}": F.lit(row[n]) for i, row in enumerate(rows) for j, n in enumerate(names)}
+@dataclass(frozen=True)
+class Spot:
+    """A key (values by column), how many rows stand before it and how many are equal to it."""
+    key: dict
+    before: int
+    equal: int
 
 
-def _before(order: list[str], i: int, or_equal: bool = False) -> str:
-    """Whether a row is sorted before row ``i`` of the values; nulls come first upwards and last downwards."""
-    found = str(or_equal).lower()
-    for j, name in reversed(list(enumerate(order))):
-        col, value = f"`{name.lstrip('-')}`", f"_v{i}_{j}"
-        ahead = (f"coalesce({col} > {value}, {col} IS NOT NULL AND {value} IS NULL)" if name.startswith("-")
-                 else f"coalesce({col} < {value}, {col} IS NULL AND {value} IS NOT NULL)")
-        found = f"({ahead} OR ({col} <=> {value} AND {found}))"
-    return found
+def _constants(df: DataFrame, order: list[str], keys: list[dict]) -> list[Column]:
+    """For each sort column the values of some keys, as a constant array."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    names = [name.lstrip("-") for name in order]
+    return [F.array(*[F.lit(k[n]).cast(kinds[n]) for k in keys]) for n in names]
 
 
-def _equal(order: list[str], i: int) -> str:
-    return " AND ".join(f"`{name.lstrip('-')}` <=> _v{i}_{j}" for j, name in enumerate(order))
+def _against(order: list[str], values: list[Column]) -> tuple[Column, Column]:
+    """(whether a row is sorted before some key, whether it equals it); nulls come first upwards and last downwards."""
+    before, equal = F.lit(False), F.lit(True)
+    for name, value in reversed(list(zip(order, values))):
+        col = F.col(f"`{name.lstrip('-')}`")
+        ahead = F.coalesce(col > value, col.isNotNull() & value.isNull()) if name.startswith("-") else F.coalesce(col < value, col.isNull() & value.isNotNull())
+        same = col.eqNullSafe(value)
+        before, equal = ahead | (same & before), same & equal
+    return before, equal
 
 
-def _between(df: DataFrame, order: list[str], below: Row | None, above: Row | None, behind: bool = False, upto: bool = False) -> DataFrame:
-    """Rows from ``below`` (or behind it) to before ``above`` (or with it)."""
-    conditions = [f"NOT {_before(order, 0, behind)}"] * (below is not None) + [_before(order, 1, upto)] * (above is not None)
-    if not conditions:
+def _from(df: DataFrame, order: list[str], key: dict | None, behind: bool = False) -> DataFrame:
+    """Rows from ``key`` on, or those behind it."""
+    if key is None:
         return df
-    values = _values(order, [below or above, above or below])
-    return df.withColumns(values).where(" AND ".join(conditions)).select(*[F.col(f"`{c}`") for c in df.columns])
+    before, equal = _against(order, [F.get(v, F.lit(0)) for v in _constants(df, order, [key])])
+    return df.where(~(before | equal if behind else before))
+
 
+def _upto(df: DataFrame, order: list[str], key: dict | None) -> DataFrame:
+    """Rows before ``key``."""
+    return df if key is None else df.where(_against(order, [F.get(v, F.lit(0)) for v in _constants(df, order, [key])])[0])
 
-def _counted(df: DataFrame, order: list[str], splitters: list[Row]) -> list[tuple[Row, int, int]]:
-    """Each of the sorted ``splitters`` with the rows between the one before and it, and the rows equal to it.
-    A row finds its place among them by bisection."""
-    def place(lo: int, hi: int) -> str:
-        if lo == hi:  # behind splitter lo - 1, if there is one, or equal to it
-            return f"CASE WHEN {_equal(order, lo - 1)} THEN {2 * lo - 1} ELSE {2 * lo} END" if lo else "0"
-        middle = (lo + hi) // 2
-        return f"CASE WHEN {_before(order, middle)} THEN {place(lo, middle)} ELSE {place(middle + 1, hi)} END"
 
+def _counted(df: DataFrame, order: list[str], splitters: list[dict]) -> list[tuple[dict, int, int]]:
+    """Each of the sorted ``splitters`` with the rows between the one before and it, and the rows equal to it. A row finds
+    its place among them by halving steps over constant arrays."""
     if not splitters:
         return []
-    placed = df.withColumns(_values(order, splitters)).select(F.expr(place(0, len(splitters))).alias("place"))
-    counts = {r["place"]: r["count"] for r in placed.groupBy("place").count().collect()}
-    return [(s, counts.get(2 * i, 0), counts.get(2 * i + 1, 0)) for i, s in enumerate(splitters)]
-
-
-def _middle(df: DataFrame, order: list[str], first: int, size: int, total: int) -> DataFrame:
-    """``size`` rows from ``first`` (0-based) on, sorted. A row not far before it is found by counting how many rows
-    stand before some sampled ones, again and again between the two around it; nothing is stored, and only
-    the sort columns are read. Where equal rows fill the rest of the way, they are passed over as one."""
-    columns = [name.lstrip("-") for name in order]
-    below, done, above, until, finer = None, 0, None, total, 1
-    while first - done > SHALLOW_ROWS:
-        within = _between(df.select(*columns), order, below, above)
-        # Chosen by the hash of the sort columns, equal rows once: about SAMPLED of them, whatever the size.
+    arrays = _constants(df, order, splitters)
+    steps = [1 << b for b in range(len(splitters).bit_length() - 1, -1, -1)]
+
+    def step(place: Column, width: Column) -> Column:
+        ahead, _ = _against(order, [F.get(v, place + width - 1) for v in arrays])
+        return F.when((place + width <= len(splitters)) & ~ahead, place + width).otherwise(place)
+
+    placed = df.select(*df.columns, F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step).alias("_place"))
+    equal = _against(order, [F.get(v, F.col("_place") - 1) for v in arrays])[1] & (F.col("_place") > 0)
+    # Behind splitter i - 1 (0: before all), or equal to it.
+    counts = {(r[0], r[1]): r[2] for r in placed.groupBy("_place", equal.alias("_equal")).count().collect()}
+    return [(s, counts.get((i, False), 0), counts.get((i + 1, True), 0)) for i, s in enumerate(splitters)]
+
+
+def _found(df: DataFrame, order: list[str], first: int, total: int) -> Spot | None:
+    """A key of ``order`` close before the row in place ``first``, or the one it has itself; None for the very beginning. Keys
+    are sampled and their rows counted, again and again between the two around the place; ``df`` has no other columns."""
+    columns, below, done, above, until, finer = df.columns, None, 0, None, total, 1
+    equal = 0
+    while first - done > SHALLOW_ROWS and (below is None or first - done >= equal):
+        within = _upto(_from(df, order, below), order, above)
+        # Chosen by the hash of the sort columns, equal keys once: about SAMPLED of them, whatever the size.
         every = max(1, (until - done) // (SAMPLED * finer))
         chosen = within.where(F.pmod(F.xxhash64(*columns, F.lit(done)), F.lit(every)) == 0)
-        sample = chosen.distinct().orderBy(*sort_keys(order)).collect()
-        splitters = [*dict.fromkeys(sample[len(sample) * i // SPLITTERS] for i in range(SPLITTERS))] if sample else []
-        ahead, start = [], done
-        for splitter, between, equal in _counted(within, order, splitters):
-            ahead.append((start + between, start + between + equal, splitter))
-            start += between + equal
-        for start, stop, s in ahead:
-            if start <= first < stop and first - start > SHALLOW_ROWS:  # in a long run of equal rows
-                equal = min(size, stop - first)
-                run = _between(df, order, s, s, upto=True).limit(equal)
-                rest = _between(df, order, s, None, behind=True).orderBy(*sort_keys(order)).limit(size - equal)
-                return run.unionByName(rest).orderBy(*sort_keys(order))
-        lower = [x for x in ahead if x[0] <= first]
-        upper = [x for x in ahead if x[0] > first]
-        was = (below, above, done, until)
-        if lower and lower[-1][0] > done:
-            below, done = lower[-1][2], lower[-1][0]
-        if upper:
-            above, until = upper[0][2], upper[0][0]
-        if (below, above, done, until) == was:
+        sample = [r.asDict() for r in chosen.distinct().orderBy(*sort_keys(order)).collect()]
+        picked = sorted({len(sample) * i // SPLITTERS for i in range(SPLITTERS)}) if sample else []
+        spots, start = [], done
+        for key, between, same in _counted(within, order, [sample[i] for i in picked]):
+            spots.append(Spot(key, start + between, same))
+            start += between + same
+        was = (below, above, done)
+        if lower := [x for x in spots if x.before <= first]:
+            below, done, equal = lower[-1].key, lower[-1].before, lower[-1].equal
+        if upper := [x for x in spots if x.before > first]:
+            above, until = upper[0].key, upper[0].before
+        if (below, above, done) == was:
             if every == 1:
-                break  # no more different rows to choose from
-            finer *= 8  # few different rows are left: look closer
+                break  # no more different keys to choose from
+            finer *= 8  # few different keys are left: look closer
         else:
             finer = 1
-    return _between(df, order, below, None).orderBy(*sort_keys(order)).offset(first - done).limit(size)
+    return None if below is None else Spot(below, done, equal)
+
+
+def _middle(df: DataFrame, order: list[str], ties: list[str], first: int, size: int, total: int) -> DataFrame:
+    """``size`` rows from ``first`` (0-based) on, sorted by ``order`` and then by ``ties``. The search reads the columns of
+    ``order``; where the page begins in a long run of equal keys it goes on inside that run, by the other columns. Only the last
+    pass, a top-k from a row close before the page, reads whole rows. Wholly equal rows are passed over as one."""
+    names = lambda keys: [f"`{k.lstrip('-')}`" for k in keys]
+    full = [*order, *ties]
+    spot = _found(df.select(*names(order)), order, first, total)
+    if spot is None:
+        return df.orderBy(*sort_keys(full)).offset(first).limit(size)
+    key, keys, before, equal = spot.key, order, spot.before, spot.equal
+    if ties and first - before > SHALLOW_ROWS and first - before < equal:
+        run = df.where(_against(order, [F.get(v, F.lit(0)) for v in _constants(df, order, [key])])[1])
+        if inside := _found(run.select(*names(ties)), ties, first - before, equal):
+            key, keys, before, equal = {**key, **inside.key}, full, before + inside.before, inside.equal
+    if keys == full and first - before > SHALLOW_ROWS and first < before + equal:  # in a long run of equal rows
+        same = _against(full, [F.get(v, F.lit(0)) for v in _constants(df, full, [key])])[1]
+        run = df.where(same).limit(min(size, before + equal - first))
+        rest = _from(df, full, key, behind=True).orderBy(*sort_keys(full)).limit(max(0, first + size - before - equal))
+        return run.unionByName(rest).orderBy(*sort_keys(full))
+    return _from(df, keys, key).orderBy(*sort_keys(full)).offset(first - before).limit(size)

@@ -86,6 +86,40 @@ def test_a_deep_page_stores_nothing(tied, monkeypatch):
     assert o.page(tied, ["n"], 15, 20).rows.count() == 20
 
 
+@pytest.mark.parametrize("order, ties", [(["-created_at", "id"], 0), (["product_id"], 1)])
+def test_only_the_last_pass_reads_whole_rows(movements, tmp_path, monkeypatch, order, ties):
+    """Counting passes read the leading columns; tie-break columns only inside a run of equal keys."""
+    monkeypatch.setattr(o, "SHALLOW_ROWS", 100)
+    monkeypatch.setattr(o, "SAMPLED", 100)
+    path = f"{tmp_path}/movements"
+    movements.write.parquet(path)
+    passes, counted = [], o._counted
+
+    def seen(df, by, splitters):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        passes.append((by, plan.split("ReadSchema: struct<")[1].split(">")[0]))
+        return counted(df, by, splitters)
+
+    monkeypatch.setattr(o, "_counted", seen)
+    hot = sorted(rows(movements), key=lambda r: (r[1], r[0]) if ties else (-r[4].timestamp(), r[0]))
+    at = next(i for i, r in enumerate(hot) if r[1] == 7) // 20 + 30 if ties else 75
+    got = rows(o.page(movements.sparkSession.read.parquet(path), order, at, 20).rows)
+    assert len(got) == 20 and (not ties or {r[1] for r in got} == {7})
+    lead = [p for p in passes if p[0] == order]
+    assert lead and all({x.split(":")[0] for x in read.split(",")} == {c.lstrip("-") for c in order} for _, read in lead)
+    assert bool(len(passes) - len(lead)) == bool(ties)
+
+
+def test_a_page_takes_few_passes(spark, monkeypatch):
+    """256 splitters a pass: from 200,000 rows to 2 in at most two rounds more than the logarithm asks for."""
+    monkeypatch.setattr(o, "SHALLOW_ROWS", 2)
+    rounds, counted = [], o._counted
+    monkeypatch.setattr(o, "_counted", lambda *args: rounds.append(1) or counted(*args))
+    page = o.page(spark.range(200_000).selectExpr("id * 7919 % 200000 AS n"), ["n"], 5_000, 20)
+    assert [r[0] for r in rows(page.rows)] == list(range(99_980, 100_000))
+    assert len(rounds) <= 5
+
+
 def test_row_numbers_shuffle_once(movements):
     """After the stored cut, only one count per slice moves; the rows themselves stay where they are."""
     plan = plan_of(o.global_row_number(movements, ["product_id", "created_at"])).split("== Initial Plan ==")[0]
