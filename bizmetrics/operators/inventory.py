@@ -8,7 +8,7 @@ from bizmetrics.functions.dates import AsOf
 from bizmetrics.functions.numbers import or_zero
 from bizmetrics.operators.filters import active, eq_if, is_low_stock, low_stock, non_blank, on_day, search
 from bizmetrics.operators.joins import with_product
-from bizmetrics.operators.ordering import range_slices
+from bizmetrics.operators.ordering import bucketed_slices
 from bizmetrics.schemas import MOVEMENT_SIGN
 
 
@@ -84,21 +84,22 @@ def running_stock(movements: DataFrame, products: DataFrame | None = None) -> Da
 
     A product may own a third of all movements, so no task ever holds a whole product:
     the rows are cut into slices of the order (product, time, id), summed inside their
-    slice, and raised by what earlier slices of the same product add up to.
+    slice, and raised by what earlier slices of the same product add up to. The rows move once: slices
+    are stored as buckets, and the sums inside them read them bucket by bucket.
     """
     # The trailing columns only matter where ids repeat.
     order = ["product_id", "created_at", "id", "movement_type", "quantity"]
-    slices = range_slices(movements.withColumn("_signed", signed_quantity()), order)
+    slices = bucketed_slices(movements.withColumn("_signed", signed_quantity()), order)
     carried = carried_forward(
-        slices.groupBy("_slice", "product_id").agg(F.sum("_signed").alias("_sum")), "product_id", "_sum")
-    inside = (Window.partitionBy("_slice", "product_id").orderBy("_place")
+        slices.groupBy("_bucket", "_slice", "product_id").agg(F.sum("_signed").alias("_sum")), "product_id", "_sum")
+    inside = (Window.partitionBy("_bucket", "_slice", "product_id").orderBy("_place")
               .rowsBetween(Window.unboundedPreceding, 0))
     # Broadcast is safe: one row per slice at most (see ``carried_forward``).
     moved = (slices.withColumn("_within", F.sum("_signed").over(inside))
              .join(F.broadcast(carried), (F.col("_slice") == F.col("_into")) & F.col("product_id").eqNullSafe(F.col("_key")),
                    "left")
              .withColumn("running_stock", F.col("_within") + F.coalesce("_carried", F.lit(0)))
-             .drop("_slice", "_place", "_into", "_key", "_signed", "_within", "_carried"))
+             .drop("_bucket", "_slice", "_place", "_into", "_key", "_signed", "_within", "_carried"))
     if products is None:
         return moved
     opening = products.select(F.col("id").alias("product_id"), F.col("quantity").alias("_opening"))

@@ -7,13 +7,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from bizmetrics.session import partitions_for, planned_bytes, store_once
+from bizmetrics.session import partitions_for, planned_bytes, store_bucketed, store_once
 
 #: Pages this close to either end are a top-k; deeper ones start from a row found by counting.
 #: How a page is found never changes its rows.
 SHALLOW_ROWS = 10_000
 #: Keys whose place is counted in one pass, and how many are sampled to choose them from.
 SPLITTERS, SAMPLED = 256, 2_000
+#: Buckets a table may have, Spark's own limit.
+MOST_BUCKETS = 100_000
 #: Where a row stands in its slice: the low bits of its number.
 PLACE_BITS = 33
 
@@ -39,6 +41,20 @@ def _ties(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def _cut(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """The sorted rows in slices with ``_slice`` and ``_place``, and how many slices were asked for."""
+    keys = [*sort_keys(order), _ties(df)]
+    slices = partitions_for(planned_bytes(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cut = df.repartitionByRange(slices, *keys).sortWithinPartitions(*keys)
+    # One number gives both: the partition in its high bits, the place in the low ones.
+    return cut.withColumn("_number", F.monotonically_increasing_id()), slices
+
+
+def _unpacked(cut: DataFrame) -> DataFrame:
+    return cut.withColumns({"_slice": F.shiftright("_number", PLACE_BITS),
+                            "_place": F.col("_number").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))}).drop("_number")
+
+
 def range_slices(df: DataFrame, order: list[str]) -> DataFrame:
     """Cut the globally sorted rows into consecutive slices, numbered in ``_slice``; ``_place`` is a
     row's place in its slice, from 0.
@@ -48,13 +64,21 @@ def range_slices(df: DataFrame, order: list[str]) -> DataFrame:
     expected size asks for. They are stored by column, since their bounds come from a sample: every later
     branch has to see the same cut.
     """
-    keys = [*sort_keys(order), _ties(df)]
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(partitions_for(planned_bytes(df), least), *keys).sortWithinPartitions(*keys)
-    # One number gives both: the partition in its high bits, the place in the low ones.
-    stored = store_once(cut.withColumn("_number", F.monotonically_increasing_id()), "slices")
-    return stored.withColumns({"_slice": F.shiftright("_number", PLACE_BITS),
-                               "_place": F.col("_number").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))}).drop("_number")
+    return _unpacked(store_once(_cut(df, order)[0], "slices"))
+
+
+def bucketed_slices(df: DataFrame, order: list[str]) -> DataFrame:
+    """Like ``range_slices``, stored so that a slice is a bucket of its own: grouping or windows by ``_bucket`` and other
+    columns read whole slices and move no row. Beyond ``MOST_BUCKETS`` slices several share a bucket."""
+    cut, slices = _cut(df, order)
+    buckets = min(slices, MOST_BUCKETS)
+    # Buckets go by hash: for each the smallest number that falls into it. Of so many tried, one is missed once in e^12.
+    tried = df.sparkSession.range(buckets * (12 + buckets.bit_length())).select(F.col("id").cast("int").alias("_bucket"))
+    labels = tried.groupBy(F.pmod(F.hash("_bucket"), F.lit(buckets)).alias("_nth")).agg(F.min("_bucket").alias("_bucket"))
+    # Broadcast is safe: at most ``MOST_BUCKETS`` pairs of numbers. A bucket that was missed shares another's.
+    numbered = _unpacked(cut).withColumn("_nth", F.col("_slice") % buckets)
+    labelled = numbered.join(F.broadcast(labels), "_nth", "left").withColumn("_bucket", F.coalesce("_bucket", F.lit(0))).drop("_nth")
+    return store_bucketed(labelled, "slices", "_bucket", buckets)
 
 
 def slice_offsets(slices: DataFrame) -> DataFrame:

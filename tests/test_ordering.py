@@ -153,6 +153,34 @@ def test_running_stock(movements, many_slices):
     assert sorted(rows(got.select("id", "running_stock"))) == sorted(expected)
 
 
+@pytest.mark.parametrize("buckets", [100_000, 4])
+def test_running_stock_moves_its_rows_once(movements, many_slices, monkeypatch, buckets):
+    """After the slices are stored no row is shuffled: what moves are sums, one row per slice and product at most."""
+    monkeypatch.setattr(o, "MOST_BUCKETS", buckets)
+    found = running_stock(movements)
+    plan = plan_of(found).split("== Initial Plan ==")[0]
+    lines = plan.splitlines()
+    assert "Bucketed: true" in plan and "Window" in plan
+    for line, below in zip(lines, lines[1:]):
+        assert "Exchange" not in line or "BroadcastExchange" in line or "HashAggregate" in below or "Project" in below and "_sum" in below, line
+    window = next(i for i, line in enumerate(lines) if "Window" in line and "_within" in line)
+    scan = next(i for i, line in enumerate(lines) if i > window and "FileScan" in line)
+    below = "".join(lines[window:scan])
+    assert "Sort" in below and "Exchange" not in below
+    totals = {}
+    for r in sorted(rows(found), key=lambda r: (r.product_id, r.created_at, r.id)):
+        totals[r.product_id] = totals.get(r.product_id, 0) + MOVEMENT_SIGN.get(r.movement_type, 0) * r.quantity
+        assert r.running_stock == totals[r.product_id]
+
+
+def test_every_slice_is_a_bucket(movements, many_slices):
+    slices = o.bucketed_slices(movements, ["product_id", "created_at", "id"])
+    pairs = rows(slices.select("_slice", "_bucket").distinct())
+    assert len(pairs) == len({b for _, b in pairs}) == len({s for s, _ in pairs}) >= 8
+    tasks = rows(slices.groupBy("_bucket").count())
+    assert len(tasks) == len(pairs)
+
+
 def test_hot_product_is_spread_over_slices(movements, many_slices):
     slices = o.range_slices(movements, ["product_id", "created_at", "id"])
     per_slice = [r[0] for r in rows(slices.groupBy("_slice").count().select("count"))]
