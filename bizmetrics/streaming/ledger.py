@@ -9,6 +9,8 @@ one epoch, and older ones are removed. Nothing passes through the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,6 +18,9 @@ from bizmetrics.operators.inventory import signed_quantity
 from bizmetrics.schemas import ENTITIES
 
 BATCHES_PER_EPOCH = 100
+#: What a stream of closed days counts of each batch.
+ARRIVALS = "arrivals"
+NOTES = "batch bigint, arrived bigint, open_days bigint"
 
 
 def movement_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -106,6 +111,46 @@ def read_state(spark: SparkSession, folder: str, key: str, schema: T.StructType
     return _newest(versions.where(F.col("batch") <= last), key)
 
 
+def _noted(spark: SparkSession, query: StreamingQuery, folder: str) -> None:
+    """Wait for the run to end, and store how many rows its batches took in and how many it left in the state. A query
+    remembers its last batches only, so it is asked while it runs."""
+    seen: dict[int, tuple[int, int]] = {}
+    active = True
+    while active:
+        active = not query.awaitTermination(2)
+        for p in query.recentProgress:
+            state = p["stateOperators"]
+            arrived = (p.get("observedMetrics") or {}).get(ARRIVALS)
+            seen[p["batchId"]] = (arrived["rows"] if arrived else 0, state[0]["numRowsTotal"] if state else 0)
+    if seen:
+        rows = [(batch, *counts) for batch, counts in sorted(seen.items())]
+        spark.createDataFrame(rows, NOTES).coalesce(1).write.mode("append").parquet(f"{folder}/notes")
+
+
+def close_days(movements: DataFrame, folder: str, lateness: str) -> DataFrame:
+    """Bring the counts of closed days up to date and return them. A day is written once, when nothing of it
+    counts any more: ``lateness`` after its end by the newest movement's time. Its state goes then, so the state holds
+    the open days only; movements that arrive for closed days are dropped and counted (``closing_report``)."""
+    counts = daily_counts(movements.observe(ARRIVALS, F.count(F.lit(1)).alias("rows")), lateness)
+    _noted(movements.sparkSession, keep_state(counts, folder, "day", "append"), folder)
+    return read_state(movements.sparkSession, folder, "day", counts.schema)
+
+
+def closing_report(spark: SparkSession, folder: str) -> DataFrame:
+    """One row about a stream of closed days: movements ``arrived``, in ``closed`` days, in ``open`` ones, dropped because they
+    were ``late``, and ``most_open_days``, the most days that the state held after a batch."""
+    closed = read_state(spark, folder, "day", T.StructType.fromDDL("day date, movements bigint")).agg(F.coalesce(F.sum("movements"), F.lit(0)).alias("closed"))
+    kept = spark.read.format("statestore").load(f"{folder}/progress").agg(F.coalesce(F.sum("value.count"), F.lit(0)).alias("open"))
+    # A batch that was run again was noted again.
+    notes = spark.read.schema(NOTES).parquet(f"{folder}/notes").dropDuplicates(["batch"])
+    took = notes.agg(F.sum("arrived").alias("arrived"), F.max("open_days").alias("most_open_days"))
+    # Three one-row results, stacked and folded.
+    names = ("closed", "open", "arrived", "most_open_days")
+    stacked = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), (closed, kept, took))
+    whole = stacked.agg(*[F.max(c).cast("bigint").alias(c) for c in names])
+    return whole.select("arrived", "closed", "open", (F.col("arrived") - F.col("closed") - F.col("open")).alias("late"), "most_open_days")
+
+
 def _kept(changes: DataFrame, folder: str, key: str, mode: str = "update") -> DataFrame:
     keep_state(changes, folder, key, mode).awaitTermination()
     return read_state(changes.sparkSession, folder, key, changes.schema)

@@ -1,5 +1,7 @@
 """Streams: movements arrive as files; the final state is compared."""
 
+from pyspark.sql import functions as F
+
 from bizmetrics.streaming import ledger
 from registry.changes import STOCK_SQL
 from registry.core import query
@@ -50,3 +52,37 @@ def _(t):
 def _(t):
     """Watermarked windows over several micro-batches; the complete mode keeps late days open."""
     return ledger.stream_daily_movements(_in_batches(t), t.scratch, lateness="1 day", mode="complete")
+
+
+def _arriving(t, inbox, since, until):
+    """The movements of some time arrive, as one file of lines."""
+    lines = t.lineitem.where((F.col("l_shipdate") >= F.lit(since)) & (F.col("l_shipdate") < F.lit(until)))
+    lines.coalesce(1).write.mode("append").parquet(inbox)
+    read = t.spark.readStream.schema(t.lineitem.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    return t.view("inventory_movement", lineitem=read)
+
+
+YEARS = [f"{y}-01-01" for y in (1900, 1994, 1996, 1998, 2100)]
+CLOSED = "CAST(created_at AS DATE) + INTERVAL 1 DAY <= (SELECT max(created_at) FROM inventory_movement) - INTERVAL 30 DAY"
+
+
+@query("stream_daily_movements_closed", f"""
+    SELECT CAST(created_at AS DATE) AS day, COUNT(*) AS movements FROM inventory_movement WHERE {CLOSED} GROUP BY 1""")
+def _(t):
+    """Two years of movements arrive at a time. Days are written once they are closed."""
+    inbox, folder = t.scratch, t.scratch
+    for since, until in zip(YEARS, YEARS[1:]):
+        days = ledger.close_days(_arriving(t, inbox, since, until), folder, "30 days")
+    return days
+
+
+@query("stream_late_movements", f"""
+    SELECT COUNT(*) AS arrived, COUNT(*) FILTER (created_at >= DATE '1998-01-01' AND {CLOSED}) AS closed,
+           COUNT(*) FILTER (created_at >= DATE '1998-01-01' AND NOT {CLOSED}) AS open, COUNT(*) FILTER (created_at < DATE '1998-01-01') AS late
+    FROM inventory_movement""")
+def _(t):
+    """The newest movements come first: all earlier ones are late."""
+    inbox, folder = t.scratch, t.scratch
+    for since, until in ((YEARS[-2], YEARS[-1]), (YEARS[0], YEARS[-2])):
+        ledger.close_days(_arriving(t, inbox, since, until), folder, "30 days")
+    return ledger.closing_report(t.spark, folder).drop("most_open_days")

@@ -168,7 +168,7 @@ def test_running_stock_moves_its_rows_once(movements, many_slices, monkeypatch,
     below = "".join(lines[window:scan])
     assert "Sort" in below and "Exchange" not in below
     totals = {}
-    for r in sorted(rows(found), key=lambda r: (r.product_id, r.created_at, r.id)):
+    for r in sorted(found.collect(), key=lambda r: (r.product_id, r.created_at, r.id)):
         totals[r.product_id] = totals.get(r.product_id, 0) + MOVEMENT_SIGN.get(r.movement_type, 0) * r.quantity
         assert r.running_stock == totals[r.product_id]
 

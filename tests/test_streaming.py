@@ -87,3 +87,21 @@ def test_closed_days_are_appended(spark, inbox, tmp_path):
     query.awaitTermination()
     # The last day is still open.
     assert rows(spark.read.parquet(out)) == [(dt.date(2001, 7, 15), 3)]
+
+
+def test_closed_days_are_kept_and_late_movements_counted(spark, inbox, tmp_path):
+    """The state holds the open days only, however many days there have been."""
+    state = str(tmp_path / "closed")
+    moves = ledger.movement_stream(spark, inbox, files_per_batch=1)
+    ledger.close_days(moves, state, "2 days")
+    for n in range(16, 22):
+        arrive(spark, inbox, *[(100 * n + k, k, "in", 1, f"2001-07-{n}T08:00") for k in range(3)])
+        days = ledger.close_days(moves, state, "2 days")
+    got = dict(rows(days))
+    assert got == {dt.date(2001, 7, 15): 2} | {dt.date(2001, 7, n): 3 for n in range(16, 19)}
+    report = ledger.closing_report(spark, state).first().asDict()
+    assert report == {"arrived": 20, "closed": 11, "open": 9, "late": 0, "most_open_days": report["most_open_days"]}
+    assert report["most_open_days"] <= 5
+    arrive(spark, inbox, (1, 1, "in", 1, "2001-07-15T23:59"), (2, 1, "in", 1, "2001-07-16T10:00"), (3, 1, "in", 1, "2001-07-21T23:00"))
+    assert dict(rows(ledger.close_days(moves, state, "2 days"))) == got
+    assert ledger.closing_report(spark, state).drop("most_open_days").first().asDict() == {"arrived": 23, "closed": 11, "open": 10, "late": 2}
