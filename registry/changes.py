@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bizmetrics.operators import changes as c, filters as f
 from bizmetrics.operators.inventory import stock_on_hand
+from bizmetrics.sources import snapshots
 from registry.core import AS_OF, query
 
 STAMP = dt.datetime(2001, 7, 15, 12, 0)
@@ -41,6 +42,16 @@ def _(t):
     return c.apply_changes(t.product.select("id", *PRODUCT_COLUMNS), t.product_changes, "id", STAMP)
 
 
+@query("apply_changes_stored", _apply_sql("product", "product_changes", PRODUCT_COLUMNS), "unit_price")
+def _(t):
+    """The same changes as two commits to a stored table, in partitions that rows move between."""
+    folder = t.scratch
+    snapshots.create(t.product.select("id", *PRODUCT_COLUMNS), folder, "quantity % 8")
+    for batch in (t.product_changes.where("seq < 5"), t.product_changes.where("seq >= 5")):
+        snapshots.apply(t.spark, folder, batch, "id", STAMP)
+    return snapshots.read(t.spark, folder)
+
+
 STAMPED = "TIMESTAMP '2001-07-15 12:00:00'"
 
 
