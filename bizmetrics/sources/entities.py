@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bizmetrics.functions.dates import AsOf, as_date
 from bizmetrics.schemas import ENTITIES
+from bizmetrics.session import partitions_for, planned_bytes
 
 YEAR = "year"  # folder column of entities laid out by year
 
@@ -46,20 +47,27 @@ def load_entity(spark: SparkSession, directory: str, name: str,
     return conform(stored, name)
 
 
-def store_entity(df: DataFrame, directory: str, name: str) -> str:
-    """Write an entity so that date filters skip files.
+def store_entity(df: DataFrame, directory: str, name: str, **options: object) -> str:
+    """Write an entity so that date filters skip files and key lookups skip row groups.
 
     Tables with a time column are laid out by year and range-clustered by date with the
-    other key columns as tie-break, so one busy day can still be split over tasks.
+    other key columns as tie-break, so one busy day can still be split over tasks; others by their id.
+    There are as many files as ``PARTITION_BYTES`` asks for at the expected size, whatever the session's number of
+    shuffle partitions. Keys get Bloom filters, sized by the values a row group holds. ``options`` go to the writer.
     """
     entity, path = ENTITIES[name], f"{directory}/{name}.parquet"
     rows = conform(df, name)
+    known = planned_bytes(df)
+    files = partitions_for(known, 1) if known else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [c for c in ("id", "product_id", "category_id") if c in rows.columns]
+    blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in {*keys, *entity.unique}}
+    written = {"parquet.bloom.filter.adaptive.enabled": "true", **blooms, **options}
     if entity.partition_by is None:
-        rows.write.mode("overwrite").parquet(path)
+        order = keys or list(entity.unique)
+        rows.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").options(**written).parquet(path)
         return path
-    ties = [c for c in ("id", "product_id", "category_id") if c in rows.columns]
     (rows.withColumn(YEAR, F.year(entity.partition_by))
-         .repartitionByRange(YEAR, entity.partition_by, *ties)
+         .repartitionByRange(files, YEAR, entity.partition_by, *keys)
          .sortWithinPartitions(entity.partition_by)
-         .write.mode("overwrite").partitionBy(YEAR).parquet(path))
+         .write.mode("overwrite").options(**written).partitionBy(YEAR).parquet(path))
     return path

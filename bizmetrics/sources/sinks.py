@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from bizmetrics.functions.dates import ISO_DAY, ISO_MINUTE
 from bizmetrics.operators.filters import active
-from bizmetrics.operators.joins import with_category, with_product
+from bizmetrics.operators.joins import with_category
 
 
 #: Quotes inside a cell are doubled, as other programs write and expect them.
@@ -89,9 +89,9 @@ def product_rows(products: DataFrame) -> DataFrame:
 
 def movement_rows(movements: DataFrame, products: DataFrame, n: int = 100) -> DataFrame:
     """The newest ``n`` movements with product name and a timestamp to the minute. They are cut before the
-    product is looked up: a movement always has its product, and goes with it when it is deleted."""
+    product is looked up; one whose product is gone keeps its row, without a name."""
     newest = [F.desc("created_at"), F.desc("id"), F.desc("product_id"), "movement_type", "quantity"]
-    return (with_product(movements.orderBy(*newest).limit(n), products)
+    names = products.select(F.col("id").alias("product_id"), F.col("name").alias("product"))
+    return (movements.orderBy(*newest).limit(n).join(names, "product_id", "left")
             .orderBy(*newest)
-            .select("id", F.col("product_name").alias("product"), "movement_type", "quantity",
-                    F.date_format("created_at", ISO_MINUTE).alias("created_at")))
+            .select("id", "product", "movement_type", "quantity", F.date_format("created_at", ISO_MINUTE).alias("created_at")))

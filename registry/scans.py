@@ -1,10 +1,12 @@
 """Scans, sources and export frames."""
 
-from bizmetrics.operators.filters import with_line_total
+from pyspark.sql import functions as F
+
+from bizmetrics.operators.filters import by_key, with_line_total
 from bizmetrics.operators.sales import sales_series
 from bizmetrics.sources import sinks
 from bizmetrics.sources.entities import conform, load_entity, store_entity
-from bizmetrics.sources.product_sales import clean_product_sales, load_product_sales
+from bizmetrics.sources.product_sales import clean_product_sales, load_product_sales, load_rejected_product_sales
 from registry.core import query
 
 NULL_TS = "CAST(NULL AS TIMESTAMP)"
@@ -92,6 +94,38 @@ def _(t):
     return load_product_sales(t.spark, path)
 
 
+def _spanning(t):
+    """Some products' names go over two lines."""
+    return _raw(t).withColumn("Product", F.when(F.length("Product") % 4 == 0, F.replace("Product", F.lit(" "), F.lit("\n"))).otherwise(F.col("Product")))
+
+
+SPANNING_SQL = "SELECT * REPLACE (CASE WHEN length(product) % 4 = 0 THEN replace(product, ' ', chr(10)) ELSE product END AS product) FROM"
+
+
+@query("load_product_sales_spanning", f"{SPANNING_SQL} ({PRODUCT_SALES_SQL}) y")
+def _(t):
+    """Records that span lines are read whole."""
+    path = t.scratch
+    _spanning(t).write.options(header=True, escape='"').csv(path)
+    return load_product_sales(t.spark, path)
+
+
+@query("load_product_sales_rejected", f"""
+    SELECT * FROM ({SPANNING_SQL} (
+        SELECT nullif(trim(date_text), '') AS sale_date, nullif(sales_text, '') AS sales, profit_text AS profit, units_text AS units_sold, product, country,
+               concat_ws('; ', CASE WHEN trim(date_text) NOT LIKE '____-__-__' THEN 'Date does not parse' END,
+                         CASE WHEN coalesce(sales_text, '') = '' THEN 'Sales is missing' WHEN TRY_CAST(sales_text AS DOUBLE) IS NULL THEN 'Sales does not parse' END,
+                         CASE WHEN profit_text IS NULL THEN 'Profit is missing' WHEN TRY_CAST(profit_text AS DOUBLE) IS NULL THEN 'Profit does not parse' END) AS reasons
+        FROM raw_product_sales) x) y WHERE reasons <> ''""")
+def _(t):
+    """The rows that cleaning drops, with what is wrong with them."""
+    path = t.scratch
+    _spanning(t).write.options(header=True, escape='"').csv(path)
+    rejected = load_rejected_product_sales(t.spark, path)
+    # Reasons come in the order of the file's columns; the writer turns an empty cell into an empty text.
+    return rejected.drop("record").withColumns({"reasons": F.array_join("reasons", "; "), "sales": F.nullif("sales", F.lit(""))})
+
+
 @query("clean_product_sales", PRODUCT_SALES_SQL)
 def _(t):
     return clean_product_sales(_raw(t))
@@ -161,3 +195,21 @@ def _(t):
     ORDER BY m.created_at DESC, m.id DESC, m.product_id DESC, movement_type, m.quantity LIMIT 100""")
 def _(t):
     return sinks.movement_rows(t.inventory_movement, t.product)
+
+
+@query("movement_rows_orphans", """
+    SELECT m.id, p.name AS product, movement_type, m.quantity, strftime(created_at, '%Y-%m-%d %H:%M') AS created_at
+    FROM inventory_movement m LEFT JOIN (SELECT * FROM product WHERE id % 3 > 0) p ON m.product_id = p.id
+    ORDER BY m.created_at DESC, m.id DESC, m.product_id DESC, movement_type, m.quantity LIMIT 100""")
+def _(t):
+    """A third of the products is gone: still the newest 100."""
+    return sinks.movement_rows(t.inventory_movement, t.product.where("id % 3 > 0"))
+
+
+@query("load_entity_by_key", f"SELECT * FROM ({ENTITY_SQL['inventory_movement'][0]}) x WHERE id = (SELECT max(id) FROM inventory_movement)")
+def _(t):
+    """One row of a stored entity, found by its key's Bloom filters."""
+    folder = t.scratch
+    store_entity(t.inventory_movement, folder, "inventory_movement")
+    newest = t.inventory_movement.agg(F.max("id")).first()[0]
+    return by_key(load_entity(t.spark, folder, "inventory_movement"), newest)

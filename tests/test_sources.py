@@ -10,7 +10,8 @@ from bizmetrics import session
 from bizmetrics.schemas import ENTITIES
 from bizmetrics.sources import sinks
 from bizmetrics.sources.entities import conform, load_entity, store_entity
-from bizmetrics.sources.product_sales import load_product_sales
+from bizmetrics.operators.filters import by_key
+from bizmetrics.sources.product_sales import load_product_sales, load_rejected_product_sales, read_product_sales
 from conftest import plan_of, rows
 
 
@@ -36,6 +37,71 @@ def test_malformed_file(spark, tmp_path):
     assert sorted(rows(load_product_sales(spark, str(tmp_path / "s.parquet")))) == sorted(rows(clean))
 
 
+def test_records_that_span_lines_and_rejected_rows(spark, tmp_path):
+    """Every record is in one of the two frames, also from a folder where only some files have records that span lines."""
+    head = "Date , Sales,Profit, Units Sold ,Product,Country\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a b%.csv").write_text(
+        head + '2001-07-15,1,2,3,"Pen\nred",Chile\n2001-07-16,x,2,,"a ""b""\n\n""c",Peru\n2001-07-17,1,2,3,Pen,Chile,more\n2001-07-18,1,2\n')
+    (tmp_path / "in" / "plain.csv").write_text(head + '2001-07-19,1,2,3,"a ""b"" c",Chile\nsoon, ,2,3,Pen,Peru\n')
+    path = str(tmp_path / "in")
+    day = lambda n: dt.date(2001, 7, n)
+    assert sorted(rows(load_product_sales(spark, path))) == [(day(15), 1.0, 2.0, 3.0, "Pen\nred", "Chile"), (day(19), 1.0, 2.0, 3.0, 'a "b" c', "Chile")]
+    rejected = {r.sale_date: r for r in load_rejected_product_sales(spark, path).collect()}
+    assert {d: r.reasons for d, r in rejected.items()} == {
+        "2001-07-16": ["Sales does not parse", "Units Sold is missing"], "2001-07-17": ["wrong number of cells"],
+        "2001-07-18": ["wrong number of cells", "Units Sold is missing", "Product is missing", "Country is missing"],
+        "soon": ["Date does not parse", "Sales is missing"]}
+    assert rejected["2001-07-16"].product == 'a "b"\n\n"c' and rejected["2001-07-17"].record == "2001-07-17,1,2,3,Pen,Chile,more"
+    (tmp_path / "none.csv").write_text(head)
+    assert rows(load_product_sales(spark, str(tmp_path / "none.csv"))) == rows(load_rejected_product_sales(spark, str(tmp_path / "none.csv"))) == []
+
+
+def test_only_files_with_spanning_records_are_read_whole(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Date,Sales,Profit,Units Sold,Product,Country\n2001-07-15,1,2,3,"Pen\nred",Chile\n')
+    (tmp_path / "b.csv").write_text('Date,Sales,Profit,Units Sold,Product,Country\n2001-07-15,1,2,3,"Pen",Chile\n')
+    leaves = read_product_sales(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert leaves.count("Relation") == 2
+
+
+def test_movements_without_a_product_are_rows_too(spark):
+    moves = spark.createDataFrame([(n, n % 3, "in", 1, dt.datetime(2001, 7, 15) + dt.timedelta(n)) for n in range(150)],
+                                  "id bigint, product_id bigint, movement_type string, quantity int, created_at timestamp_ntz")
+    products = spark.createDataFrame([(0, "Pen"), (1, "Ink")], "id bigint, name string")
+    got = rows(sinks.movement_rows(moves, products))
+    assert [r[0] for r in got] == list(range(149, 49, -1))
+    assert [r[1] for r in got] == [["Pen", "Ink", None][r[0] % 3] for r in got]
+
+
+def scanned(df):
+    """Rows that came out of the scans of stored files."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_keys_skip_row_groups(spark, tmp_path):
+    """Ids in no order of time: Bloom filters leave the row groups that hold the key."""
+    moves = spark.range(40_000).selectExpr("(id * 7919) % 40000 * 2 AS id", "id % 50 AS product_id", "'in' AS movement_type", "1 AS quantity",
+                                           "timestamp_ntz'2001-01-01' + make_interval(0, 0, 0, 0, 0, cast(id as int)) AS created_at")
+    store_entity(moves, str(tmp_path), "inventory_movement", **{"parquet.block.size": 65536, "parquet.page.size": 8192, "parquet.block.row.count.limit": 2000})
+    stored = load_entity(spark, str(tmp_path), "inventory_movement")
+    one = by_key(stored, 7919 * 2)
+    assert one.count() == 1 and scanned(by_key(stored, 7919 * 2)) <= 8_000
+    assert scanned(by_key(stored, 7919)) <= 8_000 and by_key(stored, 7919).count() == 0
+    assert scanned(stored) == 40_000
+
+
+def test_files_follow_the_size_and_not_the_session(spark, tables, tmp_path, monkeypatch, conf):
+    conf("spark.sql.shuffle.partitions", "50")
+    store_entity(tables.product, str(tmp_path), "product")
+    assert len(spark.read.parquet(f"{tmp_path}/product.parquet").inputFiles()) == 1
+    monkeypatch.setattr(session, "PARTITION_BYTES", 1 << 11)
+    store_entity(tables.product, str(tmp_path), "product")
+    assert len(spark.read.parquet(f"{tmp_path}/product.parquet").inputFiles()) >= 3
+
+
 @pytest.mark.parametrize("name", ENTITIES)
 def test_entities_round_trip(spark, tables, tmp_path, name):
     store_entity(tables.view(name), str(tmp_path), name)
