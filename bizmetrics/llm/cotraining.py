@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -194,12 +195,15 @@ def _scored(rows: DataFrame, column: str, view: View) -> Column:
 def train(rows: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", rounds: int = ROUNDS,
           bound: int = LABELLED, pseudo: int = PSEUDO) -> CoTrained | None:
     """Fit on ``labels`` (an id and 0 or 1). An id with a null, another value or contradicting labels is not used.
-    Without a row of each class there is no model."""
+    Without a row of each class there is no model. Repeated rows count once, everywhere."""
     known = (labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y"))
              .where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most"))
              .where((F.col("y") == F.col("most")) & F.col("y").isin(0, 1)).select("doc_id", "y"))
-    chosen = sized(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound))
-    fitted = rows.join(chosen, "doc_id").orderBy(F.xxhash64("key"), "key").limit(bound).select("key", "text", "meta", "y").collect()
+    # Half of the bound for each class, by hash; repeated rows count once, before the bound.
+    half = lambda df, by: reduce(DataFrame.unionByName, [df.where(F.col("y") == y).orderBy(*by).limit(max(1, bound // 2)) for y in (0, 1)])
+    chosen = sized(half(known, (F.xxhash64("doc_id"), "doc_id")))
+    different = rows.join(chosen, "doc_id").groupBy("key").agg(F.min(F.struct("text", "meta", "y")).alias("row")).select("key", "row.*")
+    fitted = sorted(half(different, (F.xxhash64("key"), "key")).collect(), key=lambda r: r["key"])
     held = [r for r in fitted if int(r["key"][:8], 16) % HELD_OUT == 0]
     used = [r for r in fitted if int(r["key"][:8], 16) % HELD_OUT]
     if len({r["y"] for r in used}) < 2:
@@ -214,12 +218,17 @@ def train(rows: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     for _ in range(rounds):
         for v in views:
             calibrate(views[v], [bytes(r[v]) for r in held], y_held)
-        both = unlabelled.select("key", "text", "meta", *[_scored(unlabelled, v, views[v]).alias(f"p_{v}") for v in views])
-        for v, other in (("text", "meta"), ("meta", "text")):
-            for label, sure in ((1, F.col(f"p_{v}")), (0, 1 - F.col(f"p_{v}"))):
-                best = both.where(sure >= SURE).orderBy(F.desc(sure), "key").limit(pseudo // 2).select("key", other).collect()
-                pools[other] += [(bytes(r[other]), label) for r in best if f"{other}{r['key']}" not in handed]
-                handed |= {f"{other}{r['key']}" for r in best}
+        scored = unlabelled.select("key", *[_scored(unlabelled, v, views[v]).alias(f"p_{v}") for v in views])
+        both = cut_lineage(scored.groupBy("key").agg(*[F.max(f"p_{v}").alias(f"p_{v}") for v in views]))
+        picked = [both.where(sure >= SURE).orderBy(F.desc(sure), "key").limit(pseudo // 2).select("key", F.lit(other).alias("other"), F.lit(label).alias("label"))
+                  for v, other in (("text", "meta"), ("meta", "text"))
+                  for label, sure in ((1, F.col(f"p_{v}")), (0, 1 - F.col(f"p_{v}")))]
+        best = sized(reduce(DataFrame.unionByName, picked))  # 2 ``pseudo`` rows at most
+        own = unlabelled.join(best, "key").groupBy("key", "other", "label").agg(F.min(F.struct("text", "meta")).alias("row"))
+        for r in sorted(own.collect(), key=lambda r: (r["other"], r["key"], r["label"])):
+            if f"{r['other']}{r['key']}" not in handed:
+                pools[r["other"]].append((bytes(r["row"][r["other"]]), r["label"]))
+                handed.add(f"{r['other']}{r['key']}")
         views = {v: refit(v) for v in pools}
     for v in views:
         calibrate(views[v], [bytes(r[v]) for r in held], y_held)
@@ -254,7 +263,9 @@ def quality(docs: DataFrame, labels: DataFrame, meta: list[Column], least: float
 
 def keep_good(docs: DataFrame, labels: DataFrame, meta: list[Column], least: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
               **training) -> DataFrame:
-    """``docs`` without the rows the classifier rejects; all columns are kept."""
+    """``docs`` without the rows the classifier rejects; all columns are kept. Nulls, empty and long texts, repeated rows and
+    missing labels are judged as by ``quality``: rows with the same id and text go or stay together, ties at ``least`` stay,
+    an empty table stays empty."""
     judged = quality(docs, labels, meta, least, id_col, text_col, **training)
     rejected = judged.where(~F.col("kept")).select("key").distinct()
     return keep_keys(docs, sized(rejected), id_col, text_col, drop=True)

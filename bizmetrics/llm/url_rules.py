@@ -1,7 +1,7 @@
 """URL filters: listed rules first, association rules for the rest.
 
 The listed rules label the URLs they fit. Combinations of URL tokens are then mined for which
-label they go with, level by level over whole token sets; rules pruned by support, confidence and
+label they go with, by Spark's FP-growth over whole token sets; rules pruned by support, confidence and
 redundancy judge the URLs no listed rule fits. They are matched by an inverted index: a rule is filed under its rarest token,
 a URL looks up its tokens, and what is found is verified against the whole URL.
 
@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 from typing import NamedTuple
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bizmetrics.llm.common import sized
@@ -69,13 +69,8 @@ def tokens_of(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(suffixes, marked("path:", words), marked("query:", names))))
 
 
-def _counted(held: DataFrame, least: int) -> DataFrame:
-    """``held`` has an ``antecedent``, ``label`` and number of ``rows`` for each basket that holds it. Returns its
-    ``total`` and the labels it goes with at least ``least`` times (``often``); left out if there is none."""
-    by_label = held.groupBy("antecedent", "label").agg(F.sum("rows").alias("hits"))
-    often = F.when(F.col("label").isNotNull() & (F.col("hits") >= least), F.struct(F.col("label").alias("verdict"), "hits"))
-    return (by_label.groupBy("antecedent").agg(F.sum("hits").alias("total"), F.collect_list(often).alias("often"))
-            .where(F.size("often") > 0))
+#: Stands before a label, to tell it from the tokens beside it in a basket.
+LABEL = "\x00"
 
 
 def _parted(sets: DataFrame) -> DataFrame:
@@ -83,80 +78,69 @@ def _parted(sets: DataFrame) -> DataFrame:
     return sets.select("*", F.explode(F.transform("antecedent", lambda t: F.array_remove("antecedent", t))).alias("part"))
 
 
-def _combined(growing: DataFrame, size: int) -> DataFrame:
-    """Sets of ``size`` tokens of which all parts of one token less are in ``growing``."""
-    last = F.element_at("antecedent", -1)
-    halves = growing.select(F.slice("antecedent", 1, size - 2).alias("start"), last.alias("last"))
-    pairs = halves.join(halves.withColumnRenamed("last", "after"), "start").where(F.col("last") < F.col("after"))
-    sets = pairs.select(F.concat("start", F.array("last", "after")).alias("antecedent"))
-    whole = _parted(sets).join(growing.select(F.col("antecedent").alias("part")), "part").groupBy("antecedent").count()
-    return whole.where(F.col("count") == size).select("antecedent")
+def _itemsets(baskets: DataFrame, least: int, n: int) -> DataFrame:
+    """(items, freq) of all sets that are in ``least`` of the ``n`` baskets or more, by FP-growth."""
+    support = (least - 0.5) / n  # the learner rounds its product with n up
+    found = FPGrowth(itemsCol="items", minSupport=support, numPartitions=int(baskets.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(baskets)
+    return cut_lineage(found.freqItemsets.select("items", "freq"))
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """``labelled`` has ``tokens`` and ``label``. Returns rules: ``antecedent`` (sorted tokens), ``verdict``,
     ``confidence``, ``support`` and ``anchor``, the antecedent's rarest token. A rule is left out if another
-    with one token less and the same verdict is at least as confident. No labelled rows give no rules.
+    with one token less and the same verdict is at least as confident. Null tokens are no tokens, null labels no label of
+    a rule. No labelled rows give no rules.
 
     Tokens rarer than ``min_support`` can't be in a rule. There are at most (tokens per URL) /
     ``min_support`` others, whatever the corpus holds: they are collected to restrict the mining.
 
-    Every set of tokens that may be in a rule is counted over all tokens of all rows. Sets grow by one token a
-    level. One that has a single label, or as many rows as a part of it, doesn't grow: all that holds it is as
-    confident as without one of its tokens, hence left out. So tokens that come together cost no combinations.
-    Sets whose tokens come and go by themselves are all counted, as many as reach ``min_support``.
+    FP-growth counts the sets of all frequent tokens of all rows, each with and without its label. Tokens that stand in
+    the very same rows are one item there, since a rule with two of them is redundant; rules are told for each of them
+    afterwards. So tokens that come together cost no combinations. Sets of tokens that come and go by
+    themselves are all counted, as many as reach ``min_support``.
     """
     schema = "antecedent array<string>, verdict string, confidence double, support double, anchor string"
-    n = labelled.count()
+    rows = cut_lineage(labelled.select(F.array_compact(F.coalesce("tokens", F.array().cast("array<string>"))).alias("tokens"),
+                                       F.col("label").cast("string").alias("label"), F.monotonically_increasing_id().alias("row")))
+    n = rows.count()
     least = max(1, math.ceil(min_support * n))
-    counts = labelled.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    frequent = [r["token"] for r in counts.where(F.col("count") >= least).orderBy("count", "token").collect()]
+    # Two hashes of the rows a token stands in tell which tokens stand in the same ones.
+    held = rows.select("row", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("row")).alias("h"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("g"))
+    frequent = held.where(F.col("n") >= least).orderBy("n", "token").collect()
     if not frequent:
         return labelled.sparkSession.createDataFrame([], schema)
-    rarest_first = F.array(*map(F.lit, frequent))
-
-    def baskets(rows: DataFrame, kept: list[str]) -> DataFrame:
-        items = F.array_sort(F.array_intersect(F.array(*map(F.lit, kept)), "items"))
-        return cut_lineage(rows.select(items.alias("items"), "label", "rows").groupBy("items", "label").agg(F.sum("rows").alias("rows")))
-
-    held = baskets(labelled.select(F.col("tokens").alias("items"), F.col("label").cast("string").alias("label"), F.lit(1).alias("rows")), frequent)
-    singles = held.select(F.explode("items").alias("token"), "label", "rows").select(F.array("token").alias("antecedent"), "label", "rows")
-    level = cut_lineage(_counted(singles, least))
-    levels, size = [level], 1
-    growing = level.where((F.col("total") < n) & ~F.exists("often", lambda x: x["hits"] == F.col("total")))
-    tokens = [r[0] for r in growing.select(F.element_at("antecedent", 1)).collect()]
-    if tokens:
-        held = baskets(held, tokens)
-    while len(tokens) > size and not growing.isEmpty():
-        size += 1
-        if size == 2:
-            pairs = F.flatten(F.transform("items", lambda x, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda y: F.array(x, y))))
-            fits = held.select(F.explode(pairs).alias("antecedent"), "label", "rows")
-        else:
-            anchor = F.element_at(F.array_intersect(rarest_first, "antecedent"), 1)
-            sets = sized(_combined(growing, size).withColumn("anchor", anchor), F.size("antecedent") + 1)
-            fits = (held.select("items", "label", "rows", F.explode("items").alias("anchor")).join(sets, "anchor")
-                    .where(F.size(F.array_except("antecedent", "items")) == 0).select("antecedent", "label", "rows"))
-        level = cut_lineage(_counted(fits, least))
-        within = _parted(level.select("antecedent")).join(growing.select(F.col("antecedent").alias("part"), "total"), "part")
-        rarer = level.join(within.groupBy("antecedent").agg(F.min("total").alias("within")), "antecedent")
-        growing = cut_lineage(rarer.where((F.col("total") < F.col("within")) & ~F.exists("often", lambda x: x["hits"] == F.col("total")))
-                              .select("antecedent", "total"))
-        levels.append(level)
-    every = reduce(DataFrame.unionByName, levels).select("antecedent", "total", F.explode("often").alias("of"))
-    rules = cut_lineage(every.select("antecedent", F.col("of.verdict").alias("verdict"), (F.col("of.hits") / F.col("total")).alias("confidence"),
-                                     (F.col("of.hits") / F.lit(n)).alias("support")).where(F.col("confidence") >= min_confidence))
+    alike: dict[tuple, list[str]] = {}
+    for r in frequent:
+        alike.setdefault((r["n"], r["h"], r["g"]), []).append(r["token"])
+    leaders = F.array(*[F.lit(tokens[0]) for tokens in alike.values()])
+    label = F.when(F.col("label").isNotNull(), F.array(F.concat(F.lit(LABEL), "label"))).otherwise(F.array().cast("array<string>"))
+    sets = _itemsets(rows.select(F.concat(F.array_intersect(leaders, "tokens"), label).alias("items")), least, n)
+    is_label = lambda x: F.startswith(x, F.lit(LABEL))
+    split = sets.select(F.array_sort(F.filter("items", lambda x: ~is_label(x))).alias("antecedent"), F.filter("items", is_label).alias("labels"), "freq")
+    totals = split.where(F.size("labels") == 0).select("antecedent", F.col("freq").alias("total"))
+    hits = split.where((F.size("labels") == 1) & (F.size("antecedent") > 0)).select(
+        "antecedent", F.substring(F.col("labels")[0], 2, 1 << 30).alias("verdict"), F.col("freq").alias("hits"))
+    rules = cut_lineage(hits.join(totals, "antecedent").select(
+        "antecedent", "verdict", (F.col("hits") / F.col("total")).alias("confidence"), (F.col("hits") / F.lit(n)).alias("support"))
+        .where(F.col("confidence") >= min_confidence))
     smaller = rules.select(F.col("antecedent").alias("part"), "verdict", F.col("confidence").alias("as_sure"))
     parts = _parted(rules.where(F.size("antecedent") > 1).select("antecedent", "verdict", "confidence"))
     redundant = parts.join(smaller, ["part", "verdict"]).where(F.col("as_sure") >= F.col("confidence")).select("antecedent", "verdict").distinct()
-    return (rules.join(redundant, ["antecedent", "verdict"], "left_anti")
-            .select("antecedent", "verdict", "confidence", "support",
+    kept = rules.join(redundant, ["antecedent", "verdict"], "left_anti")
+    members = F.map_from_arrays(leaders, F.array(*[F.array(*map(F.lit, tokens)) for tokens in alike.values()]))
+    every = F.aggregate("antecedent", F.array(F.array().cast("array<string>")), lambda made, token: F.flatten(
+        F.transform(made, lambda start: F.transform(F.element_at(members, token), lambda t: F.concat(start, F.array(t))))))
+    rarest_first = F.array(*[F.lit(r["token"]) for r in frequent])
+    return (kept.withColumn("antecedent", F.explode(every))
+            .select(F.array_sort("antecedent").alias("antecedent"), "verdict", "confidence", "support",
                     F.element_at(F.array_intersect(rarest_first, "antecedent"), 1).alias("anchor")))
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``urls`` has different ``url`` and their ``tokens``; returns ``url`` with the best rule that fits it: of
-    greatest confidence, then support, then fewest tokens, then the first by text."""
+    greatest confidence, then support, then fewest tokens, then the first by text. URLs that no rule fits, or without
+    tokens, are left out; null tokens fit nothing; no rules or URLs give no rows."""
     looked_up = urls.select("url", "tokens", F.explode("tokens").alias("anchor"))
     fits = looked_up.join(sized(rules, F.size("antecedent") + 4), "anchor").where(F.size(F.array_except("antecedent", "tokens")) == 0)
     best = F.min(F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), F.size("antecedent").alias("n"),
@@ -174,8 +158,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", label
     A URL that no rule of either kind fits gets ``default``. A null URL, or one without ``://``, has an empty
     host and path and no tokens. Repeated rows and null ids each get their row; an empty table gives none.
     """
-    work = pages.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{url_col}`").alias("url"))
-    work = work.select(id_col, "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    work = pages.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{url_col}`").alias("url"))
+    work = work.select("_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     work = work.withColumns({"rule": rule, "listed": verdict})
     known = labelled if labelled is not None else work.where(F.col("listed").isNotNull()).select("url", F.col("listed").alias("label"))
@@ -184,5 +168,5 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", label
     judged = match(open_urls.select("url", tokens_of(F.col("url")).alias("tokens")), mined)
     found = work.join(judged, "url", "left")
     by_method = F.col("listed").isNull()
-    return found.select(id_col, "host", "path", "rule", F.coalesce("listed", "mined_verdict", F.lit(default)).alias("verdict"),
+    return found.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("listed", "mined_verdict", F.lit(default)).alias("verdict"),
                         *[F.when(by_method, F.col(c)).alias(c) for c in ("mined_rule", "confidence")])

@@ -129,6 +129,59 @@ def test_quality_of_hard_rows(spark):
     assert cotraining.keep_good(docs, labels.limit(0), meta()).count() == len(table)
 
 
+def test_copies_of_a_labelled_row_change_nothing(spark):
+    """Thousands of copies of one labelled row fill no bound: scores are those with one copy."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    copied = docs.join(labels.where("quality = 0").orderBy("doc_id").limit(1).select("doc_id"), "doc_id", "left_semi")
+    more = docs.unionByName(copied.crossJoin(spark.range(3000)).drop("id"))
+    score = lambda df, **how: {r.doc_id: (r.text_score, r.meta_score, r.score, r.kept) for r in cotraining.quality(df, labels, meta(), **how).collect()}
+    for how in ({}, {"bound": 60, "pseudo": 40}):
+        once, often = score(docs, **how), score(more, **how)
+        assert once.keys() == often.keys() and None not in next(iter(once.values()))
+        assert all(once[i] == pytest.approx(often[i], abs=1e-9) for i in once)
+
+
+def test_co_training_is_the_plain_procedure(spark):
+    """The same rounds in one thread over collected rows: who is labelled, who is handed over, what it comes to."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    rows_ = {r.key: r for r in cotraining.featured(docs, meta(), "doc_id", "text").collect()}
+    used = [r for k, r in sorted(rows_.items()) if r.doc_id in known and int(k[:8], 16) % cotraining.HELD_OUT]
+    held = [r for k, r in sorted(rows_.items()) if r.doc_id in known and not int(k[:8], 16) % cotraining.HELD_OUT]
+    open_ = [r for r in rows_.values() if r.doc_id not in known]
+    pools = {v: [(bytes(r[v]), known[r.doc_id]) for r in used] for v in ("text", "meta")}
+    dims, y_held, given_ = {"text": cotraining.TEXT_DIM, "meta": cotraining.META_DIM}, np.array([known[r.doc_id] for r in held]), set()
+    def refit():
+        views = {v: cotraining.fit(v, dims[v], [x for x, _ in pools[v]], np.array([y for _, y in pools[v]])) for v in pools}
+        for v in views:
+            cotraining.calibrate(views[v], [bytes(r[v]) for r in held], y_held)
+        return views
+    views = refit()
+    for _ in range(cotraining.ROUNDS):
+        p = {v: dict(zip([r.key for r in open_], cotraining._sigmoid(views[v].logits([bytes(r[v]) for r in open_])))) for v in views}
+        found = []
+        for v, other in (("text", "meta"), ("meta", "text")):
+            for label, sure in ((1, p[v]), (0, {k: 1 - x for k, x in p[v].items()})):
+                best = sorted((k for k, x in sure.items() if x >= cotraining.SURE), key=lambda k: (-sure[k], k))[:cotraining.PSEUDO // 2]
+                found += [(other, k, label) for k in best]
+        for other, k, label in sorted(found):
+            if (other, k) not in given_:
+                pools[other].append((bytes(rows_[k][other]), label))
+                given_.add((other, k))
+        views = refit()
+    assert given_
+    text, metas = ([bytes(r[v]) for r in rows_.values()] for v in ("text", "meta"))
+    apart = {v: max(cotraining._auc(views[v].logits([bytes(r[v]) for r in held]), y_held) - 0.5, 0.0) for v in views}
+    share = (apart["text"] + 1e-6) / (apart["text"] + apart["meta"] + 2e-6)
+    good = (y_held.sum() + 1) / (len(y_held) + 2)
+    model = cotraining.CoTrained(views["text"], views["meta"], float(np.log(good / (1 - good))), share)
+    want = dict(zip(rows_, zip(*model.scores(text, metas))))
+    got = cotraining.quality(docs, labels, meta()).collect()
+    assert all((r.text_score, r.meta_score, r.score) == pytest.approx(want[r.key], abs=1e-9) for r in got)
+
+
 def test_calibration_of_separated_rows():
     view = cotraining.View("text", np.array([10.0]))
     packed = [cotraining._packed(np.array([0]), np.array([x])) for x in (-3, -2, -1, 1, 2, 3)]
@@ -339,6 +392,24 @@ def test_mined_rules_count_all_tokens(spark):
         assert r.anchor == min(part, key=lambda t: (holds[t].sum(), t))
 
 
+def test_independent_tokens_end_soon(spark):
+    """16 tokens that come and go by themselves in 3,000 rows: some 67,000 sets reach the support."""
+    import time
+    rnd = np.random.default_rng(3)
+    held = rnd.random((3000, 16)) < 0.5
+    labelled = [([f"t{j:02}" for j in np.nonzero(h)[0]], "block" if h[0] and h[1] and h[2] else "allow") for h in held]
+    began = time.time()
+    rules = url_rules.mine(spark.createDataFrame(labelled, "tokens array<string>, label string"), 0.005, 0.9).collect()
+    assert time.time() - began < 60
+    assert {tuple(r.antecedent) for r in rules if r.verdict == "block"} == {("t00", "t01", "t02")}
+
+
+def test_null_tokens_and_labels(spark):
+    rows_ = [(["a", None, "a"], "block")] * 6 + [(["a", "b"], None)] * 2 + [(None, "allow")] * 2 + [([], "allow")]
+    rules = url_rules.mine(spark.createDataFrame(rows_, "tokens array<string>, label string"), 0.1, 0.5).collect()
+    assert [(r.antecedent, r.verdict, r.confidence, r.anchor) for r in rules] == [(["a"], "block", 0.75, "a")]
+
+
 def test_url_filters_stay_in_the_jvm(spark):
     plan = url_rules.judge(spark.read.parquet(f"{DATA}/pages.parquet"), URL_RULES)._jdf.queryExecution().toString()
     assert not __import__("re").search("Python|Arrow|Pandas", plan)
