@@ -8,7 +8,8 @@ shares next to nothing of its shingles with a short item), so only the items are
   its shingles of smallest hash, as many as the largest item of its partition could lack and
   still be found, plus one. A document that holds enough of the item holds one of these, so
   the search over the documents' shingle hashes misses nothing.
-* Candidates are verified with the shingles themselves, not with their hashes.
+* Texts that hold one are verified with the shingles themselves, not with their hashes: their different shingles meet
+  the items' and are counted, so a text with many items is as much work as one with few.
 
 Everything is DataFrame expressions. The documents' shingles never leave the task that makes
 them unless they hit a sketch.
@@ -103,21 +104,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     for k in lengths:
         found = _doc_hashes(work, k).join(sketches.where(F.col("k") == k), "hash").select("key", "item")
         hits = found if hits is None else hits.unionByName(found)
-    by_doc = sized(hits.groupBy("key").agg(F.collect_set("item").alias("items")), F.size("items") + 1)
-    held = work.join(by_doc, "key").dropDuplicates(["key"])
-    found_in = (held.select("key", "doc_id", "items", words_of(F.col("text")).alias("words"))
-                .select("key", "doc_id", F.explode("items").alias("item"),
-                        *[_shingles(F.col("words"), k).alias(f"s{k}") for k in lengths])
-                .join(items, "item"))
-    own = F.coalesce(*[F.when(F.col("k") == k, F.col(f"s{k}")) for k in lengths])
-    return (found_in.select("key", "doc_id", "item_id", F.col("n").alias("n_shingles"), "needed",
-                            F.size(F.array_intersect("shingles", own)).alias("n_found"))
-            .where(F.col("n_found") >= F.col("needed"))
+    # Texts that hold a sketched shingle, each once; a text's shingles are made once, whatever items it may hold.
+    held = work.join(sized(hits.select("key").distinct()), "key").dropDuplicates(["key"]).select("key", "doc_id", words_of(F.col("text")).alias("words"))
+    wanted = sized(items.select("item", "k", "item_id", F.col("n").alias("n_shingles"), "needed", F.explode("shingles").alias("shingle")), F.lit(6))
+    places = None
+    for k in lengths:
+        own = held.select("key", "doc_id", F.explode(_shingles(F.col("words"), k)).alias("shingle"))
+        both = own.join(wanted.where(F.col("k") == k), "shingle")
+        places = both if places is None else places.unionByName(both)
+    # Shingles are different ones on both sides: a row for each that is found.
+    found = places.groupBy("key", "doc_id", "item", "item_id", "n_shingles", "needed").agg(F.count(F.lit(1)).cast("int").alias("n_found"))
+    return (found.where(F.col("n_found") >= F.col("needed"))
             .select("key", "doc_id", "item_id", "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
                       text_col: str = "text", **item_cols: str) -> DataFrame:
-    """``docs`` without the rows that hold a test item; all columns are kept."""
+    """``docs`` without the rows that hold a test item; all columns are kept. Null and empty texts hold none and stay; rows with
+    the same id and text go or stay together; ties and empty tables are as in ``contaminated``."""
     found = contaminated(docs, benchmark, threshold, id_col, text_col, **item_cols).select("key").distinct()
     return keep_keys(docs, sized(found), id_col, text_col, drop=True)

@@ -178,6 +178,21 @@ def test_decontamination_is_brute_force(spark):
     assert decontaminate.drop_contaminated(frame, bench.limit(0)).count() == len(table)
 
 
+def test_a_text_with_many_items_costs_no_more(spark):
+    """One text of 20,000 words: hundreds of items in it take little longer than two."""
+    import time
+    words = [f"w{i}" for i in range(20_000)]
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id int, text string")
+    items = lambda n: spark.createDataFrame([(i, " ".join(words[i * 30:i * 30 + 30])) for i in range(n)], "item_id int, text string")
+    took = {}
+    for n in (2, 600, 2, 600):
+        began = time.time()
+        found = decontaminate.contaminated(docs, items(n)).collect()
+        took[n] = time.time() - began
+        assert sorted((r.item_id, r.n_found, r.containment) for r in found) == [(i, 26, 1.0) for i in range(n)]
+    assert took[600] < 1.5 * took[2] + 2
+
+
 def test_decontamination_stays_in_the_jvm(spark):
     plan = decontaminate.contaminated(docs(spark, (1, "a b c d e f")), spark.createDataFrame([(1, "a b c d e f")], "item_id int, text string"))
     assert not __import__("re").search("Python|Arrow|Pandas", plan._jdf.queryExecution().toString())
