@@ -26,8 +26,8 @@ from bizmetrics.session import cut_lineage
 LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 80, 128
 #: Shards at least, and the vectors one aims for: a size at which the beam's recall was measured (see README).
 LEAST_SHARDS, SHARD_ROWS = 12, 4_300
-#: Vectors of the shards that one task searches: the bound of its memory. Queries are sent once to each task.
-TASK_ROWS = 500_000
+#: Vectors of the shards that one task searches, and their components: the bound of its memory. Queries are sent once to each task.
+TASK_ROWS, TASK_VALUES = 500_000, 1 << 25
 #: Nodes inserted at once, nodes of the beam expanded at once, and the cells of a block's visited table.
 INSERTED, EXPANDED, CELLS = 256, 4, 1 << 26
 
@@ -322,7 +322,7 @@ def _usable(rows: DataFrame, id_col: str, vec_col: str, kind: str) -> DataFrame:
 def index(rows: DataFrame, k: int, links: int = LINKS, beam: int = BUILD_BEAM, shards: int | None = None,
           id_col: str = "vec_id", vec_col: str = "embedding", kind: str | None = None) -> tuple[DataFrame, int]:
     """The stored graphs of all usable vectors, one row per node, and the number of groups of shards: the shards of
-    a group, of ``TASK_ROWS`` vectors together, are searched in one task."""
+    a group, of ``TASK_ROWS`` vectors or ``TASK_VALUES`` components together, are searched in one task."""
     ship(rows.sparkSession)
     kind = kind or _kind((rows, vec_col))
     each = _usable(rows, id_col, vec_col, kind).distinct()
@@ -330,9 +330,9 @@ def index(rows: DataFrame, k: int, links: int = LINKS, beam: int = BUILD_BEAM, s
     rank = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
     kept = each.withColumn("rank", rank).where(F.col("rank") <= k + 1)
     different = cut_lineage(kept.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
-    n = different.count()
+    n, values = different.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()
     shards = shards or max(LEAST_SHARDS, -(-n // SHARD_ROWS))
-    groups = min(shards, max(LEAST_SHARDS, -(-n // TASK_ROWS)))
+    groups = min(shards, max(LEAST_SHARDS, -(-n // TASK_ROWS), -(-values // TASK_VALUES)))
     dealt = different.withColumn("part", F.size("vec").cast("bigint") * shards + F.pmod(F.xxhash64("vec"), F.lit(shards)))
     # Vectors with other numbers of components are in graphs of their own.
     ordered = dealt.select("part", "ids", "vec")

@@ -3,9 +3,10 @@
 Records are range-sorted by id. A shard's records are written one gzip member each, and the file
 is rolled when its compressed size passes a bound. Every byte is a function of the rows: shard
 bounds are quantiles of a sample chosen by hash, headers and digests are made anew, dates and
-record ids are derived. A file is written under a temporary name of the attempt and renamed when
-it is whole; the manifest, written last by Spark's own committer, says which files count. A task
-that is lost leaves at most a temporary file, which no reader looks at.
+record ids are derived. A shard is a range of (id, payload digest), and one partition. A file is written under a
+temporary name of the attempt and renamed when it is whole, to a name that tells its bytes; a file with its final name is
+never touched again. The manifest, written last by Spark's own committer, says which files count. A task
+that is lost leaves files that no reader looks at.
 """
 
 from __future__ import annotations
@@ -18,17 +19,17 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bizmetrics.llm.common import ship, uri
-from bizmetrics.session import fresh_dir
+from bizmetrics.session import fresh_dir, store_once
 
 #: Payloads below this size are always stored in full.
 LEAST_REVISITED = 100
 #: Compressed size at which a file is closed.
 ROLL_BYTES = 64 << 20
-#: Rows a shard aims for, and ids sampled per shard to place the bounds.
-SHARD_ROWS, SAMPLED = 25_000, 64
+#: Rows a shard aims for, and keys sampled to place the bounds: for each shard, and in all.
+SHARD_ROWS, SAMPLED, MOST_SAMPLED = 25_000, 64, 200_000
 LEAST_SHARDS = 16
 DATE = "1970-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # a fixed value: URLs, RFC 4122
@@ -45,15 +46,25 @@ def verdicts(pages: DataFrame) -> DataFrame:
     return digests.join(first, "digest", "left").select("page_id", "digest", "size", "first")
 
 
-def shard_bounds(ids: DataFrame, shard_rows: int = SHARD_ROWS) -> list[int]:
-    """Ids that begin a new shard. Rows are sampled by the hash of their id, so many that about
-    ``SAMPLED`` ids fall into each shard; the same table always gives the same bounds."""
-    n, different = ids.agg(F.count("*"), F.approx_count_distinct("page_id")).first()
+def shard_bounds(keys: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
+    """(one row with ``bounds``, the sorted keys that begin a new shard; the number of shards). Rows (page_id, digest) are
+    sampled by their hash, about ``SAMPLED`` to a shard and ``MOST_SAMPLED`` in all; the same table always gives the same bounds."""
+    n = keys.count()
     shards = max(LEAST_SHARDS, -(-n // shard_rows))
-    every = max(1, different // (shards * SAMPLED))
-    sample = sorted(r[0] for r in ids.where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0))
-                    .select("page_id").distinct().collect())
-    return sorted({sample[len(sample) * i // shards] for i in range(1, shards)}) if sample else []
+    every = max(1, n // min(shards * SAMPLED, MOST_SAMPLED))
+    key = F.struct("page_id", "digest")
+    sample = keys.where(F.pmod(F.xxhash64("page_id", "digest"), F.lit(every)) == 0).select(key.alias("key")).distinct()
+    # One value of bounded size, made in one place.
+    ordered = sample.agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    chosen = F.transform(F.sequence(F.lit(1), F.lit(shards - 1)), lambda i: F.get("keys", F.floor(F.size("keys") * i / shards).cast("int")))
+    return ordered.select(F.array_compact(F.array_distinct(chosen)).alias("bounds")), shards
+
+
+def _shard(bounds: Column, shards: int) -> Column:
+    """How many bounds aren't above the row's key, by halving steps; null ids come first."""
+    steps = F.array(*[F.lit(1 << b) for b in range(shards.bit_length(), -1, -1)])
+    key = F.struct("page_id", "digest")
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size(bounds)) & (F.get(bounds, at + step - 1) <= key), at + step).otherwise(at))
 
 
 def _header(first: str, fields: list[tuple[str, str]]) -> bytes:
@@ -107,7 +118,7 @@ class _Files:
         if not self.file:
             self.number = self.number + 1 if shard == self.shard else 0
             self.shard, self.records, self.bytes, self.sha = shard, 0, 0, hashlib.sha256()
-            self.name = f"part-{shard:06d}-{self.number:05d}.warc.gz"
+            self.name = f"part-{shard:06d}-{self.number:05d}"
             self.temporary = f"{self.folder}/.{self.name}.{self.attempt}.tmp"
             self.file = self.store.open_output_stream(self.temporary)
             info = b"software: bizmetrics\r\nformat: WARC File Format 1.1\r\n"
@@ -127,11 +138,13 @@ class _Files:
         if self.file:
             self.file.close()
             self.file = None
-            place = f"{self.folder}/{self.name}"
-            if self.store.get_file_info(place).type != fs.FileType.NotFound:
-                self.store.delete_file(place)  # an earlier attempt's, with the same bytes
-            self.store.move(self.temporary, place)
-            self.done.append((self.name, self.shard, self.records, self.bytes, self.sha.hexdigest()))
+            # The name tells the bytes: a file that is there already is whole and the same, an earlier attempt's.
+            name = f"{self.name}-{self.sha.hexdigest()[:16]}.warc.gz"
+            if self.store.get_file_info(f"{self.folder}/{name}").type == fs.FileType.NotFound:
+                self.store.move(self.temporary, f"{self.folder}/{name}")
+            else:
+                self.store.delete_file(self.temporary)
+            self.done.append((name, self.shard, self.records, self.bytes, self.sha.hexdigest()))
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
@@ -142,7 +155,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     Of records with equal payloads of at least ``LEAST_REVISITED`` bytes that with the smallest id is a response
     and the others are revisits of it; so are all smaller ones. A null payload is an empty one. A null id is
     written without one, always as a response. Repeated rows are written as often as they occur, and are all
-    responses if their id is the smallest. An empty table gives an empty manifest and no files. Ties in the order
+    responses if their id is the smallest; those with one id are split over shards by their payloads. An empty table gives an empty manifest and no files. Ties in the order
     are broken by digest and URL. Payloads are held one at a time; a shard is streamed, whatever its size.
     """
     ship(pages.sparkSession)
@@ -150,17 +163,19 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     store.create_dir(f"{path}/records")
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
     work = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"))
-    bounds = shard_bounds(work.select("page_id"), shard_rows)
-    # The number of bounds not above the id; nulls come first.
-    shard = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("page_id"))), F.lit(0)) if bounds else F.lit(0)
+    work = work.withColumn("digest", F.sha2("payload", 256))
+    bounds, shards = shard_bounds(work.select("page_id", "digest"), shard_rows)
+    bounds = store_once(bounds, "bounds")
     # Whether a record is a revisit comes as a row of its own, sorted before the page: payloads move once.
     heads = verdicts(work).select("page_id", "digest", "first").distinct()
     empty = F.lit(None)
-    rows = (work.select("page_id", F.sha2("payload", 256).alias("digest"), F.lit(1).alias("kind"), "url", "payload", empty.cast("bigint").alias("first"))
+    rows = (work.select("page_id", "digest", F.lit(1).alias("kind"), "url", "payload", empty.cast("bigint").alias("first"))
             .unionByName(heads.select("page_id", "digest", F.lit(0).alias("kind"), empty.cast("string").alias("url"),
                                       empty.cast("binary").alias("payload"), "first"))
-            .withColumn("shard", shard))
-    ordered = rows.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+            .withColumn("bounds", bounds.select("bounds").scalar())
+            .withColumn("shard", _shard(F.col("bounds"), shards)).drop("bounds"))
+    # A shard is a partition.
+    ordered = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, head, nth = _Files(f"{folder}/records", roll_bytes), None, 0

@@ -218,18 +218,20 @@ def test_recall_on_the_given_vectors(spark):
 
 
 def test_recall_of_a_full_shard():
-    """One graph of the size that shards aim for, over the given vectors and with lengths that vary."""
+    """One graph of the size that shards aim for, over jittered copies of the given vectors and with lengths that vary."""
     import pyarrow.parquet as pq
-    given_ = np.unique(hnsw._vectors(pq.read_table("/root/testdata/check_l/embeddings.parquet")["embedding"]), axis=0)
+    given_ = np.unique(hnsw._vectors(pq.read_table("/root/testdata/sf0.1/embeddings.parquet")["embedding"]), axis=0)
     rnd = np.random.default_rng(0)
-    rnd.shuffle(given_)
-    assert len(given_) > 2 * hnsw.SHARD_ROWS
-    for lengths, k, least in ((np.ones(len(given_)), 20, 0.95), (rnd.uniform(0.5, 2, len(given_)), 2, 0.9), (np.exp(rnd.normal(0, 1, len(given_))), 2, 0.9)):
-        vectors = (given_ * lengths[:, None]).astype(np.float32)
+    base = given_[rnd.integers(0, len(given_), hnsw.SHARD_ROWS + 500)]
+    base = base + rnd.normal(0, 0.3 * given_.std(), base.shape)
+    cases = ((np.ones(len(base)), 20, hnsw.SEARCH_BEAM, 0.95), (rnd.uniform(0.5, 2, len(base)), 2, hnsw.SEARCH_BEAM, 0.9),
+             (rnd.uniform(0.5, 2, len(base)), 20, 256, 0.9), (np.exp(rnd.normal(0, 1, len(base))), 20, 256, 0.9))
+    for lengths, k, beam, least in cases:
+        vectors = (base * lengths[:, None]).astype(np.float32)
         nodes, queries = vectors[:hnsw.SHARD_ROWS], vectors[-500:]
         graph, order = hnsw.build(nodes)
         asked = np.concatenate([queries, np.zeros((len(queries), 1), np.float32)], 1)
-        near, _ = graph.beam(asked, graph.descend(asked, 0), 0, hnsw.SEARCH_BEAM)
+        near, _ = graph.beam(asked, graph.descend(asked, 0), 0, beam)
         want = np.argsort(-(queries.astype(float) @ nodes[order].astype(float).T), axis=1, kind="stable")[:, :k]
         recall = np.mean([len({*a} & {*b}) / k for a, b in zip(near, want)])
         print(f"recall of the first {k}: {recall:.4f}")
@@ -252,6 +254,16 @@ def test_shards_share_tasks(spark, monkeypatch):
     assert dict(got) == {q: [(i, round(s, 9)) for i, s in f] for q, f in plain_nearest(table, 5, {i: table[i] for i in range(30)}).items()}
 
 
+def test_tasks_are_bounded_by_components(spark, monkeypatch):
+    """Long vectors: fewer of them to a task."""
+    monkeypatch.setattr(hnsw, "LEAST_SHARDS", 2)
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", 20)
+    monkeypatch.setattr(hnsw, "TASK_VALUES", 64 * 40)
+    rows_ = spark.createDataFrame([(i, np.random.default_rng(i).normal(size=64).tolist()) for i in range(200)], "vec_id int, embedding array<float>")
+    _, groups = hnsw.index(rows_, 5)
+    assert groups == 5
+
+
 def test_hard_vectors(spark):
     nan, inf = float("nan"), float("inf")
     table = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [None, 1.0]), (6, [nan, 1.0]), (7, [inf, 1.0]),
@@ -447,6 +459,35 @@ def test_archive_round_trip(spark, tmp_path):
     assert {r.file: r.sha256 for r in again.collect()} == files
 
 
+def test_hot_and_null_ids_are_split(spark, tmp_path):
+    """A third of the rows under one id, a third without: no shard has more than twice the mean."""
+    pages = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN -7 WHEN id % 3 = 1 THEN id END AS page_id", "'u' AS url", "concat('page ', id) AS html")
+    manifest = warc.write(pages, f"file://{tmp_path}", shard_rows=300).collect()
+    by_shard = defaultdict(int)
+    for r in manifest:
+        by_shard[r.shard] += r.records
+    assert len(by_shard) == 20 and sum(by_shard.values()) == 6000 and max(by_shard.values()) <= 600
+    assert warc.read(spark, f"file://{tmp_path}").where("page_id = -7").count() == 2000
+
+
+def test_an_attempt_that_dies_between_write_and_commit(spark, tmp_path, monkeypatch):
+    """Files of a first attempt stand there whole, temporary or torn: the second one's manifest names whole files."""
+    pages = spark.createDataFrame([p for p in PAGES if p[0]], "page_id bigint, url string, html string")
+    place = f"file://{tmp_path}/a"
+    whole = {r.file for r in warc.write(pages, place, shard_rows=4).collect()}
+    records = Path(f"{tmp_path}/b/records")
+    records.mkdir(parents=True)
+    for i, name in enumerate(sorted(whole)):
+        body = Path(f"{tmp_path}/a/records/{name}").read_bytes()
+        if i % 2:
+            (records / name).write_bytes(body)  # renamed before the attempt died
+        else:
+            (records / f".{name}.0-0.tmp").write_bytes(body[:99])
+    manifest = warc.write(pages, f"file://{tmp_path}/b", shard_rows=4)
+    assert {r.file for r in manifest.collect()} == whole
+    assert sorted(map(repr, warc.read(spark, f"file://{tmp_path}/b").collect())) == sorted(map(repr, warc.read(spark, place).collect()))
+
+
 def test_files_without_a_manifest_entry_do_not_count(spark, tmp_path):
     pages = spark.createDataFrame([p for p in PAGES if p[0]], "page_id bigint, url string, html string")
     warc.write(pages, f"file://{tmp_path}")
