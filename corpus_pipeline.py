@@ -1,4 +1,9 @@
-"""The corpus pipeline: documents in, token ids out, one stored table between two stages."""
+"""The corpus pipeline: documents in, token ids out, one stored table between two stages.
+
+Every stage takes nulls in any column, empty and long texts, repeated rows, columns it doesn't know and empty tables: decisions
+are made by id and text (a null is a value of its own, a null text an empty one), so repeated rows share theirs, ties go by
+id, and an empty table stays one. All stages but the last keep the columns of ``documents`` and those it has besides.
+"""
 
 from __future__ import annotations
 
