@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bizmetrics.operators.changes import apply_changes
 
-MANIFEST = "value string, path string, part string, columns string"
+#: ``note`` is free text of whoever committed the snapshot.
+MANIFEST = "value string, path string, part string, columns string, note string"
 #: The folder Spark gives to a null partition.
 NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 
@@ -36,13 +37,17 @@ def versions(spark: SparkSession, folder: str) -> list[int]:
     return sorted(v for v, written in _claimed(spark, folder).items() if written)
 
 
-def manifest(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
-    """(value, path, part, columns) of a snapshot, by default the newest: one row per folder."""
+def name_of(spark: SparkSession, folder: str, version: int | None = None) -> str:
+    """What no other snapshot of any table is called; by default of the newest."""
     known = versions(spark, folder)
     if not known:
         raise FileNotFoundError(f"{folder} has no snapshot")
-    name = spark.read.text(f"{folder}/committed/{known[-1] if version is None else version}").first()[0]
-    return spark.read.schema(MANIFEST).parquet(f"{folder}/snapshots/{name}")
+    return spark.read.text(f"{folder}/committed/{known[-1] if version is None else version}").first()[0]
+
+
+def manifest(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """(value, path, part, columns, note) of a snapshot, by default the newest: one row per folder."""
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/snapshots/{name_of(spark, folder, version)}")
 
 
 def _rows(spark: SparkSession, folder: str, listed: list, columns: str) -> DataFrame:
@@ -57,18 +62,20 @@ def read(spark: SparkSession, folder: str, version: int | None = None, values: l
     return _rows(spark, folder, [r for r in wanted if r.path], listed[0].columns)
 
 
-def _commit(spark: SparkSession, folder: str, rows: DataFrame, part: str, columns: str, kept: list, version: int) -> int:
-    """Write ``rows`` by partition, then the snapshot, then its marker. A marker can be made once: of two commits of one
-    version the second fails, and what it wrote is never read."""
+def _commit(spark: SparkSession, folder: str, rows: DataFrame, part: str, columns: str, kept: list, version: int, note: str = "", gather: bool = True) -> int:
+    """Write ``rows`` by partition (those of one brought together, if asked), then the snapshot, then its marker. A marker
+    can be made once: of two commits of one version the second fails, and what it wrote is never read."""
     name = f"{version}-{uuid.uuid4().hex}"
     attempt = f"data/{name}"
     place = f"{folder}/{attempt}"
-    rows.withColumn("_part", F.expr(part).cast("string")).write.partitionBy("_part").parquet(place)
+    parted = rows.withColumn("_part", F.expr(part).cast("string"))
+    (parted.hint("rebalance", "_part") if gather else parted).write.partitionBy("_part").parquet(place)
     path, store = _store(spark, place)
     names = [s.getPath().getName() for s in store.listStatus(path) if s.isDirectory()]
     unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-    made = [(None if (value := n.removeprefix("_part=")) == NULL_FOLDER else unescape(value), f"{attempt}/{n}", part, columns) for n in names]
-    listed = [*[tuple(r) for r in kept], *made] or [(None, "", part, columns)]
+    made = [(None if (value := n.removeprefix("_part=")) == NULL_FOLDER else unescape(value), f"{attempt}/{n}") for n in names]
+    folders = [*[(r.value, r.path) for r in kept], *made] or [(None, "")]
+    listed = [(value, path, part, columns, note) for value, path in folders]
     spark.createDataFrame(listed, MANIFEST).coalesce(1).write.parquet(f"{folder}/snapshots/{name}")
     marker, store = _store(spark, f"{folder}/committed/{version}")
     stream = store.create(marker, False)
@@ -77,14 +84,25 @@ def _commit(spark: SparkSession, folder: str, rows: DataFrame, part: str, column
     return version
 
 
-def create(df: DataFrame, folder: str, part: str) -> int:
-    """Store ``df`` as the first snapshot of a table, in partitions by the expression ``part``."""
+def create(df: DataFrame, folder: str, part: str, note: str = "") -> int:
+    """Store ``df`` as the first snapshot of a table, in partitions by the expression ``part``. Rows of a partition come
+    together, a large one in files of several tasks."""
     spark = df.sparkSession
-    if versions(spark, folder):
+    claimed = _claimed(spark, folder)
+    if any(claimed.values()):
         raise FileExistsError(f"{folder} has a table already")
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    ordered = df.repartition(F.expr(part))
-    return _commit(spark, folder, ordered, part, columns, [], 0)
+    return _commit(spark, folder, df, part, columns, [], max(claimed, default=-1) + 1, note)
+
+
+def replace(df: DataFrame, folder: str, values: set[str | None], note: str = "") -> int:
+    """Commit a snapshot in which ``df`` takes the place of the partitions with these values; the others stay as they are."""
+    spark = df.sparkSession
+    version = max(_claimed(spark, folder), default=-1) + 1
+    listed = manifest(spark, folder).collect()
+    kept = [r for r in listed if r.path and r.value not in values]
+    part, columns = listed[0].part, listed[0].columns
+    return _commit(spark, folder, df, part, columns, kept, version, note)
 
 
 def touched(spark: SparkSession, folder: str, changes: DataFrame, key: str) -> list[str | None]:
@@ -105,7 +123,7 @@ def apply(spark: SparkSession, folder: str, changes: DataFrame, key: str, stamp:
     hit = set(touched(spark, folder, changes, key))
     rewritten, kept = [r for r in listed if r.path and r.value in hit], [r for r in listed if r.path and r.value not in hit]
     after = apply_changes(_rows(spark, folder, rewritten, columns), changes, key, stamp, order)
-    return _commit(spark, folder, after, part, columns, kept, version)
+    return _commit(spark, folder, after, part, columns, kept, version, gather=False)
 
 
 def forget(spark: SparkSession, folder: str, keep: int = 2) -> int:

@@ -34,6 +34,27 @@ KPI_SQL = f"""
                  COALESCE((SELECT SUM(quantity * unit_price) FROM product), 0) AS v,
                  (SELECT COUNT(*) FROM product WHERE quantity <= 10) AS low) x"""
 
+SALES_BOARD_SQL = f"""
+    SELECT r AS current_month_revenue, n AS current_month_transactions, lr AS last_month_revenue,
+           round_even((CAST(r AS DOUBLE) - lr) / lr * 100, 2) AS growth_percent,
+           total AS total_revenue, tn AS total_transactions, best.month AS best_month,
+           best.revenue AS best_month_revenue, 'July 2001' AS current_month, 'June 2001' AS last_month_name
+    FROM (SELECT COALESCE(SUM(revenue) FILTER ({MONTH}), 0) AS r,
+                 CAST(COALESCE(SUM(transaction_count) FILTER ({MONTH}), 0) AS BIGINT) AS n,
+                 COALESCE(NULLIF(SUM(revenue) FILTER ({LAST}), 0), 1) AS lr,
+                 SUM(revenue) AS total, CAST(SUM(transaction_count) AS BIGINT) AS tn FROM monthly_sales) x,
+         (SELECT month, revenue FROM monthly_sales ORDER BY revenue DESC, month DESC LIMIT 1) best"""
+
+EXPENSE_BOARD_SQL = f"""
+    SELECT e AS current_month_expenses, le AS last_month_expenses,
+           round_even((CAST(e AS DOUBLE) - le) / CASE WHEN le = 0 THEN 1 ELSE le END * 100, 2) AS growth_percent,
+           total AS total_expenses,
+           round_even(CAST(total AS DOUBLE) / CASE WHEN months = 0 THEN 1 ELSE months END, 2) AS avg_monthly_expenses,
+           'July 2001' AS current_month, 'June 2001' AS last_month_name
+    FROM (SELECT COALESCE(SUM(amount) FILTER ({DAY}), 0) AS e, COALESCE(SUM(amount) FILTER ({LAST_DAY}), 0) AS le,
+                 COALESCE(SUM(amount), 0) AS total, COUNT(DISTINCT date_trunc('month', date)) AS months
+          FROM expense) x"""
+
 
 def _sales(t):
     return two_months(t.sales_transaction, AS_OF)
@@ -49,30 +70,13 @@ def _(t):
     return b.home_summary(_sales(t), t.expense, t.product, AS_OF)
 
 
-@query("sales_board", f"""
-    SELECT r AS current_month_revenue, n AS current_month_transactions, lr AS last_month_revenue,
-           round_even((CAST(r AS DOUBLE) - lr) / lr * 100, 2) AS growth_percent,
-           total AS total_revenue, tn AS total_transactions, best.month AS best_month,
-           best.revenue AS best_month_revenue, 'July 2001' AS current_month, 'June 2001' AS last_month_name
-    FROM (SELECT COALESCE(SUM(revenue) FILTER ({MONTH}), 0) AS r,
-                 CAST(COALESCE(SUM(transaction_count) FILTER ({MONTH}), 0) AS BIGINT) AS n,
-                 COALESCE(NULLIF(SUM(revenue) FILTER ({LAST}), 0), 1) AS lr,
-                 SUM(revenue) AS total, CAST(SUM(transaction_count) AS BIGINT) AS tn FROM monthly_sales) x,
-         (SELECT month, revenue FROM monthly_sales ORDER BY revenue DESC, month DESC LIMIT 1) best""",
+@query("sales_board", SALES_BOARD_SQL,
        "current_month_revenue last_month_revenue total_revenue best_month_revenue")
 def _(t):
     return b.sales_board(t.monthly_sales, AS_OF)
 
 
-@query("expense_board", f"""
-    SELECT e AS current_month_expenses, le AS last_month_expenses,
-           round_even((CAST(e AS DOUBLE) - le) / CASE WHEN le = 0 THEN 1 ELSE le END * 100, 2) AS growth_percent,
-           total AS total_expenses,
-           round_even(CAST(total AS DOUBLE) / CASE WHEN months = 0 THEN 1 ELSE months END, 2) AS avg_monthly_expenses,
-           'July 2001' AS current_month, 'June 2001' AS last_month_name
-    FROM (SELECT COALESCE(SUM(amount) FILTER ({DAY}), 0) AS e, COALESCE(SUM(amount) FILTER ({LAST_DAY}), 0) AS le,
-                 COALESCE(SUM(amount), 0) AS total, COUNT(DISTINCT date_trunc('month', date)) AS months
-          FROM expense) x""",
+@query("expense_board", EXPENSE_BOARD_SQL,
        "current_month_expenses last_month_expenses total_expenses")
 def _(t):
     return b.expense_board(t.expense, AS_OF)

@@ -159,6 +159,32 @@ VIEWS: dict[str, str] = {
         UNION ALL
         SELECT id + 1000000000, concat('N', product_code), name, quantity, unit_price, true, 'insert', 1
         FROM {product} WHERE NOT is_active""",
+    # A batch on the ledgers of a few months: changed amounts, rows that move to a later month, deletes, new rows.
+    "transaction_changes": """
+        SELECT id, transaction_id,
+               CASE WHEN id % 4 = 0 THEN transaction_date + INTERVAL 40 DAY ELSE transaction_date END AS transaction_date,
+               CAST(amount + id % 100 AS DECIMAL(15,2)) AS amount, payment_method, status,
+               CASE WHEN id % 5 = 0 THEN 'delete' ELSE 'update' END AS op, 1 AS seq
+        FROM {sales_transaction}
+        WHERE transaction_date >= DATE '2001-05-01' AND transaction_date < DATE '2001-08-01' AND id % 3 = 0
+        UNION ALL
+        SELECT id + 1000000000, concat('N', transaction_id), transaction_date, amount, payment_method, status, 'insert', 2
+        FROM {sales_transaction}
+        WHERE transaction_date >= DATE '2001-06-01' AND transaction_date < DATE '2001-08-01' AND id % 7 = 0
+        UNION ALL
+        SELECT id + 1000000000, concat('N', transaction_id), transaction_date, amount, payment_method, status, 'delete', 3
+        FROM {sales_transaction}
+        WHERE transaction_date >= DATE '2001-06-01' AND transaction_date < DATE '2001-08-01' AND id % 21 = 0""",
+    # The given lines repeat some ids; a batch names each once.
+    "expense_changes": """
+        SELECT id, MIN(title) AS title, MIN(category_id) AS category_id, CAST(MIN(amount) + id % 100 AS DECIMAL(15,2)) AS amount,
+               CASE WHEN id % 4 = 0 THEN CAST(MIN(date) + INTERVAL 40 DAY AS DATE) ELSE MIN(date) END AS date,
+               MIN(description) AS description, MIN(status) AS status,
+               CASE WHEN id % 5 = 0 THEN 'delete' ELSE 'update' END AS op, 1 AS seq
+        FROM {expense} WHERE date >= DATE '2001-05-01' AND date < DATE '2001-08-01' AND id % 3 = 0 GROUP BY id
+        UNION ALL
+        SELECT id + 100000000000, MIN(title), MIN(category_id), MIN(amount), MIN(date), MIN(description), MIN(status), 'insert', 2
+        FROM {expense} WHERE date >= DATE '2001-06-01' AND date < DATE '2001-08-01' AND id % 7 = 0 GROUP BY id""",
 }
 
 GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
