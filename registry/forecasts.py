@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from bizmetrics.operators import forecast as fc
 from bizmetrics.operators.product_sales import monthly_resample
-from bizmetrics.operators.timeseries import forecast_features
+from bizmetrics.operators.timeseries import FEATURES, forecast_features
 from bizmetrics.plans.forecast_report import forecast_report, train_on_series
 from registry.core import AS_OF, query
 
@@ -150,6 +150,34 @@ def _(t):
         F.count("*").alias("tested"), (F.sqrt(F.avg(error * error)) >= F.avg(F.abs(error))).alias("rmse_not_below_mae"))
 
 
+#: Least squares over three lags by the normal equations: centred sums, and Cramer's rule for the three slopes.
+LINEAR_SQL = """
+    WITH lagged AS (SELECT country, month, CAST(revenue AS DOUBLE) AS y, CAST(lag(revenue) OVER w AS DOUBLE) AS a,
+                           CAST(lag(revenue, 2) OVER w AS DOUBLE) AS b, CAST(lag(revenue, 3) OVER w AS DOUBLE) AS c
+                    FROM panel WINDOW w AS (PARTITION BY country ORDER BY month)),
+         placed AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY month)
+                              <= COUNT(*) OVER (PARTITION BY country) - ceil(CAST(0.2 AS DOUBLE) * COUNT(*) OVER (PARTITION BY country)) AS fitted
+                    FROM lagged WHERE c IS NOT NULL),
+         sums AS (SELECT covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, b) AS bb,
+                         covar_pop(b, c) AS bc, covar_pop(c, c) AS cc, covar_pop(a, y) AS ya, covar_pop(b, y) AS yb,
+                         covar_pop(c, y) AS yc, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(y) AS my
+                  FROM placed WHERE fitted),
+         slopes AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det,
+                           ya * (bb * cc - bc * bc) - ab * (yb * cc - bc * yc) + ac * (yb * bc - bb * yc) AS da,
+                           aa * (yb * cc - bc * yc) - ya * (ab * cc - bc * ac) + ac * (ab * yc - yb * ac) AS db,
+                           aa * (bb * yc - yb * bc) - ab * (ab * yc - yb * ac) + ya * (ab * bc - bb * ac) AS dc FROM sums)
+    SELECT country, month, y AS actual,
+           round((my + da / det * (a - ma) + db / det * (b - mb) + dc / det * (c - mc)) / 1000) AS predicted_thousands
+    FROM placed, slopes WHERE NOT fitted"""
+
+
+@query("train_linear", LINEAR_SQL)
+def _(t):
+    """The linear model as ``train_all`` fits it, on the lags alone: with their mean beside them they determine each other."""
+    trained = fc.train_all(forecast_features(t.panel, BY), BY, names=["linear_regression"], columns=FEATURES[:3])
+    return trained.predictions.select("country", "month", "actual", F.round(F.col("predicted") / 1000).alias("predicted_thousands"))
+
+
 @query("forecast_vs_actual")
 def _(t):
     trained = _train(t)
