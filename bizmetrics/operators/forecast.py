@@ -1,4 +1,4 @@
-"""Revenue forecasting with MLlib.
+"""Revenue forecasting: MLlib's linear and index models, and trees that split between any two values.
 
 One model of each kind is trained over all series of a panel together; series differ by
 their lag features only. Metrics, the choice of the best model and the fallbacks are
@@ -15,23 +15,21 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Transformer
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bizmetrics.functions.numbers import truncated
 from bizmetrics.functions.text import display_name
+from bizmetrics.operators.forest import LEAF_POINTS, Forest, fit_forest
 from bizmetrics.operators.timeseries import FEATURES, chrono_split, last_n, month_index
 from bizmetrics.session import cut_lineage
 
 #: Model names in order of preference among equal scores.
 MODEL_ORDER = ("random_forest", "linear_regression", "decision_tree")
 
-#: As deep as MLlib's trees go: they grow until their leaves are pure, as far as that allows.
+#: As deep as MLlib's trees go, for a month index: they grow until their leaves are pure, as far as that allows.
 DEPTH = 30
-#: Bins per feature, at least. A single series gets as many as it has months, and an index as many as there are
-#: different months, so every one can be told apart. The lags of a panel have as many values as rows and are
-#: split between quantiles, this many of them: there, values that share a bin are not told apart. Series
-#: themselves are never told apart by splits.
+#: Bins of a month index, at least: it gets as many as there are different months, so every one can be told apart.
 BINS = 128
 #: For the statistics of the nodes that are split in one pass: deep trees have many.
 MEMORY_MB = 1024
@@ -39,19 +37,15 @@ MEMORY_MB = 1024
 
 @dataclass(frozen=True)
 class Training:
-    models: dict[str, Model]
+    models: dict[str, Model | Forest]
     predictions: DataFrame  # test part: model, keys, time, actual, predicted
 
 
-def _estimator(name: str, trees: int, depth: int, seed: int, bins: int = BINS):
-    columns = {"featuresCol": "features", "labelCol": "label", "predictionCol": "predicted"}
-    # All features at every split and fine bins, for trees that fit a short series closely.
-    if name == "random_forest":
-        return RandomForestRegressor(numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed, maxMemoryInMB=MEMORY_MB,
-                                     featureSubsetStrategy="all", **columns)
-    if name == "decision_tree":
-        return DecisionTreeRegressor(maxDepth=depth, maxBins=bins, seed=seed, **columns)
-    return LinearRegression(**columns)
+def _fitted(name: str, train: DataFrame, trees: int, depth: int | None, seed: int, leaf_points: int) -> Model | Forest:
+    if name == "linear_regression":
+        return LinearRegression(featuresCol="features", labelCol="label", predictionCol="predicted").fit(train)
+    sampled = name == "random_forest"
+    return fit_forest(train, trees if sampled else 1, depth, seed, sampled, leaf_points)
 
 
 def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -61,19 +55,18 @@ def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def train_all(features: DataFrame, by: Sequence[str] | None = None, test_frac: float = 0.2, seed: int = 42,
               value: str = "revenue", time: str = "month", names: Sequence[str] = MODEL_ORDER,
-              trees: int = 100, depth: int = DEPTH, columns: Sequence[str] = FEATURES, bins: int | None = None) -> Training:
-    """Fit each model on the earlier part of every series and predict the later part. ``bins`` are by default
-    as many as a single series has months, ``BINS`` at least, and ``BINS`` for a panel."""
+              trees: int = 100, depth: int | None = None, columns: Sequence[str] = FEATURES, leaf_points: int = LEAF_POINTS) -> Training:
+    """Fit each model on the earlier part of every series and predict the later part. Trees split between any two
+    values, of a panel too; ``leaf_points`` bounds what one task grows (see ``forest``)."""
     keys = [*(by or []), time]
     labelled = _vectors(
         chrono_split(features, by, test_frac, time).withColumn("label", F.col(value).cast("double")), columns)
     # Every fit reads its input several times: store the feature rows, not the way to them.
     stored = cut_lineage(labelled.select(*keys, "part", "label", "features"))
     train, test = (stored.where(F.col("part") == part) for part in ("train", "test"))
-    bins = bins or (BINS if by else max(BINS, train.count()))
     # The fits are independent sequences of jobs: submit them side by side.
     fit = inheritable_thread_target(stored.sparkSession)(
-        lambda name: _estimator(name, trees, depth, seed, bins).fit(train))
+        lambda name: _fitted(name, train, trees, depth, seed, leaf_points))
     with ThreadPool(len(names)) as pool:
         models = dict(zip(names, pool.map(fit, names)))
     predictions = [
@@ -144,7 +137,7 @@ def winner(training: Training) -> str:
     return best_model(regression_metrics(training.predictions)).first()["model"]  # one row per model
 
 
-def forecast_next(model: Transformer | None, df: DataFrame, by: Sequence[str] | None = None,
+def forecast_next(model: Transformer | Forest | None, df: DataFrame, by: Sequence[str] | None = None,
                   value: str = "revenue", time: str = "month") -> DataFrame:
     """Next month per series: the model's prediction, but at least half the last value;
     without a model or three rows of history, the last value plus 5 %."""
@@ -194,7 +187,9 @@ def forecast_by_index(monthly: DataFrame, by: Sequence[str] | None = None, value
         "label", F.when(F.col("spread") > 0, (y - F.col("level")) / F.col("spread")).otherwise(F.lit(0.0)))
     stored = cut_lineage(_vectors(numbered, ["idx"]).select(*keys, "idx", "level", "spread", "label", "features"))
     bins = bins or max(BINS, (stored.agg(F.max("idx")).first()[0] or 0) + 1)
-    model = _estimator("random_forest", trees, depth, seed, bins).fit(stored)
+    # All bins at every split, for trees that fit a short series closely.
+    model = RandomForestRegressor(numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed, maxMemoryInMB=MEMORY_MB,
+                                  featureSubsetStrategy="all", predictionCol="predicted").fit(stored)
     following = (stored.groupBy(*keys).agg((F.max("idx") + 1).alias("idx"), F.max("level").alias("level"), F.max("spread").alias("spread"))
                  .where(F.col("idx").isNotNull()))
     return model.transform(_vectors(following, ["idx"])).select(

@@ -171,3 +171,79 @@ def test_a_single_series_is_split_between_all_its_values(spark):
     tree = fc.train_all(features, names=["decision_tree"], columns=["x"]).models["decision_tree"]
     assert len({tree.predict(fc._vectors(spark.createDataFrame([(float(i),)], "x double"), ["x"]).first().features)
                 for i in range(280, 290)}) == 10
+
+
+def _forest_frame(spark, points):
+    from pyspark.ml.functions import array_to_vector
+    frame = spark.createDataFrame([([float(v) for v in x], float(y)) for x, y in points], "x array<double>, label double")
+    return frame.select(array_to_vector("x").alias("features"), "label")
+
+
+def test_values_of_one_quantile_of_a_panel_are_told_apart(spark):
+    """Two series of 700 months: 1,400 lags, some eleven of them to a quantile of 128. A tree gives every row its value."""
+    rng = random.Random(5)
+    lag = [rng.random() * 1e6 for _ in range(1400)]
+    features = spark.createDataFrame(
+        [("ab"[i % 2], dt.date(1900 + i // 24, i // 2 % 12 + 1, 1), lag[i], lag[i] * 7 % 1000) for i in range(1400)],
+        "k string, month date, x double, revenue double")
+    tree = fc.train_all(features, ["k"], names=["decision_tree"], columns=["x"]).models["decision_tree"]
+    fitted = fc._vectors(features.where("month < '1946-08-01'"), ["x"])
+    assert tree.transform(fitted).where("abs(predicted - revenue) > 1e-6").count() == 0
+
+
+def _plain_tree(points):
+    """Recursive least squares splits over all values; the answer for one point as a function."""
+    labels = [y for _, y in points]
+    best = None
+    for f in range(len(points[0][0])):
+        values = sorted({x[f] for x, _ in points})
+        for lo, hi in zip(values, values[1:]):
+            sides = [[p for p in points if (p[0][f] <= lo) == left] for left in (True, False)]
+            error = sum(sum((y - sum(v for _, v in s) / len(s)) ** 2 for _, y in s) for s in sides)
+            if best is None or error < best[0] - 1e-9:
+                best = error, f, (lo + hi) / 2, sides
+    if len(set(labels)) == 1 or best is None:
+        return lambda x: sum(labels) / len(labels)
+    left, right = map(_plain_tree, best[3])
+    return lambda x: left(x) if x[best[1]] <= best[2] else right(x)
+
+
+def test_tree_is_brute_force(spark):
+    from bizmetrics.operators.forest import fit_forest
+    rng = random.Random(3)
+    points = [((rng.randint(0, 12), rng.random()), rng.choice([rng.random(), 5.0])) for _ in range(90)]
+    points += points[:20] + [((3, 0.5), 1.0), ((3, 0.5), 2.0)]  # repeated rows, and one point of two labels
+    tree, plain = fit_forest(_forest_frame(spark, points), 1, 30, 42, False), _plain_tree(points)
+    asked = points + [((rng.randint(-2, 14), rng.random() * 2 - 0.5), 0.0) for _ in range(100)]
+    answers = {tuple(r.features): r.predicted for r in tree.transform(_forest_frame(spark, asked)).collect()}
+    for x, _ in asked:
+        assert answers[tuple(map(float, x))] == pytest.approx(plain(x), abs=1e-9)
+    from dataclasses import replace
+    met = replace(tree, sent=None).transform(_forest_frame(spark, asked))  # points and trees in a shuffle: the same answers
+    assert tree.sent and {tuple(r.features): r.predicted for r in met.collect()} == answers
+    assert sum(tree.featureImportances) == pytest.approx(1.0)
+    assert tree.transform(_forest_frame(spark, asked).limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        fit_forest(_forest_frame(spark, asked).limit(0), 1, 30, 42, False)
+
+
+@pytest.mark.parametrize("sampled", [False, True])
+def test_large_tables_grow_below_tops(spark, sampled):
+    """Leaves of at most 60 points a task: tops are made first, and rows still get their own values."""
+    from bizmetrics.operators.forest import fit_forest
+    rng = random.Random(8)
+    points = [((x := rng.random(), rng.random()), round(x * 10) + rng.random()) for _ in range(1500)]
+    forest = fit_forest(_forest_frame(spark, points), 6 if sampled else 1, 30, 42, sampled, leaf_points=60)
+    assert forest.top is not None and forest.grown.groupBy("tree").count().agg(F.min("count")).first()[0] >= 25
+    wrong = [abs(r.predicted - r.label) for r in forest.transform(_forest_frame(spark, points)).collect()]
+    assert len(wrong) == 1500 and (max(wrong) < 1e-6 if not sampled else sum(wrong) / 1500 < 0.4)
+    assert forest.featureImportances[0] > 0.8 and sum(forest.featureImportances) == pytest.approx(1.0)
+
+
+def test_points_that_no_bin_tells_apart_stay_in_bounds(spark):
+    """One value with 200 labels is one leaf at any depth: it answers its mean instead of going to one task."""
+    from bizmetrics.operators.forest import fit_forest
+    points = [((1.0,), float(i)) for i in range(200)] + [((2.0,), 7.0)]
+    forest = fit_forest(_forest_frame(spark, points), 1, 30, 42, False, leaf_points=50)
+    answers = {r.features[0]: r.predicted for r in forest.transform(_forest_frame(spark, [((1.0,), 0), ((2.0,), 0)])).collect()}
+    assert answers == {1.0: pytest.approx(99.5), 2.0: pytest.approx(7.0)}
