@@ -27,6 +27,8 @@ LEAF_POINTS = 50_000
 #: Bins per feature in the top, its greatest depth, and the levels added while a leaf holds too many points.
 TOP_BINS, TOP_DEPTH, DEEPER = 128, 30, 5
 
+#: Rows (points times trees) that are worth a task of their own.
+TASK_ROWS = 20_000
 #: Nodes of a whole forest that may travel to every task, some 12 MB of them; larger ones meet their points in a shuffle.
 SENT_NODES = 500_000
 
@@ -224,7 +226,10 @@ def fit_forest(train: DataFrame, trees: int, depth: int | None, seed: int, sampl
     if whole is not None:  # leaves of points that no bin tells apart
         whole = whole.where(F.col("points") > leaf_points)
         placed = placed.join(whole.select("tree", "leaf"), ["tree", "leaf"], "left_anti")
-    grown = placed.select("tree", "leaf", "x", "label", "n").groupBy("tree", "leaf").applyInArrow(
+    # Little data, much work: the number of tasks is said, since merging them by their bytes would leave one.
+    slots, rows = train.sparkSession.sparkContext.defaultParallelism, n_points * trees
+    tasks = max(min(trees, slots, 1 + rows // TASK_ROWS), rows // (20 * leaf_points))
+    grown = placed.select("tree", "leaf", "x", "label", "n").repartition(tasks, "tree", "leaf").groupBy("tree", "leaf").applyInArrow(
         _grower(seed, sampled, depth), GROWN)
     if whole is not None:
         grown = grown.unionByName(whole.selectExpr(
