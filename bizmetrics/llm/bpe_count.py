@@ -41,6 +41,9 @@ class Counter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        split = spec.get("pre_tokenizer") or {}
+        if split.get("type") != "ByteLevel" or not split.get("use_regex", True) or split.get("add_prefix_space") or spec.get("normalizer"):
+            raise ValueError("only byte-level vocabularies with their usual split and texts as they are can be counted")
         ids = spec["model"]["vocab"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.width = max(ids.values()) + 1

@@ -151,3 +151,13 @@ def test_mandatory_phrases_and_place():
     assert not license_scan.matches(license_scan.words_of(notice.replace("without fee", "for money")), rare)
     scattered = " and then something quite different came up ".join(notice.split())
     assert not license_scan.matches(license_scan.words_of(scattered), rare)
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}},
+                                    {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}}])
+def test_vocabularies_of_another_split_are_refused(tmp_path, change):
+    import json
+    given = {"model": {"vocab": {}, "merges": []}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}}
+    (path := tmp_path / "other.json").write_text(json.dumps(given | change))
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe_count.Counter(str(path))
