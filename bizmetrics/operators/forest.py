@@ -29,9 +29,6 @@ TOP_BINS, TOP_DEPTH, DEEPER = 128, 30, 5
 
 #: Rows (points times trees) that are worth a task of their own.
 TASK_ROWS = 20_000
-#: Nodes of a whole forest that may travel to every task, some 12 MB of them; larger ones meet their points in a shuffle.
-SENT_NODES = 500_000
-
 GROWN = ("tree int, leaf int, feature array<int>, cut array<double>, child array<int>, value array<double>, "
          "gains array<double>, spread double")
 
@@ -126,18 +123,6 @@ def _walker() -> Callable:
     return walk
 
 
-def _asked(sent: list[tuple]) -> Callable:
-    reached = _reach()
-
-    @F.arrow_udf("double")
-    def answers(points: pa.Array) -> pa.Array:
-        """The mean answer of all trees, added up in their order."""
-        x = points.flatten().to_numpy().reshape(len(points), -1) if len(points) else None
-        return pa.array(sum(reached(x, *tree) for tree in sent) / len(sent) if len(points) else [], pa.float64())
-
-    return answers
-
-
 def _placed(points: DataFrame, top: Model | None, trees: int) -> DataFrame:
     """Every point once a tree, with the leaf of the tree's top that it belongs to."""
     columns = points.columns
@@ -154,13 +139,10 @@ class Forest:
     grown: DataFrame  # one row per tree and leaf of its top
     trees: int
     leaf_points: int
-    sent: list[tuple] | None = None  # the trees' nodes, if they are few
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with the mean of the trees' answers. Equal features are answered once; of a leaf's points, each
-        task gets at most about ``leaf_points``; a forest of few nodes goes to the rows instead. An empty frame stays empty."""
-        if self.sent:
-            return df.withColumn("predicted", _asked(self.sent)(vector_to_array("features")))
+        task gets at most about ``leaf_points``. An empty frame stays empty."""
         keyed = df.withColumn("_x", vector_to_array("features"))
         placed = _placed(keyed.select(F.col("_x").alias("x")).distinct(), self.top, self.trees)
         pieces = placed.groupBy("tree", "leaf").agg((F.floor(F.count(F.lit(1)) / self.leaf_points) + 1).cast("int").alias("pieces"))
@@ -235,8 +217,4 @@ def fit_forest(train: DataFrame, trees: int, depth: int | None, seed: int, sampl
         grown = grown.unionByName(whole.selectExpr(
             "tree", "leaf", "array(-1) AS feature", "array(0D) AS cut", "array(-1) AS child", "array(mean) AS value",
             "array_repeat(0D, columns) AS gains", "0D AS spread"))
-    grown, sent = cut_lineage(grown), None
-    if top is None and grown.agg(F.sum(F.size("feature"))).first()[0] <= SENT_NODES:
-        nodes = grown.select("tree", "feature", "cut", "child", "value").toArrow().sort_by("tree").to_pylist()
-        sent = [tuple(np.array(row[c]) for c in ("feature", "cut", "child", "value")) for row in nodes]
-    return Forest(top, grown, trees, leaf_points, sent)
+    return Forest(top, cut_lineage(grown), trees, leaf_points)
