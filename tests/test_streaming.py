@@ -5,6 +5,8 @@ import pytest
 from bizmetrics.operators.inventory import stock_on_hand
 from bizmetrics.streaming import ledger
 from conftest import rows
+from registry import streams
+from registry.core import Tables
 
 SCHEMA = "id bigint, product_id bigint, movement_type string, quantity int, created_at timestamp_ntz"
 
@@ -105,3 +107,27 @@ def test_closed_days_are_kept_and_late_movements_counted(spark, inbox, tmp_path)
     arrive(spark, inbox, (1, 1, "in", 1, "2001-07-15T23:59"), (2, 1, "in", 1, "2001-07-16T10:00"), (3, 1, "in", 1, "2001-07-21T23:00"))
     assert dict(rows(ledger.close_days(moves, state, "2 days"))) == got
     assert ledger.closing_report(spark, state).drop("most_open_days").first().asDict() == {"arrived": 23, "closed": 11, "open": 10, "late": 2}
+
+
+@pytest.fixture
+def lines(spark, tmp_path):
+    """A table of movements in eight files, each over all its days."""
+    rows = spark.range(0, 4000, numPartitions=8).selectExpr(
+        "id AS l_orderkey", "1 AS l_linenumber", "id % 7 AS l_partkey", "'N' AS l_returnflag", "'O' AS l_linestatus", "CAST(2 AS DOUBLE) AS l_quantity",
+        "timestamp_ntz'1992-01-01' + make_interval(0, 0, 0, CAST((id * 7919) % 2500 AS INT)) AS l_shipdate")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    return Tables(spark, str(tmp_path))
+
+
+def files_of(folder):
+    return [p for p in folder.iterdir() if p.suffix == ".parquet"]
+
+
+def test_arrivals_are_written_by_many_tasks_in_one_batch(lines, spark, tmp_path, conf):
+    conf("spark.sql.files.openCostInBytes", str(128 << 20))  # a task per file
+    inbox, state = tmp_path / "in", str(tmp_path / "closed")
+    for n, (since, until) in enumerate((("1900-01-01", "1994-01-01"), ("1994-01-01", "2100-01-01"))):
+        days = ledger.close_days(streams._arriving(lines, str(inbox), since, until), state, "30 days")
+        assert len(files_of(inbox)) == 8 * (n + 1)
+    report = ledger.closing_report(spark, state).first()
+    assert report.arrived == 4000 and report.late == 0 and report.closed == sum(r.movements for r in days.collect())
