@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from bizmetrics.session import planned_bytes
 from bizmetrics.streaming import ledger
 from registry.changes import STOCK_SQL
 from registry.core import query
@@ -14,11 +15,17 @@ def _movements(t):
     return t.view("inventory_movement", lineitem=lines)
 
 
-def _in_batches(t, files=4):
-    """The same movements arriving as several files, one micro-batch each."""
+#: Stored bytes of a file that arrives; shuffled rows take about three times as much.
+FILE_BYTES = 64 << 20
+
+
+def _in_batches(t, batches=4):
+    """The same movements arriving in several micro-batches of equally many files: one each while the table is small, more
+    where it is large, so that no task writes more than a file of bounded size."""
     inbox = t.scratch
-    t.lineitem.repartition(files).write.parquet(inbox)
-    lines = t.spark.readStream.schema(t.lineitem.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    files = max(1, -(-planned_bytes(t.lineitem) // (batches * FILE_BYTES)))
+    t.lineitem.repartition(batches * files).write.parquet(inbox)
+    lines = t.spark.readStream.schema(t.lineitem.schema).option("maxFilesPerTrigger", files).parquet(inbox)
     return t.view("inventory_movement", lineitem=lines)
 
 

@@ -131,3 +131,12 @@ def test_arrivals_are_written_by_many_tasks_in_one_batch(lines, spark, tmp_path,
         assert len(files_of(inbox)) == 8 * (n + 1)
     report = ledger.closing_report(spark, state).first()
     assert report.arrived == 4000 and report.late == 0 and report.closed == sum(r.movements for r in days.collect())
+
+
+def test_large_tables_arrive_in_more_files_and_as_many_batches(lines, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_BYTES", 1 << 11)
+    inbox, state = tmp_path / "in", str(tmp_path / "stock")
+    monkeypatch.setattr(Tables, "scratch", str(inbox))
+    stock = ledger.stream_stock(streams._in_batches(lines), state)
+    assert len(files_of(inbox)) > 4 and len(files_of(inbox)) % 4 == 0 and ledger.last_batch(spark, state) == 3
+    assert sum(r.movements for r in stock.collect()) == 4000
