@@ -11,6 +11,8 @@ from bizmetrics.schemas import ENTITIES
 from bizmetrics.session import partitions_for, planned_bytes
 
 YEAR = "year"  # folder column of entities laid out by year
+#: How much larger rows are while a task sorts them than in the files they come from.
+SORTED = 8
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
@@ -52,13 +54,13 @@ def store_entity(df: DataFrame, directory: str, name: str, **options: object) ->
 
     Tables with a time column are laid out by year and range-clustered by date with the
     other key columns as tie-break, so one busy day can still be split over tasks; others by their id.
-    There are as many files as ``PARTITION_BYTES`` asks for at the expected size, whatever the session's number of
-    shuffle partitions. Keys get Bloom filters, sized by the values a row group holds. ``options`` go to the writer.
+    There are as many files as ``PARTITION_BYTES`` asks for at the size that the rows have in a task's sort, whatever the
+    session's number of shuffle partitions. Keys get Bloom filters, sized by the values a row group holds. ``options`` go to the writer.
     """
     entity, path = ENTITIES[name], f"{directory}/{name}.parquet"
     rows = conform(df, name)
     known = planned_bytes(df)
-    files = partitions_for(known, 1) if known else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = partitions_for(SORTED * known, 1) if known else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [c for c in ("id", "product_id", "category_id") if c in rows.columns]
     blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in {*keys, *entity.unique}}
     written = {"parquet.bloom.filter.adaptive.enabled": "true", **blooms, **options}
@@ -68,6 +70,6 @@ def store_entity(df: DataFrame, directory: str, name: str, **options: object) ->
         return path
     (rows.withColumn(YEAR, F.year(entity.partition_by))
          .repartitionByRange(files, YEAR, entity.partition_by, *keys)
-         .sortWithinPartitions(entity.partition_by)
+         .sortWithinPartitions(YEAR, entity.partition_by)  # the writer's order by folder, so that it sorts no second time
          .write.mode("overwrite").options(**written).partitionBy(YEAR).parquet(path))
     return path

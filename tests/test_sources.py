@@ -102,6 +102,17 @@ def test_files_follow_the_size_and_not_the_session(spark, tables, tmp_path, monk
     assert len(spark.read.parquet(f"{tmp_path}/product.parquet").inputFiles()) >= 3
 
 
+def test_sorted_rows_of_a_task_are_bounded(spark, tmp_path, monkeypatch):
+    """Tasks are dealt what their sort holds, not what the files hold."""
+    moves = spark.range(20_000).selectExpr("id", "id % 50 AS product_id", "'in' AS movement_type", "1 AS quantity",
+                                           "timestamp_ntz'2001-01-01' + make_interval(0, 0, 0, CAST(id % 700 AS INT)) AS created_at")
+    monkeypatch.setattr(session, "PARTITION_BYTES", session.planned_bytes(moves))
+    store_entity(moves, str(tmp_path), "inventory_movement")
+    stored = spark.read.parquet(f"{tmp_path}/inventory_movement.parquet")
+    parts = {p.split("/")[-1].split("-")[1] for p in stored.inputFiles()}
+    assert len(parts) >= 6 and stored.count() == moves.count()
+
+
 @pytest.mark.parametrize("name", ENTITIES)
 def test_entities_round_trip(spark, tables, tmp_path, name):
     store_entity(tables.view(name), str(tmp_path), name)
