@@ -1,6 +1,7 @@
 """Boards over roll-ups that were kept while a batch of changes came in, compared with the ledgers after the batch."""
 
 from bizmetrics.plans import boards as b
+from bizmetrics.session import store_once
 from bizmetrics.sources import rollups, snapshots
 from registry.boards import EXPENSE_BOARD_SQL, KPI_SQL, SALES_BOARD_SQL
 from registry.changes import STAMP, _apply_sql
@@ -25,8 +26,10 @@ def _after(sql):
 
 def _follow(t, base, changes, rollup):
     """A stored ledger and its roll-up, made before the batch; the batch comes in two commits, and the roll-up follows
-    the first. Returns both folders: the roll-up is one commit behind."""
+    the first. Returns both folders: the roll-up is one commit behind. The batch is stored, for it is read several times a
+    commit, and made of the ledger's own tables."""
     ledger, folder = t.scratch, t.scratch
+    changes = store_once(changes, "batch")
     snapshots.create(base, ledger, rollup.ledger_part)
     rollups.refresh(t.spark, ledger, folder, rollup)
     snapshots.apply(t.spark, ledger, changes.where("seq = 1"), "id", STAMP)

@@ -127,3 +127,20 @@ def test_an_empty_ledger_and_its_first_rows(spark, tmp_path):
     snapshots.apply(spark, ledger, batch(spark, (1, None, 5, "2001-02-03", "insert", 1)), "id", STAMP)
     assert rollups.refresh(spark, ledger, folder, DAYS) == {"2001-02-01"}
     same(spark, snapshots.read(spark, folder), ledger)
+
+
+def test_the_batch_is_made_once(spark, tables):
+    """Both commits read the stored batch, not the tables that it was made of."""
+    from registry import rollups as registered
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for rows in batches:
+            runs.add(rows.num_rows)
+            yield rows
+
+    base = spark.range(60).selectExpr("id", "add_months(date'2001-01-05', cast(id % 6 AS int)) AS transaction_date", "cast(id AS decimal(15,2)) AS amount")
+    changes = base.where("id % 3 = 0").selectExpr("*", "if(id % 2 = 0, 'update', 'delete') AS op", "cast(1 + id % 2 AS int) AS seq")
+    ledger, _ = registered._follow(tables, base, changes.mapInArrow(seen, changes.schema), rollups.SALES_MONTHS)
+    assert runs.value == changes.count() == 20
+    assert len(snapshots.versions(spark, ledger)) == 3 and snapshots.read(spark, ledger).count() == 50
